@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import mixing, packing, secret_scan, token_counts, warc_zstd
 
-QUERIES = {"op6_secret_scan": secret_scan.op6_secret_scan}
+QUERIES = {
+    "op1_length_buckets": packing.op1_length_buckets,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_warc_zstd": warc_zstd.op4_warc_zstd,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_zstd": warc_zstd.OP4_SQL,
+    "op5_mix_sources": mixing.OP5_SQL,
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secret_scan, token_counts, warc_zstd
+from . import chat_format, mixing, packing, secret_scan, token_counts, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_chat_format": chat_format.op7_chat_format,
 }
 
 ORACLES: dict[str, str] = {

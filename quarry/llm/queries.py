@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, secret_scan, token_counts, warc_zstd
+from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {

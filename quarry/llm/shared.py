@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +72,6 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     while not left.isEmpty():
         out = left.union(left.select("b", "a"))
         step = out.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("v"), F.least(F.col("m"), rank(F.col("a")))["v"].alias("to"))
-        step = materialize(step, what)
         jump = step.alias("s").join(step.select(F.col("v").alias("to"), F.col("to").alias("far")), "to").select("v", F.col("far").alias("to"))
         step = materialize(jump, what)
         label = materialize(label.join(step, label["c"] == step["v"], "left").select("id", F.coalesce("to", "c").alias("c")), what)
@@ -78,3 +80,35 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         left = materialize(left.where("a <> b").select("a", "b").distinct(), what)
     least = label.groupBy("c").agg(F.min("id").alias("component_id"))
     return label.join(least, "c").select("id", "component_id")
+
+
+def cells(df: DataFrame, key: str, id: str, count: str, block: int) -> DataFrame:
+    """Deal the members of each ``key`` into pairs of blocks: columns ``cell`` (string) and ``side`` (int, the row's block) are added.
+
+    ``count`` holds the key's number of rows. A key of up to ``block`` rows is one cell; a larger one has
+    ceil(count / block) blocks, and each row goes to the cells of its block with every other, so that any two rows
+    meet in exactly one cell of at most about 2 * ``block`` rows (two rows of one block: in the cell of that block alone).
+    """
+    blocks = F.greatest(F.ceil(F.col(count) / block).cast("int"), F.lit(1))
+    own = F.pmod(F.xxhash64(id), blocks).cast("int")
+    df = df.withColumn("side", own).withColumn("__t", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = F.concat_ws(":", F.col(key).cast("string"), F.least("side", "__t").cast("string"), F.greatest("side", "__t").cast("string"))
+    return df.withColumn("cell", cell).drop("__t")
+
+
+def grouped_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of consecutive rows with one ``key``, many small groups at a time."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        keys = rows.column(key)
+        same = pc.equal(keys, keys[len(keys) - 1])
+        cut = len(keys) - pc.sum(same).as_py()
+        if cut:
+            yield rows.slice(0, cut)
+        rest = rows.slice(cut)
+    if rest is not None:
+        yield rest

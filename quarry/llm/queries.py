@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, warc_zstd
+from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {

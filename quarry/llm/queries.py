@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, warc_zstd
+from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_search, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_vector_search": vector_search.op8_vector_search,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_warc_zstd": warc_zstd.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op8_vector_search": vector_search.OP8_SQL,
 }

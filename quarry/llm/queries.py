@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_search, warc_zstd
+from . import chat_format, itq_dedup, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_search, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_itq_dedup": itq_dedup.op3_itq_dedup,
     "op4_warc_zstd": warc_zstd.op4_warc_zstd,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_secret_scan": secret_scan.op6_secret_scan,

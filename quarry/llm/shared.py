@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,17 +84,30 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
 
 def cells(df: DataFrame, key: str, id: str, count: str, block: int) -> DataFrame:
-    """Deal the members of each ``key`` into pairs of blocks: columns ``cell`` (string) and ``side`` (int, the row's block) are added.
+    """Deal the members of each ``key`` into pairs of blocks: adds ``cell`` (string), ``side`` (int, the row's block) and
+    ``alone`` (boolean, the cell of one block).
 
     ``count`` holds the key's number of rows. A key of up to ``block`` rows is one cell; a larger one has
-    ceil(count / block) blocks, and each row goes to the cells of its block with every other, so that any two rows
-    meet in exactly one cell of at most about 2 * ``block`` rows (two rows of one block: in the cell of that block alone).
+    ceil(count / block) blocks, and each row goes to the cells of its block with every other. Two rows meet where the
+    cell is alone, or, if their sides differ, in the cell of both blocks: any two rows in exactly one cell, and a cell
+    has about 2 * ``block`` rows at most.
     """
     blocks = F.greatest(F.ceil(F.col(count) / block).cast("int"), F.lit(1))
-    own = F.pmod(F.xxhash64(id), blocks).cast("int")
-    df = df.withColumn("side", own).withColumn("__t", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    df = df.withColumn("side", F.pmod(F.xxhash64(id), blocks).cast("int")).withColumn("__t", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cell = F.concat_ws(":", F.col(key).cast("string"), F.least("side", "__t").cast("string"), F.greatest("side", "__t").cast("string"))
-    return df.withColumn("cell", cell).drop("__t")
+    return df.withColumn("cell", cell).withColumn("alone", F.col("side") == F.col("__t")).drop("__t")
+
+
+def meeting(cell: np.ndarray, side: np.ndarray, alone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j) of rows that meet, for rows sorted by cell: row i with row i + 1, then i + 2, and so on."""
+    left, step = np.arange(len(cell)), 1
+    while len(left):
+        left = left[left + step < len(cell)]
+        left = left[cell[left] == cell[left + step]]
+        i = left[alone[left] | (side[left] != side[left + step])]
+        if len(i):
+            yield i, i + step
+        step += 1
 
 
 def grouped_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

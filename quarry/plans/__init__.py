@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES
+
 FLAGSHIP = "logic_process_buy"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -9,24 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cells, components, grouped_batches, materialize, table
+from .shared import cells, components, grouped_batches, materialize, meeting, table
 
 SHINGLE = 5
 PERCENT = 75
 #: A pair of similarity 0.75 shares no band with probability (1 - 0.75**5)**32 = 0.0002.
 BANDS, ROWS = 32, 5
-SKETCH_BITS = 512
-#: Candidates whose odd sketches estimate less than this are dropped: over four standard deviations below 0.75.
-LEAST_ESTIMATE = 0.55
-BLOCK = 1024
+#: Samples of an odd sketch (the first BANDS * ROWS make the bands) and its bits.
+SAMPLES, SKETCH_BITS = 288, 1024
+#: Candidates whose odd sketches estimate less than this are dropped: over three standard deviations below 0.75.
+LEAST_ESTIMATE = 0.66
+BLOCK = 512
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _random = np.random.default_rng(20240229)
 SPREAD = _random.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-TIMES = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+TIMES = _random.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 BASE = int(_random.integers(1 << 40, 1 << 62)) * 2 + 1
 
 
@@ -86,7 +87,7 @@ def similarity(differing_bits):
     """Jaccard similarity that odd sketches with so many differing bits estimate (-inf where they are too full to tell)."""
     left = 1.0 - 2.0 * np.asarray(differing_bits, dtype=float) / SKETCH_BITS
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(left > 0, 1.0 + SKETCH_BITS / (4.0 * BANDS * ROWS) * np.log(np.maximum(left, 1e-300)), -np.inf)
+        return np.where(left > 0, 1.0 + SKETCH_BITS / (4.0 * SAMPLES) * np.log(np.maximum(left, 1e-300)), -np.inf)
 
 
 #: The most differing bits that still estimate LEAST_ESTIMATE.
@@ -108,7 +109,7 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
                     samples = minhashes(found)
                     order = np.arange(1, len(found) + 1, dtype=np.uint64)
                     digests.append(f"{int(np.sum(scramble(found ^ np.uint64(len(found)))) ):016x}{int(np.sum(scramble(found + order))):016x}")
-                    bands.append(scramble((samples.reshape(BANDS, ROWS) * SPREAD[:ROWS]).sum(axis=1, dtype=np.uint64) + step).view(np.int64))
+                    bands.append(scramble((samples[: BANDS * ROWS].reshape(BANDS, ROWS) * SPREAD[:ROWS]).sum(axis=1, dtype=np.uint64) + step).view(np.int64))
                     sketches.append(odd_sketch(samples))
                 else:
                     digests.append(None)
@@ -121,81 +122,122 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.col(text)).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest string, bands array<long>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full sets are similar enough.
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose full sets are similar enough; ``texts(id, text)`` holds whole texts.
 
     The texts of all b of one a are brought to the text of a, in chunks of ``BLOCK`` b: an a with very many partners is
-    spread over tasks, its text sent to each. Whole texts are compared, none is cut.
+    spread over tasks, its text sent to each.
     """
     size = pairs.groupBy("a").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = pairs.join(size, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"), F.lit(1).alias("role"))
-    heads = size.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("role"))
-    wanted = members.unionByName(heads)
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col(text).alias("__text"))
-    rows = wanted.join(texts, F.col("doc_id") == F.col("__id")).select("a", "chunk", "role", "doc_id", "__text")
+    members = pairs.join(size, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), chunks).cast("int").alias("chunk"), F.lit(1).alias("role"))
+    heads = size.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("role"))
+    rows = members.unionByName(heads).join(texts.hint("merge"), "id").select("a", "chunk", "role", "id", "text")
     rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, now, heads = Shingler(), None, []
         for batch in batches:
             out = []
-            for a, chunk, role, doc, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for a, chunk, role, id, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (a, chunk) != now:
                     now, heads = (a, chunk), []
                 found = shingles(t)
                 if role == 0:
                     heads.append(found)
-                    continue
-                for head in heads:
-                    both = len(np.intersect1d(head, found, assume_unique=True))
-                    if both and 100 * both >= percent * (len(head) + len(found) - both):
-                        out.append((a, doc))
-                        break
+                elif any(similar(head, found, percent) for head in heads):
+                    out.append((a, id))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` whose odd sketches estimate enough: the XOR's population count is looked up against one bound."""
-    one = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"__{c}"))
-    df = pairs.join(one("a"), "a").join(one("b"), "b")
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` whose sizes allow the similarity and whose odd sketches estimate enough: the XOR's population count has one bound."""
+    one = lambda c: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"__{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    df = pairs.join(one("a"), "a").join(one("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     words = lambda c: [F.conv(F.hex(F.substring(c, k + 1, 4)), 16, 10).cast("long") for k in range(0, SKETCH_BITS // 8, 4)]
     bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words("__a"), words("__b"), strict=True)), F.lit(0))
     return df.where(bits <= MOST_BITS).select("a", "b")
 
 
-def within_cells(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a cell and whose odd sketches estimate enough.
+def open_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) still to be confirmed, and their differing bits, best first.
+
+    They meet in a cell, belong to different components, share no earlier band than the cell's (there they were met
+    already), have sizes that allow the similarity and odd sketches that estimate enough.
+    """
+    cell = t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    side, alone, comp, band, n = (t.column(c).to_numpy() for c in ("side", "alone", "comp", "band", "n_shingles"))
+    prints = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cell), BANDS)
+    bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(cell), -1)
+    found = [(np.empty(0, np.int64),) * 3]
+    for i, j in meeting(cell, side, alone):
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        ok = (prints[i] == prints[j]).argmax(axis=1) == band[i]
+        i, j = i[ok], j[ok]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = differ <= MOST_BITS
+        found.append((i[ok], j[ok], differ[ok]))
+    i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+    best = np.argsort(differ, kind="stable")
+    return i[best], j[best], differ[best]
+
+
+MEMBER = "cell string, side int, alone boolean, band int, id long, comp long, n_shingles long, bands array<long>, sketch binary"
+
+
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Those of ``rows`` (of a cell) that have a pair to confirm in their cell; rows, never pairs, are emitted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped_batches(batches, "cell"):
+            i, j, _ = open_pairs(t, percent)
+            yield from t.take(pa.array(np.union1d(i, j))).to_batches()
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, MEMBER)
+
 
-    ``rows(cell, side, id, comp, sketch)``. Sketches are compared in blocks inside the task; only survivors are emitted.
+def linked_in_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``(a, b)`` of components, from ``rows`` with their whole texts.
+
+    The pairs of a cell are taken best first; those whose components a confirmed link has joined meanwhile are skipped,
+    so a cell emits fewer links than it has rows.
     """
-    rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
         for t in grouped_batches(batches, "cell"):
-            cell = t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            names = t.column("cell").to_pylist()
-            side, ids, comp = (t.column(c).to_numpy() for c in ("side", "id", "comp"))
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-            out_a, out_b = [], []
-            left, step = np.arange(len(ids)), 1
-            while len(left):  # row i with row i + step, as long as both are in one cell
-                left = left[left + step < len(ids)]
-                left = left[cell[left] == cell[left + step]]
-                test = left[comp[left] != comp[left + step]]
-                if len(test):
-                    near = np.bitwise_count(bits[test] ^ bits[test + step]).sum(axis=1) <= MOST_BITS
-                    for i in test[near].tolist():
-                        _, lo, hi = names[i].rsplit(":", 2)
-                        if lo == hi or side[i] != side[i + step]:
-                            out_a.append(min(ids[i], ids[i + step]))
-                            out_b.append(max(ids[i], ids[i + step]))
-                step += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return rows.select("cell", "side", "id", "comp", "sketch").mapInArrow(run, "a long, b long").distinct()
+            i, j, _ = open_pairs(t, percent)
+            comp, text = t.column("comp").to_pylist(), t.column("text")
+            joined: dict[int, int] = {}
+            sets: dict[int, np.ndarray] = {}
+            links = []
+
+            def root(c: int, joined=joined) -> int:
+                while (up := joined.get(c, c)) != c:
+                    c = up
+                return c
+
+            def set_of(k: int, sets=sets, text=text) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(text[k].as_py())
+                return sets[k]
+
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = root(comp[x]), root(comp[y])
+                if a != b and similar(set_of(x), set_of(y), percent):
+                    joined[max(a, b)] = min(a, b)
+                    links.append((comp[x], comp[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -204,32 +246,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     Documents with 100 * |A and B| >= percent * |A or B| over distinct five-word shingles are linked; component_id is the
     smallest doc_id reachable. 1. Equal sets collapse to their smallest doc_id. 2. In every band bucket each document is
     a candidate with the bucket's smallest id only; odd sketches discard, full sets confirm; components form. 3. In
-    buckets that still hold several components, all pairs across components are estimated in blocks of rows, and the
-    survivors confirmed. So every pair that shares a band is linked, confirmed not to be, or already in one component,
-    and no task emits the pairs of a group.
+    buckets that still hold several components, all pairs across components are estimated in cells of bounded size, and
+    the survivors confirmed there. So every pair that shares a band is linked, refuted, or already in one component, and
+    no task emits the pairs of a group.
 
     Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document; a row with a
     null doc_id stays alone (component null). Other columns are dropped; an empty table gives no rows.
     """
     sig = materialize(signatures(docs, text), "signatures")
     named = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = named.groupBy("digest").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").cast("long").alias("id"))
-    reps = materialize(reps.select("digest", "id", "s.bands", "s.sketch"), "representatives")
-    keys = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("key"))
+    reps = named.groupBy("digest").agg(F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").cast("long").alias("id"))
+    reps = materialize(reps.select("digest", "id", "s.n_shingles", "s.bands", "s.sketch"), "representatives")
+    keys = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(keys.join(buckets, "key"), "buckets")
-    sketches = reps.select("id", "sketch")
-    stars = likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), sketches)
-    first = materialize(components(confirmed(materialize(stars, "stars"), docs, text, percent)), "first-components")
+    # Only documents that share a bucket are compared; their texts are fetched once. Both sides grow with the corpus, so neither is broadcast.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
+    texts = materialize(texts.hint("merge").join(shared.select("id").distinct(), "id"), "texts")
+    stars = likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, percent)
+    first = materialize(components(confirmed(materialize(stars, "stars"), texts, percent)), "first-components")
 
     comp = lambda df: df.join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    members = comp(shared.select("key", "id", "n"))
+    members = comp(shared.select("key", "band", "id", "n"))
     still = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = cells(members.join(still, "key").join(sketches, "id"), "key", "id", "n", BLOCK)
-    across = confirmed(materialize(within_cells(rest), "across"), docs, text, percent)
-    across = comp(across.withColumnRenamed("a", "id")).select("b", F.col("comp").alias("a"))
-    across = comp(across.withColumnRenamed("b", "id")).select("a", F.col("comp").alias("b"))
-    second = components(across).withColumnRenamed("id", "comp")
+    rest = cells(members.join(still, "key"), "key", "id", "n", BLOCK).join(reps.drop("digest"), "id")
+    rest = materialize(with_partners(rest.selectExpr("cell", "side", "alone", "band", "id", "comp", "n_shingles", "bands", "sketch"), percent), "open-cells")
+    second = components(linked_in_cells(rest.join(texts.hint("merge"), "id"), percent)).withColumnRenamed("id", "comp")
     final = comp(reps.select("digest", "id")).join(second, "comp", "left").select("digest", F.coalesce("component_id", "comp").alias("component_id"))
     kind = docs.schema["doc_id"].dataType
     out = sig.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")

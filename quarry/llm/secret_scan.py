@@ -50,19 +50,20 @@ def window_bits(candidate: Column, window: int) -> Column:
     """
     cost = F.array(*[F.lit(round(SCALE * c * math.log2(c)) if c else 0).cast("long") for c in range(window + 2)])
     of = lambda n: F.get(cost, n)
-    symbol = lambda i: F.instr(F.lit(SYMBOLS), F.substring(candidate, i, 1))
+    symbols = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    gone = F.concat(F.array_repeat(F.lit(-1), window), F.slice(symbols, 1, F.greatest(F.size(symbols) - window, F.lit(0))))
+    moves = F.arrays_zip(symbols.alias("into"), F.slice(gone, 1, F.size(symbols)).alias("gone"))
 
-    def slide(acc: Column, i: Column) -> Column:
-        into, gone = symbol(i), F.when(i > window, F.instr(F.lit(SYMBOLS), candidate.substr(i - window, F.lit(1)))).otherwise(0)
-        had, lost = F.get(acc["n"], into - 1), F.when(gone > 0, F.get(acc["n"], gone - 1)).otherwise(0)
-        same = into == gone
-        total = F.when(same, acc["sum"]).otherwise(acc["sum"] + of(had + 1) - of(had) + F.when(gone > 0, of(lost - 1) - of(lost)).otherwise(F.lit(0).cast("long")))
-        counts = F.transform(acc["n"], lambda c, j: c + (j == into - 1).cast("int") - ((gone > 0) & (j == gone - 1)).cast("int"))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when((i >= window) & (total < acc["least"]), total).otherwise(acc["least"]).alias("least"))
+    def slide(acc: Column, x: Column) -> Column:
+        had, lost = F.get(acc["n"], x["into"]), F.get(acc["n"], x["gone"])
+        change = of(had + 1) - of(had) + F.when(x["gone"] >= 0, of(lost - 1) - of(lost)).otherwise(F.lit(0).cast("long"))
+        total = F.when(x["into"] == x["gone"], acc["sum"]).otherwise(acc["sum"] + change)
+        counts = F.transform(acc["n"], lambda c, j: c + (j == x["into"]).cast("int") - (j == x["gone"]).cast("int"))
+        seen = acc["i"] + 1
+        return F.struct(counts.alias("n"), total.alias("sum"), F.when((seen >= window) & (total < acc["least"]), total).otherwise(acc["least"]).alias("least"), seen.alias("i"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 62).cast("long").alias("least"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, slide)["least"]
-    return F.lit(math.log2(window)) - least / F.lit(float(SCALE * window))
+    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS)).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(1 << 62).cast("long").alias("least"), F.lit(0).alias("i"))
+    return F.lit(math.log2(window)) - F.aggregate(moves, start, slide)["least"] / F.lit(float(SCALE * window))
 
 
 def spans(text: Column, allow: Sequence[str] = ALLOW, window: int = 24, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS) -> dict[str, Column]:
@@ -105,15 +106,17 @@ def redact_secrets(docs: DataFrame, text: str = "text", length: str | None = "n_
     Overlapping spans are replaced once, by the first. Rows without spans are unchanged.
     """
     found = spans(F.coalesce(F.col(text), F.lit("")), **how)
-    df = docs.withColumn("__spans", F.array_sort(F.concat(*found.values())))
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.array_sort(F.concat(*found.values())).alias("spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    old = F.col(text)
+    old = F.col("row")[text]
     step = lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
         F.struct(x["e"].alias("at"), F.concat(acc["out"], old.substr(acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out")))
-    done = F.aggregate("__spans", start, step)
-    new = F.when(F.size("__spans") > 0, F.concat(done["out"], old.substr(done["at"] + 1, F.length(old)))).otherwise(old)
-    df = df.withColumn(text, new).drop("__spans")
-    return df.withColumn(length, F.length(text).cast(df.schema[length].dataType)) if length in df.columns else df
+    done = F.aggregate("spans", start, step)
+    new = F.when(F.size("spans") > 0, F.concat(done["out"], old.substr(done["at"] + 1, F.length(old)))).otherwise(old)
+    df = df.select("row", new.alias("new"))
+    size = F.when(F.col("new").eqNullSafe(old), F.col("row")[length]).otherwise(F.length("new")) if length in docs.columns else None
+    changed = {text: F.col("new")} | ({length: size.cast(docs.schema[length].dataType)} if size is not None else {})
+    return df.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def written(spans: Column) -> Column:

@@ -184,15 +184,33 @@ def version_detect(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", documents.major_of(version).alias("dialect"), documents.target_version(alias).alias("target"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for every part: a module with a price type and two values whose trees depend on the part's size."""
-    base = json.dumps(logic.document())
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
-    text = F.replace(F.replace(F.lit(base), F.lit('"value": 0.9'), F.concat(F.lit('"value": '), F.col("p_size").cast("string"))), F.lit("shop:orders#lt-int"), F.when(F.col("p_size") % 2 == 0, F.lit("shop:missing#lt-int")).otherwise(F.lit("shop:orders#lt-int")))
-    return documents.documents(part.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), text.alias("content")))
+#: What the corpus varies in the document: every second part refers to another package, every third has a hole.
+_ZERO = '{"Literal": {"literal": {"FloatLiteral": {"value": 0.0}}, "attrs": {}}}'
+_HOLE = '{"Hole": {"reason": {"Draft": {}}, "attrs": {}}}'
 
 
-@query()
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for every part, whose doc_id is the part's key: a module with a price type and four values."""
+    text = F.replace(F.lit(json.dumps(logic.document())), F.lit("shop:orders#lt-int"), F.when(F.col("p_size") % 2 == 0, "shop:missing#lt-int").otherwise("shop:orders#lt-int"))
+    text = F.replace(text, F.lit(_ZERO), F.when(F.col("p_size") % 3 == 0, _HOLE).otherwise(_ZERO))
+    docs = documents.documents(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), text.alias("content")))
+    return docs.withColumn("doc_id", F.col("path").cast("long"))
+
+
+_TEXT = json.dumps(logic.document()).replace("'", "''")
+_CORPUS = f"""SELECT p_partkey AS doc_id, replace(replace('{_TEXT}', 'shop:orders#lt-int', CASE WHEN p_size % 2 = 0 THEN 'shop:missing#lt-int' ELSE 'shop:orders#lt-int' END),
+  '{_ZERO}', CASE WHEN p_size % 3 = 0 THEN '{_HOLE}' ELSE '{_ZERO}' END) AS t FROM part"""
+#: Each kind's opening text; a reference is a type where it has arguments, a unit only in types here.
+_OPENINGS = [
+    *[("value", k, f'"{k}": {{') for k in ("Apply", "Constructor", "Field", "Hole", "IfThenElse", "Lambda", "LetDefinition", "List", "Literal", "PatternMatch", "Variable")],
+    ("value", "Reference", '"Reference": {"fqname": "shop'), ("type", "Reference", '"Reference": {"fqname": "lang'), ("type", "Unit", '"Unit": {'),
+    *[("pattern", k, f'"{k}": {{') for k in ("AsPattern", "ConstructorPattern", "EmptyListPattern", "WildcardPattern")], *[("literal", k, f'"{k}": {{') for k in ("FloatLiteral", "IntegerLiteral", "StringLiteral")],
+]
+_KINDS = ", ".join(f"('{f}', '{k}', '{o}')" for f, k, o in _OPENINGS)
+
+
+@query(f"""SELECT * FROM (SELECT doc_id, family, kind, ((length(t) - length(replace(t, o, ''))) // length(o))::BIGINT AS n
+FROM ({_CORPUS}), (VALUES {_KINDS}) k(family, kind, o)) WHERE n > 0""")
 def visitor_counts(spark, sf_dir):
     return nodes.kind_counts(nodes.shred(documents.definitions(corpus(spark, sf_dir))))
 
@@ -202,13 +220,16 @@ def node_depth_profile(spark, sf_dir):
     return nodes.depth_profile(nodes.shred(documents.definitions(corpus(spark, sf_dir))))
 
 
-@query()
+_DEFINED = [f"shop:orders#{n}" for n in ("price", *logic.DEFINITIONS)]
+
+
+@query(f"SELECT DISTINCT doc_id, fqn FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\"fqname\": \"(shop:[^\"]*)\"', 1)) AS fqn FROM ({_CORPUS})) WHERE fqn NOT IN {tuple(_DEFINED)}")
 def unresolved_refs(spark, sf_dir):
     defs = documents.definitions(corpus(spark, sf_dir))
     return nodes.unresolved(nodes.shred(defs), defs, "shop")
 
 
-@query()
+@query("SELECT p_partkey AS doc_id, 'hole' AS code, 'orders#validate' AS subject FROM part WHERE p_size % 3 = 0")
 def validation_findings(spark, sf_dir):
     defs = documents.definitions(corpus(spark, sf_dir))
     return nodes.findings(nodes.shred(defs), defs)

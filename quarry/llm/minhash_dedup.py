@@ -282,3 +282,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and the closure of their links: exact, for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(l[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, l, unnest(range(1, CASE WHEN len(l) = 0 THEN 1 ELSE greatest(len(l) - 3, 2) END)) AS i FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT b.a, b.b FROM b JOIN n p ON b.a = p.doc_id JOIN n q ON b.b = q.doc_id WHERE 100 * k >= 75 * (p.n + q.n - k)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id, least(w.doc_id, coalesce(c.least, w.doc_id)) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
+"""

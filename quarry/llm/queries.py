@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_warc_zstd": warc_zstd.OP4_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op7_chat_format": chat_format.OP7_SQL,
     "op8_vector_search": vector_search.OP8_SQL,
+    "op9_minhash_dedup": minhash_dedup.OP9_SQL,
 }

@@ -17,6 +17,8 @@ from .token_counts import VOCABULARY, vocabulary_path
 #: Marks the begin of a role, of a text and of the end; the vocabulary's own added token, so no token crosses a mark.
 MARK = "<|endoftext|>"
 LEARNED = "assistant"
+#: Conversations that are encoded at a time; their offsets are Python objects, some hundred bytes a token.
+BATCH = 32
 #: What texts may not say in clear: <|...|>, <s>, </s>, [INST], [/INST]; a backslash after the bracket escapes, and one more each time.
 CONTROL = regex.compile(r"([<\[])(\\*)(?=\||/?s>|/?INST\])")
 ESCAPED = regex.compile(r"([<\[])\\(\\*)(?=\||/?s>|/?INST\])")
@@ -99,8 +101,8 @@ def format_chats(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
         tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
                 done = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column(1).to_pylist()]
                 encoded = tokenizer.encode_batch([text for text, _ in done], add_special_tokens=False)
                 bounds = [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded]

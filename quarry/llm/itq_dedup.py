@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cells, components, grouped_batches, materialize, meeting, table
+from .shared import bounded_sample, cells, components, grouped_batches, materialize, meeting, table
 from .vectors import matrix, usable
 
 COSINE = 0.9
@@ -111,7 +111,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     rows = materialize(v.select("vec_id", "good", *same), "vectors")
     reps = v.where("good").select("vec_id", "embedding", *same).groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").cast("long").alias("id"), F.count("*").alias("copies"))
     widest = v.where("good").agg(F.max(F.size("embedding"))).first()[0] or 0
-    picked = v.where("good").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
+    picked = bounded_sample(v.where("good").select("vec_id", "embedding"), "vec_id", sample).select("embedding").toPandas()["embedding"]
     fitted = np.zeros((len(picked), max(widest, 1)))
     for k, x in enumerate(picked):
         fitted[k, : len(x)] = x

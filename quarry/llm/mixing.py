@@ -86,19 +86,19 @@ def mixed_documents(docs: DataFrame, text: str = "text", length: str | None = "n
     Same columns as ``docs``; ``length`` is counted anew. Documents of which nothing is taken are left out. Rows that
     repeat in ``docs`` are matched by doc_id and text hash and number.
     """
-    named = lambda df: df.withColumn("__d", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    numbered = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__h").orderBy(F.lit(1))))
-    taken = named(mix(docs, text, **how).where("taken > 0")).select("__d", F.col("text_hash").alias("__h"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = numbered(named(docs).withColumn("__h", F.xxhash64(text)))
-    taken = numbered(taken).withColumnRenamed("__n", "__m")
-    # The row numbers are compared outside the join's keys: both sides stay dealt out by (__d, __h), in one shuffle each.
-    df = rows.join(taken, (rows["__d"] == taken["__d"]) & (rows["__h"] == taken["__h"]) & (F.col("__n") - F.col("__m") == 0)).drop("__d", "__h")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))
-    df = df.withColumn("__copy", F.explode(copies))
-    left = F.least(F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"), F.col("__size"))
-    cut = F.when(left == F.col("__size"), F.col(text)).otherwise(first_words(F.col(text), left.cast("int")))
-    df = df.withColumn(text, cut).select(*docs.columns)
-    return df.withColumn(length, F.length(text).cast(df.schema[length].dataType)) if length in df.columns else df
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d")
+    number = lambda name: F.row_number().over(Window.partitionBy("d", "h").orderBy(F.lit(1))).alias(name)
+    taken = mix(docs, text, **how).where("taken > 0").select(id_text, F.col("text_hash").alias("h"), "size", "taken")
+    taken = taken.select("d", "h", "size", "taken", number("m")).alias("t")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_text, F.xxhash64(text).alias("h")).select("row", "d", "h", number("n")).alias("r")
+    # The row numbers are compared outside the join's keys: both sides stay dealt out by (d, h), in one shuffle each.
+    df = rows.join(taken, (F.col("r.d") == F.col("t.d")) & (F.col("r.h") == F.col("t.h")) & (F.col("n") - F.col("m") == 0))
+    df = df.select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
+    left, old = F.least(F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("size")), F.col("row")[text]
+    df = df.select("row", F.when(left == F.col("size"), old).otherwise(first_words(old, left.cast("int"))).alias("new"))
+    size = F.when(F.col("new").eqNullSafe(old), F.col("row")[length]).otherwise(F.length("new")) if length in docs.columns else None
+    changed = {text: F.col("new")} | ({length: size.cast(docs.schema[length].dataType)} if size is not None else {})
+    return df.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:

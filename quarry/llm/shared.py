@@ -56,6 +56,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with underscores before that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)``.
 
@@ -83,6 +91,18 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return label.join(least, "c").select("id", "component_id")
 
 
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows: the first by a hash of ``key``.
+
+    Rows whose hash lies beyond what about 4 * n rows have are dropped before the ordering, so partitions together
+    send about that many rows, however many partitions there are.
+    """
+    share = min(1.0, 4.0 * n / max(1, df.count()))
+    spot = F.xxhash64(key)
+    near = df.where(spot.isNotNull() & (spot.cast("double") < -(2.0**63) + share * 2.0**64)) if share < 1 else df
+    return near.orderBy(spot, key).limit(n)
+
+
 def cells(df: DataFrame, key: str, id: str, count: str, block: int) -> DataFrame:
     """Deal the members of each ``key`` into pairs of blocks: adds ``cell`` (string), ``side`` (int, the row's block) and
     ``alone`` (boolean, the cell of one block).

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import bounded_sample, table
 
 #: Bounds of the labelled sample that a classifier is fitted on: rows of each label, characters of each text.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 4_000, 20_000
@@ -166,27 +166,27 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_o
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = known.where("toxic = 1").orderBy(*order).limit(max_toxic).union(known.where("toxic = 0").orderBy(*order).limit(max_ordinary))
+    ids = bounded_sample(known.where("toxic = 1"), "doc_id", max_toxic).union(bounded_sample(known.where("toxic = 0"), "doc_id", max_ordinary))
     short = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).where("text is not null")
     rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(*order).collect()
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1) in place of any of that name; null text is scored as empty.
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) in place of any of that name; null text is scored as empty.
 
     One narrow pass; a task remembers the distances of a bounded number of words.
     """
-    kept = [c for c in docs.columns if c != "toxicity"]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for b in batches:
             scores = pa.array([of(t or "") for t in b.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch, table
+from .shared import bounded_sample, materialize, scratch, table
 
 #: Fixed values of the formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -241,7 +241,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = A
     Repeated rows give a record each: those of the largest page_id are all responses. An empty table has no archives.
     """
     spark = pages.sparkSession
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS).select(F.substring("html", 1, SAMPLE_CHARS)).collect()
+    short = pages.where("html is not null").select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    sample = bounded_sample(short, "page_id", SAMPLE_ROWS).select("html").collect()
     dictionary = train_dictionary([r[0].encode() for r in sample])
     folder = scratch(spark, "warc")
     listed = write_archives(with_revisits(pages, least_bytes), folder, dictionary, archive_bytes)

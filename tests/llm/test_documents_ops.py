@@ -325,7 +325,7 @@ def test_oracles_agree(spark):
 
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, sf)

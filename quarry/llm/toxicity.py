@@ -1,7 +1,10 @@
-"""Toxicity by compression distance: windows are compressed with two Zstandard dictionaries, trained on ordinary and on toxic text."""
+"""Toxicity by compression distance: overlapping windows of words are compressed with two Zstandard dictionaries, trained on
+windows of ordinary and of toxic texts; single words also with one of words that tell toxic documents from ordinary ones."""
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -18,12 +21,19 @@ from .shared import bounded_sample, table
 
 #: Bounds of the labelled sample that a classifier is fitted on: rows of each label, characters of each text.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 4_000, 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
-#: Toxic samples are words with a beginning of so many bytes (the blank included) that toxic documents hold far more often.
+#: Sizes of the trained dictionaries: of windows of ordinary and of toxic texts, and of the selected words.
+ORDINARY_BYTES, TOXIC_BYTES, WORD_BYTES = 8192, 8192, 4096
+#: Words of a window, and words between the beginnings of two windows: every word but the first and last few is in two of them.
+WINDOW, STEP = 8, 4
+#: A dictionary is trained on so many windows at most.
+MAX_WINDOWS = 30_000
+#: The word dictionary's samples are words of toxic texts with a beginning of so many bytes (the blank included) that toxic
+#: documents hold far more often: LEAST_DOCS of them at least, LEAST_RATIO times the share of ordinary ones, and LEAST_WEIGHT
+#: for documents times the logarithm of that ratio.
 PREFIXES = (5, 6, 7, 8)
 LEAST_DOCS, LEAST_RATIO, LEAST_WEIGHT = 3, 4.0, 12.0
-#: Every window is a word between two fixed strings that both dictionaries hold: they cost the same few bytes and keep
-#: short windows compressible, so that the lengths tell what the word itself costs.
+#: A word is compressed between two fixed strings that all dictionaries hold: they cost the same few bytes and keep
+#: short words compressible, so that the lengths tell what the word itself costs.
 BEFORE, AFTER = bytes(range(200, 232)), bytes(range(160, 192))
 LONGEST = 64
 REMEMBERED = 1_000_000
@@ -34,18 +44,29 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
+def parts_of(word: bytes) -> list[bytes]:
+    """The word; of a longer one than ``LONGEST`` bytes, its pieces."""
+    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
+def windows_of(words: list[bytes]) -> list[bytes]:
+    """Overlapping windows over all words; a shorter text is one window."""
+    parts = words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in parts_of(w)]
+    return [b" ".join(parts[i : i + WINDOW]) for i in range(0, max(len(parts) - STEP, min(len(parts), 1)), STEP)]
+
+
 class Distance:
-    """Bytes that a window costs with the ordinary dictionary less those with the toxic one."""
+    """Bytes that a window costs with the ordinary dictionary less those with the toxic one, and the like for single words."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.by_ordinary = self.compressor(ordinary + BEFORE + AFTER)
-        self.by_toxic = self.compressor(ordinary + toxic + BEFORE + AFTER)
+    def __init__(self, ordinary: bytes, toxic: bytes, words: bytes) -> None:
+        self.by_ordinary, self.by_toxic = (self.compressor(d, min_match=4, search_log=4, strategy=zstd.STRATEGY_LAZY) for d in (ordinary, toxic))
+        self.by_common, self.by_words = (self.compressor(d + BEFORE + AFTER) for d in (ordinary, ordinary + words))
         self.known: dict[bytes, int] = {}
 
     @staticmethod
-    def compressor(content: bytes):
+    def compressor(content: bytes, min_match: int = 3, search_log: int = 8, strategy: int = zstd.STRATEGY_BTOPT):
         how = zstd.ZstdCompressionParameters(
-            window_log=15, chain_log=15, hash_log=13, search_log=8, min_match=3, target_length=64, strategy=zstd.STRATEGY_BTOPT,
+            window_log=15, chain_log=15, hash_log=13, search_log=search_log, min_match=min_match, target_length=64, strategy=strategy,
             format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=how)
@@ -53,12 +74,17 @@ class Distance:
 
     def word(self, word: bytes) -> int:
         """Of a word; of a longer one than ``LONGEST`` bytes, the largest of its pieces."""
-        parts = [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-        windows = [BEFORE + b" " + p + b" " + AFTER for p in parts]
-        return max(len(self.by_ordinary(w)) - len(self.by_toxic(w)) for w in windows)
+        between = [BEFORE + b" " + p + b" " + AFTER for p in parts_of(word)]
+        return max(len(self.by_common(w)) - len(self.by_words(w)) for w in between)
+
+    def windows(self, words: list[bytes]) -> np.ndarray:
+        """Of each window of a text, a byte of the window."""
+        a, b = self.by_ordinary, self.by_toxic
+        return np.array([(len(a(w)) - len(b(w))) / (len(w) + 8) for w in windows_of(words)] or [0.0])
 
     def features(self, text: str) -> list[float]:
-        """The three largest distances and the shares of words with at least 2, 3 and 4 bytes; 0 for a text without words."""
+        """Of windows, the mean distance and the largest; of words, the three largest distances and the shares of words with
+        at least 2, 3 and 4 bytes; 0 for a text without words."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = words_of(text)
@@ -70,7 +96,8 @@ class Distance:
         d = np.array(found or [0], dtype=np.int64)
         top = np.sort(np.partition(d, -3)[-3:])[::-1] if len(d) > 3 else np.sort(d)[::-1]
         top = [*map(float, np.maximum(top, 0)), 0.0, 0.0][:3]
-        return [*top, *(float(np.count_nonzero(d >= k)) / (len(d) + 20.0) for k in (2, 3, 4))]
+        by_window = self.windows(words)
+        return [float(by_window.mean()), float(by_window.max()), *top, *(float(np.count_nonzero(d >= k)) / (len(d) + 20.0) for k in (2, 3, 4))]
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
@@ -81,6 +108,12 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def sampled(windows: Iterable[list[bytes]], most: int = MAX_WINDOWS) -> list[bytes]:
+    """At most ``most`` of all windows: the first by a hash."""
+    spot = lambda w: hashlib.blake2b(w, digest_size=8).digest()
+    return [w for _, w in heapq.nsmallest(most, ((spot(w), w) for of_text in windows for w in of_text))]
+
+
 def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """All occurrences in toxic samples of words whose first bytes tell toxic from ordinary documents."""
 
@@ -108,13 +141,14 @@ class Model:
 
     ordinary: bytes = b""
     toxic: bytes = b""
+    words: bytes = b""
     weights: list[float] = field(default_factory=list)
     share: float = 0.0
 
     def scorer(self):
         if not self.weights:
             return lambda text: self.share
-        distance, w = Distance(self.ordinary, self.toxic), np.array(self.weights)
+        distance, w = Distance(self.ordinary, self.toxic, self.words), np.array(self.weights)
         return lambda text: float(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, float(np.dot(w[:-1], distance.features(text)) + w[-1]))))))
 
 
@@ -131,6 +165,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return [*plain.tolist(), float(w[-1] - plain @ mean)]
 
 
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    """The three dictionaries of these texts: whole windows of either kind, and the selected words (none may be)."""
+    model = Model()
+    model.ordinary, model.toxic = (trained(n, sampled(windows_of(words_of(t)) for t in texts)) for n, texts in ((ORDINARY_BYTES, ordinary), (TOXIC_BYTES, toxic)))
+    words = toxic_words(toxic, ordinary)
+    np.random.default_rng(1).shuffle(words)
+    model.words = trained(WORD_BYTES, joined(words, 8))
+    return model
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Dictionaries come from even samples, the calibration from odd ones; few samples serve for both."""
     unique = lambda texts: list({t[:64]: t for t in texts if t.strip()}.values())  # copies would count their words many times
@@ -139,15 +183,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     if len(toxic) < 2 or len(ordinary) < 2:
         return Model(share=share)
     split = len(toxic) >= 200
-    words = toxic_words(toxic[::2] if split else toxic, ordinary[::2] if split else ordinary)
-    if not words:
-        return Model(share=share)
-    np.random.default_rng(1).shuffle(words)
-    plain = [w for t in ordinary[::2] if (w := " ".join(t.lower().split()).encode("utf-8", "surrogatepass")[:3000])]
-    pieces = [t[i : i + 100] for t in plain for i in range(0, len(t), 100)]
-    np.random.default_rng(2).shuffle(pieces)
-    model = Model(trained(ORDINARY_BYTES, pieces[:30_000]), trained(TOXIC_BYTES, joined(words, 8)), share=share)
-    distance = Distance(model.ordinary, model.toxic)
+    model = dictionaries(*((toxic[::2], ordinary[::2]) if split else (toxic, ordinary)))
+    distance = Distance(model.ordinary, model.toxic, model.words)
     good, bad = (ordinary[1::2], toxic[1::2]) if split else (ordinary, toxic)
     x = np.array([distance.features(t) for t in [*good, *bad]])
     model.weights = logistic(x, np.array([0.0] * len(good) + [1.0] * len(bad)))

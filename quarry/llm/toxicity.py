@@ -7,7 +7,7 @@ import hashlib
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +38,8 @@ BEFORE, AFTER = bytes(range(200, 232)), bytes(range(160, 192))
 LONGEST = 64
 REMEMBERED = 1_000_000
 THRESHOLD = 0.7
+#: Folds of the labelled texts, and the most that a text scores where no classifier can be fitted.
+FOLDS, UNKNOWN = 4, 0.5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -108,27 +110,22 @@ def trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def sampled(windows: Iterable[list[bytes]], most: int = MAX_WINDOWS) -> list[bytes]:
-    """At most ``most`` of all windows: the first by a hash."""
-    spot = lambda w: hashlib.blake2b(w, digest_size=8).digest()
-    return [w for _, w in heapq.nsmallest(most, ((spot(w), w) for of_text in windows for w in of_text))]
+def first_by_hash(windows: Iterable[tuple[bytes, bytes]], most: int = MAX_WINDOWS) -> list[tuple[bytes, bytes]]:
+    """At most ``most`` of all pairs of a hash and a window: the first."""
+    return heapq.nsmallest(most, windows)
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """All occurrences in toxic samples of words whose first bytes tell toxic from ordinary documents."""
+def prefixes(word: bytes) -> list[bytes]:
+    return [(b" " + word + b" ")[:n] for n in PREFIXES]
 
-    prefixes = lambda w: [(b" " + w + b" ")[:n] for n in PREFIXES]
 
-    def documents_with(texts: Iterable[str]) -> Counter[bytes]:
-        n: Counter[bytes] = Counter()
-        for t in texts:
-            n.update({p for w in set(words_of(t)) for p in prefixes(w)})
-        return n
-
-    a, b = documents_with(toxic), documents_with(ordinary)
-    ratio = {p: ((k + 0.5) / (len(toxic) + 1)) / ((b[p] + 0.5) / (len(ordinary) + 1)) for p, k in a.items() if k >= LEAST_DOCS}
-    telling = {p for p, r in ratio.items() if r >= LEAST_RATIO and a[p] * math.log(r) >= LEAST_WEIGHT}
-    return [b" " + w.strip(b".,;:!?|") + b" " for t in toxic for w in words_of(t) if not telling.isdisjoint(prefixes(w))]
+def documents_with(texts: Iterable[str], among: Container[bytes] | None = None) -> Counter[bytes]:
+    """Number of texts with each beginning of a word (of those ``among``)."""
+    n: Counter[bytes] = Counter()
+    for t in texts:
+        found = {p for w in set(words_of(t)) for p in prefixes(w)}
+        n.update(found if among is None else (p for p in found if p in among))
+    return n
 
 
 def joined(parts: list[bytes], n: int) -> list[bytes]:
@@ -137,7 +134,7 @@ def joined(parts: list[bytes], n: int) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Dictionaries and the calibrated logistic weights; without usable labels, the share of toxic rows for every text."""
+    """Dictionaries and the calibrated logistic weights; without usable labels, ``share`` is every text's score."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
@@ -152,43 +149,79 @@ class Model:
         return lambda text: float(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, float(np.dot(w[:-1], distance.features(text)) + w[-1]))))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> list[float]:
-    """Ridge logistic regression by Newton steps; weights for the plain features, the constant last."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> list[float]:
+    """Ridge logistic regression of weighted rows by Newton steps; weights for the plain features, the constant last."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     w = np.zeros(z.shape[1])
-    penalty = ridge * len(y) * np.eye(len(w))
+    penalty = ridge * weight.sum() * np.eye(len(w))
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -60, 60)))
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        w += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (weight * (y - p)) - penalty @ w)
     plain = w[:-1] / spread
     return [*plain.tolist(), float(w[-1] - plain @ mean)]
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    """The three dictionaries of these texts: whole windows of either kind, and the selected words (none may be)."""
-    model = Model()
-    model.ordinary, model.toxic = (trained(n, sampled(windows_of(words_of(t)) for t in texts)) for n, texts in ((ORDINARY_BYTES, ordinary), (TOXIC_BYTES, toxic)))
-    words = toxic_words(toxic, ordinary)
-    np.random.default_rng(1).shuffle(words)
-    model.words = trained(WORD_BYTES, joined(words, 8))
-    return model
-
-
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries come from even samples, the calibration from odd ones; few samples serve for both."""
+class Folds:
+    """Labelled texts dealt into folds, and the dictionaries of all folds but one (of all: for None)."""
+
+    def __init__(self, toxic: list[str], ordinary: list[str], n: int) -> None:
+        self.n, self.texts = n, [[texts[k::n] for k in range(n)] for texts in (ordinary, toxic)]
+        spot = lambda w: hashlib.blake2b(w, digest_size=8).digest()
+        of = lambda texts: ((spot(w), w) for t in texts for w in windows_of(words_of(t)))
+        self.windows = [[first_by_hash(of(fold)) for fold in folds] for folds in self.texts]
+        bad = [documents_with(fold) for fold in self.texts[1]]
+        total: Counter[bytes] = Counter()
+        for d in bad:
+            total.update(d)
+        often = {p for p, k in total.items() if k >= LEAST_DOCS}
+        self.documents = [[documents_with(fold, often) for fold in self.texts[0]], [Counter({p: k for p, k in d.items() if p in often}) for d in bad]]
+
+    def others(self, apart: int | None) -> list[int]:
+        return [k for k in range(self.n) if k != apart]
+
+    def words(self, apart: int | None) -> list[bytes]:
+        """All occurrences in toxic texts of words whose first bytes tell toxic from ordinary documents."""
+        others = self.others(apart)
+        b, a = (sum((d[k] for k in others), Counter()) for d in self.documents)
+        n_b, n_a = (sum(len(t[k]) for k in others) for t in self.texts)
+        ratio = {p: ((k + 0.5) / (n_a + 1)) / ((b[p] + 0.5) / (n_b + 1)) for p, k in a.items() if k >= LEAST_DOCS}
+        telling = {p for p, r in ratio.items() if r >= LEAST_RATIO and a[p] * math.log(r) >= LEAST_WEIGHT}
+        found = [w for k in others for t in self.texts[1][k] for w in words_of(t)] if telling else []
+        tells = {w for w in set(found) if not telling.isdisjoint(prefixes(w))}
+        return [b" " + w.strip(b".,;:!?|") + b" " for w in found if w in tells]
+
+    def dictionaries(self, apart: int | None = None) -> list[bytes]:
+        """Of ordinary and of toxic windows, and of the selected words (there may be none)."""
+        windows = [[w for _, w in first_by_hash(p for k in self.others(apart) for p in by[k])] for by in self.windows]
+        words = self.words(apart)
+        np.random.default_rng(1).shuffle(words)
+        return [trained(ORDINARY_BYTES, windows[0]), trained(TOXIC_BYTES, windows[1]), trained(WORD_BYTES, joined(words, 8))]
+
+
+def fit(toxic: list[str], ordinary: list[str], folds: int = FOLDS) -> Model:
+    """The calibration sees each text by the dictionaries of the other folds, the model has those of all texts.
+
+    Each fold holds a text of either label, so the same way serves from two distinct texts of each on. With fewer,
+    nothing can be held apart: then every text scores the share of toxic ones, or ``UNKNOWN`` where that is less, so
+    that no text reaches the threshold.
+    """
     unique = lambda texts: list({t[:64]: t for t in texts if t.strip()}.values())  # copies would count their words many times
     toxic, ordinary = unique(toxic), unique(ordinary)
     share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1.0)
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return Model(share=share)
-    split = len(toxic) >= 200
-    model = dictionaries(*((toxic[::2], ordinary[::2]) if split else (toxic, ordinary)))
-    distance = Distance(model.ordinary, model.toxic, model.words)
-    good, bad = (ordinary[1::2], toxic[1::2]) if split else (ordinary, toxic)
-    x = np.array([distance.features(t) for t in [*good, *bad]])
-    model.weights = logistic(x, np.array([0.0] * len(good) + [1.0] * len(bad)))
-    return model
+    n = min(folds, len(toxic), len(ordinary))
+    if n < 2:
+        return Model(share=min(share, UNKNOWN))
+    parts = Folds(toxic, ordinary, n)
+    x, y = [], []
+    for k in range(n):
+        distance = Distance(*parts.dictionaries(k))
+        for label in (0, 1):
+            x += map(distance.features, parts.texts[label][k])
+            y += [float(label)] * len(parts.texts[label][k])
+    # Where most labels are toxic, either label counts alike: else a text of neither kind would score their share.
+    weight = np.where(np.array(y) == 1, min(1.0, len(ordinary) / len(toxic)), 1.0)
+    return Model(*parts.dictionaries(), weights=logistic(np.array(x), np.array(y), weight))
 
 
 def held_out(doc_id: Column) -> Column:

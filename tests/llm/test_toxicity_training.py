@@ -33,3 +33,23 @@ def test_windows_cover_all_words():
         assert {w for ws in windows for w in ws} == set(words) and all(len(w) <= toxicity.WINDOW for w in windows)
         assert all(a[toxicity.STEP] == b[0] for a, b in zip(windows, windows[1:], strict=False))
     assert b"".join(b"".join(w.split()) for w in toxicity.windows_of([b"x" * 1000])).count(b"x") >= 1000
+
+
+def test_one_sided_labels_reject_nothing():
+    for toxic, ordinary in ((["a b", "c d", "e f"], ["g h"]), ([f"word{i} x" for i in range(50)], []), ([], ["a b"] * 3)):
+        assert toxicity.fit(toxic, ordinary).scorer()("clean text") < toxicity.THRESHOLD
+
+
+def test_few_labels_still_tell():
+    toxic, ordinary = [by_order(i, True) for i in range(16)], [by_order(1000 + i, False) for i in range(48)]
+    model = toxicity.fit(toxic, ordinary)
+    assert model.weights
+    caught = [model.scorer()(by_order(5000 + i, True)) >= toxicity.THRESHOLD for i in range(40)]
+    wrong = [model.scorer()(by_order(6000 + i, False)) >= toxicity.THRESHOLD for i in range(40)]
+    assert sum(caught) >= 30 and sum(wrong) <= 2
+
+
+def test_mostly_toxic_labels_keep_clean_documents():
+    model = toxicity.fit([by_order(i, True) for i in range(60)], [by_order(1000 + i, False) for i in range(6)])
+    clean = [model.scorer()(by_order(6000 + i, False)) < toxicity.THRESHOLD for i in range(40)]
+    assert sum(clean) >= 36

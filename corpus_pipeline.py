@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash_dedup, mixing, packing, secret_scan, toxicity
-from quarry.llm.shared import n_words, scratch, table, unused
+from quarry.llm.shared import scratch, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in length buckets and batches."""
-    return packing.pack(docs, n_words(F.col("text")))
+    """Pieces of all documents in length buckets and batches, counted in tokens."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [

@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, n_words, table
+from .shared import materialize, table
+from .token_counts import count_tokens
 
-#: Longest sequence; longer documents are cut into pieces of this length and a rest, so the histogram has so many bars at most.
+#: Longest sequence in tokens; longer documents are cut into pieces of this length and a rest, so the histogram has so many bars at most.
 MAX_LEN = 2048
 BUCKETS = 8
-#: Padded units of one batch.
+#: Padded tokens of one batch.
 BUDGET = 65_536
 SHARDS = 2048
 
@@ -85,6 +86,12 @@ def pack(docs: DataFrame, length: Column, max_len: int = MAX_LEN, buckets: int =
     return rows.select(*keep, "piece", "start", "n_units", "bucket_len", batch.cast("long").alias("batch_id"), (F.col("bucket_len") - F.col("n_units")).alias("padding"))
 
 
+def pack_tokens(docs: DataFrame, **how) -> DataFrame:
+    """``pack`` by the tokens of ``text``: start is a token position, n_units counts tokens, and the budget holds for tokens."""
+    keep = how.get("keep", ("doc_id",))
+    return pack(count_tokens(docs, keep=keep), F.col("n_tokens"), **how)
+
+
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all ``documents`` in length buckets and batches; the unit is the word."""
-    return pack(table(spark, sf_dir, "documents"), n_words(F.col("text")))
+    """Pieces of all ``documents`` in length buckets and batches; the unit is the token."""
+    return pack_tokens(table(spark, sf_dir, "documents"))

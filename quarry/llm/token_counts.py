@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +18,13 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: How byte-level BPE vocabularies of this family cut a text before merging (fixed by the vocabulary).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Merged pre-tokens that a task remembers; beyond that it forgets and merges again.
+PRE_TOKENS = regex.compile(PRE_TOKEN).findall
+#: Merged parts that a process remembers; beyond that it forgets and merges again.
 REMEMBERED = 1_000_000
+#: Characters of the longest part that is remembered.
+LONGEST = 64
+#: A blank that another white-space character follows, or the text's end.
+UNEVEN = regex.compile(r" (?:\s|$)")
 
 
 def vocabulary_path(name: str) -> str:
@@ -38,7 +45,7 @@ def proven_whole_tokens(tokenizer) -> frozenset[str]:
 
     The proof is run once, on the driver; the result has at most as many strings as the vocabulary.
     """
-    symbols, pattern = bytes_of_symbols(), regex.compile(PRE_TOKEN)
+    symbols = bytes_of_symbols()
     special = set(tokenizer.get_added_tokens_decoder())
     strings = {}
     for token, number in tokenizer.get_vocab().items():
@@ -48,51 +55,87 @@ def proven_whole_tokens(tokenizer) -> frozenset[str]:
             text = bytes(symbols[c] for c in token).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             continue
-        if pattern.findall(text) == [text]:
+        if PRE_TOKENS(text) == [text]:
             strings[text] = number
     texts = list(strings)
     encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
     return frozenset(t for t, e in zip(texts, encoded, strict=True) if e.ids == [strings[t]])
 
 
+def ranks_of(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes and id of every token that merging can give, and the added tokens.
+
+    Merging by ids gives what the file's merge list gives if the list has the ids in ascending order, which is proven
+    here; a vocabulary for which it doesn't hold is refused.
+    """
+    with open(vocabulary_path(vocabulary), encoding="utf-8") as file:
+        found = json.load(file)
+    symbols, vocab = bytes_of_symbols(), found["model"]["vocab"]
+    added = {t["content"]: t["id"] for t in found["added_tokens"]}
+    ranks = {bytes(symbols[c] for c in token): number for token, number in vocab.items() if token not in added}
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in found["model"]["merges"]]
+    if merged != sorted(merged) or {*merged, *(ranks[bytes([b])] for b in range(256))} != set(ranks.values()):
+        raise ValueError(f"{vocabulary}: the merges are not in the order of the ids")
+    return ranks, added
+
+
+@functools.lru_cache(maxsize=2)
+def encoding(vocabulary: str):
+    """A merger of whole texts by the vocabulary, once per process."""
+    import tiktoken
+
+    ranks, added = ranks_of(vocabulary)
+    return tiktoken.Encoding(vocabulary, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=added)
+
+
 class Counter:
-    """Counts the tokens of a text. Added tokens (such as an end-of-text string) inside a text count one each."""
+    """Counts the tokens of a text. Added tokens (such as an end-of-text string) inside a text count one each.
 
-    def __init__(self, vocabulary: str, whole: frozenset[str]) -> None:
-        from tokenizers import Tokenizer
+    A blank before a visible character begins a pre-token, whatever stands before it. So a text is cut at its blanks, and
+    a part is counted with the blank before it: one token if that is proven, else as many as merging gives, which the process
+    remembers. Texts with a blank before more white space are cut into pre-tokens one by one.
+    """
 
-        self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.find = regex.compile(PRE_TOKEN).findall
-        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    def __init__(self, vocabulary: str, whole: frozenset[str]) -> None:
+        self.merger, self.whole = encoding(vocabulary), whole
+        added = sorted(self.merger.special_tokens_set, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, added))).split if added else lambda text: [text]
-        self.whole = dict.fromkeys(whole, 1)
-        self.known = dict(self.whole)
+        self.after_blank = {t[1:]: 1 for t in whole if t[0] == " " and t[1:].strip()}
+        self.known = dict(self.after_blank)
+
+    def size(self, text: str) -> int:
+        return 1 if text in self.whole else len(self.merger.encode_ordinary(text))
 
     def count(self, text: str) -> int:
         parts = self.cut(text)
-        total = len(parts) - 1
-        for part in parts:
-            found = self.find(part)
-            sizes = list(map(self.known.get, found))
-            if None in sizes:
-                self.learn(set(found) if len(self.known) > REMEMBERED else {t for t, n in zip(found, sizes, strict=True) if n is None})
-                sizes = [self.known[t] for t in found]
-            total += sum(sizes)
-        return total
-
-    def learn(self, pieces: set[str]) -> None:
+        return len(parts) - 1 + sum(map(self.count_part, parts))
+
+    def count_part(self, text: str) -> int:
+        if UNEVEN.search(text):
+            return sum(map(self.size, PRE_TOKENS(text)))
         if len(self.known) > REMEMBERED:
-            self.known = dict(self.whole)
-        missing = [p for p in pieces if p not in self.known]
-        for piece, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-            self.known[piece] = len(encoded.ids)
+            self.known = dict(self.after_blank)
+        head, *parts = text.split(" ")
+        sizes = list(map(self.known.get, parts))
+        if None in sizes:
+            merged = self.merger.encode_ordinary
+            new = {p: len(merged(" " + p)) for p in {p for p, n in zip(parts, sizes) if n is None}}  # noqa: B905
+            sizes = [new[p] if n is None else n for p, n in zip(parts, sizes)]  # noqa: B905
+            self.known.update(new if max(map(len, new)) <= LONGEST else {p: n for p, n in new.items() if len(p) <= LONGEST})
+        return self.size(head) + sum(sizes)
+
+
+@functools.lru_cache(maxsize=2)
+def counter(vocabulary: str, whole: frozenset[str]) -> Counter:
+    """One for each worker process, so that its tasks share what was merged."""
+    return Counter(vocabulary, whole)
 
 
 def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """``keep``, n_bytes, n_tokens and over_limit for every row; nulls count as empty texts, other columns are dropped.
 
     Counts are those of the tokenizers library without begin, end or added special tokens. One narrow pass, no shuffle;
-    a task holds one Arrow batch and a bounded memory of merged pre-tokens.
+    a process holds one Arrow batch and a bounded memory of merged parts.
     """
     from tokenizers import Tokenizer
 
@@ -102,10 +145,10 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = rows.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary, whole.value)
+        count = counter(vocabulary, whole.value).count
         for batch in batches:
             texts = batch.column("__text")
-            n = pa.array([counter.count(t) for t in texts.to_pylist()], pa.int64())
+            n = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pc.binary_length(texts).cast(pa.int64()), n, pc.greater(n, limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 

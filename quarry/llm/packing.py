@@ -67,11 +67,12 @@ def pack(docs: DataFrame, length: Column, max_len: int = MAX_LEN, buckets: int =
     and only a bucket's last batch may hold fewer. A piece of 0 units has bucket_len 0 and a null batch_id: it needs no
     place. Repeated rows are packed as often as they come.
 
-    Positions inside a bucket are counted per shard (a hash of the row) and shifted by the shards before it, so a bucket
-    with most of the rows is never in one task; the shifts are buckets * shards numbers at most.
+    Positions inside a bucket are counted per shard and shifted by the shards before it, so a bucket with most of the rows
+    is never in one task; the shifts are buckets * shards numbers at most. The shard is a hash of the piece's row, moved on
+    by its place among the rows read, so that repeated rows (or ids, or null ids) are dealt out too; it is stored before it is used.
     """
-    rows = pieces(docs, length, max_len, *keep).withColumn("__shard", F.pmod(F.xxhash64(*keep, "piece"), F.lit(shards)).cast("int"))
-    rows = materialize(rows, "pieces")
+    shard = F.pmod(F.xxhash64(*keep, "piece", "n_units") + F.monotonically_increasing_id() % shards, F.lit(shards)).cast("int")
+    rows = materialize(pieces(docs, length, max_len, *keep).withColumn("__shard", shard), "pieces")
     histogram = {r["n_units"]: r["count"] for r in rows.where("n_units > 0").groupBy("n_units").count().collect()}
     bounds = optimal_boundaries(histogram, buckets)
     bucket = F.array_min(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<int>"), lambda b: b >= F.col("n_units")))

@@ -3,12 +3,13 @@ windows of ordinary and of toxic texts; single words also with one of words that
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
 from collections import Counter
 from collections.abc import Container, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 4_000, 20_000
 #: Sizes of the trained dictionaries: of windows of ordinary and of toxic texts, and of the selected words.
 ORDINARY_BYTES, TOXIC_BYTES, WORD_BYTES = 8192, 8192, 4096
 #: Words of a window, and words between the beginnings of two windows: every word but the first and last few is in two of them.
-WINDOW, STEP = 8, 4
+WINDOW, STEP = 16, 8
 #: A dictionary is trained on so many windows at most.
 MAX_WINDOWS = 30_000
 #: The word dictionary's samples are words of toxic texts with a beginning of so many bytes (the blank included) that toxic
@@ -61,14 +62,14 @@ class Distance:
     """Bytes that a window costs with the ordinary dictionary less those with the toxic one, and the like for single words."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, words: bytes) -> None:
-        self.by_ordinary, self.by_toxic = (self.compressor(d, min_match=4, search_log=4, strategy=zstd.STRATEGY_LAZY) for d in (ordinary, toxic))
+        self.by_ordinary, self.by_toxic = (self.compressor(d, zstd.STRATEGY_GREEDY) for d in (ordinary, toxic))
         self.by_common, self.by_words = (self.compressor(d + BEFORE + AFTER) for d in (ordinary, ordinary + words))
         self.known: dict[bytes, int] = {}
 
     @staticmethod
-    def compressor(content: bytes, min_match: int = 3, search_log: int = 8, strategy: int = zstd.STRATEGY_BTOPT):
+    def compressor(content: bytes, strategy: int = zstd.STRATEGY_LAZY):
         how = zstd.ZstdCompressionParameters(
-            window_log=15, chain_log=15, hash_log=13, search_log=search_log, min_match=min_match, target_length=64, strategy=strategy,
+            window_log=15, chain_log=15, hash_log=13, search_log=4, min_match=4, target_length=64, strategy=strategy,
             format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=how)
@@ -132,14 +133,14 @@ def joined(parts: list[bytes], n: int) -> list[bytes]:
     return [b"".join(parts[i : i + n]) for i in range(0, len(parts), n)]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
     """Dictionaries and the calibrated logistic weights; without usable labels, ``share`` is every text's score."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
     words: bytes = b""
-    weights: list[float] = field(default_factory=list)
+    weights: tuple[float, ...] = ()
     share: float = 0.0
 
     def scorer(self):
@@ -149,6 +150,12 @@ class Model:
         return lambda text: float(1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, float(np.dot(w[:-1], distance.features(text)) + w[-1]))))))
 
 
+@functools.lru_cache(maxsize=2)
+def scorer(model: Model):
+    """One for each worker process, so that its tasks share the distances of words."""
+    return model.scorer()
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> list[float]:
     """Ridge logistic regression of weighted rows by Newton steps; weights for the plain features, the constant last."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -206,7 +213,7 @@ def fit(toxic: list[str], ordinary: list[str], folds: int = FOLDS) -> Model:
     nothing can be held apart: then every text scores the share of toxic ones, or ``UNKNOWN`` where that is less, so
     that no text reaches the threshold.
     """
-    unique = lambda texts: list({t[:64]: t for t in texts if t.strip()}.values())  # copies would count their words many times
+    unique = lambda texts: list(dict.fromkeys(t for t in texts if t.strip()))  # copies would count their words many times
     toxic, ordinary = unique(toxic), unique(ordinary)
     share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1.0)
     n = min(folds, len(toxic), len(ordinary))
@@ -221,7 +228,7 @@ def fit(toxic: list[str], ordinary: list[str], folds: int = FOLDS) -> Model:
             y += [float(label)] * len(parts.texts[label][k])
     # Where most labels are toxic, either label counts alike: else a text of neither kind would score their share.
     weight = np.where(np.array(y) == 1, min(1.0, len(ordinary) / len(toxic)), 1.0)
-    return Model(*parts.dictionaries(), weights=logistic(np.array(x), np.array(y), weight))
+    return Model(*parts.dictionaries(), weights=tuple(logistic(np.array(x), np.array(y), weight)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -245,13 +252,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_o
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``name`` (0 to 1) in place of any of that name; null text is scored as empty.
 
-    One narrow pass; a task remembers the distances of a bounded number of words.
+    One narrow pass; a process remembers the distances of a bounded number of words. Repeated rows score alike.
     """
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(*kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
+        of = scorer(model)
         for b in batches:
             scores = pa.array([of(t or "") for t in b.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, name])

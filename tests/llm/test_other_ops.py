@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import chat_format, itq_dedup, vector_search, warc_zstd
+from quarry.llm import chat_format, itq_dedup, shared, token_counts, vector_search, warc_zstd
 
 # archives
 
@@ -78,6 +78,17 @@ def test_rendering_is_reversible(turns):
     assert len(inside) == 2 * len(turns) + 2 and not any(c in part for part in inside for c in ("<|", "</s>", "<s>", "[INST]", "[/INST]"))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(alphabet="ab \n'\u00e9\u4e2d\U0001f600\u0416.1", max_size=30)), max_size=4))
+def test_offsets_are_the_library_s(turns):
+    from tokenizers import Tokenizer
+
+    text, _ = chat_format.render(turns)
+    want = Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY)).encode(text, add_special_tokens=False)
+    ids, starts, ends = chat_format.encode_with_offsets(text, token_counts.VOCABULARY)
+    assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+
+
 def test_chats(spark):
     say = "</s>[INST] ok [/INST]"
     rows = [(1, 1, "assistant", "B <|endoftext|> b"), (1, 0, "user", "a"), (1, 2, "user", None), (1, 3, "assistant", "\n é\U0001f600 <"), (1, 4, "assistant", "\\| next"), (2, 0, None, "x"), (3, None, "assistant", ""),
@@ -145,6 +156,45 @@ def brute_links(rows, cosine=0.9):
     return links, {i: root(i) for i, _ in good}
 
 
+def partners(x, cosine, rng):
+    """A unit vector at the given cosine of each row, in a random direction."""
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine * cosine) * itq_dedup.unit(away)
+
+
+@pytest.mark.parametrize("size", [24, 64, 200])
+@pytest.mark.parametrize("mean_square", [0.0, 0.5, 0.7])
+def test_tables_find_pairs_of_every_cosine(size, mean_square):
+    rng = np.random.default_rng(size)
+    x = math.sqrt(1 - mean_square) * itq_dedup.unit(rng.standard_normal((4000, size))) + math.sqrt(mean_square / size)
+    x = itq_dedup.unit(x)
+    centre = x.mean(axis=0)
+    plan = itq_dedup.plan_for(50_000, 0.9, float(centre @ centre))
+    rotations = [itq_dedup.learn(x[:2000], seed, plan.centred) for seed in range(plan.words)]
+    for cosine in (0.9, 0.92, 0.95, 0.99):
+        a, b = (itq_dedup.codes_of(v, rotations) for v in (x[2000:], partners(x[2000:], cosine, rng)))
+        meet = (itq_dedup.keys_of(a, plan) == itq_dedup.keys_of(b, plan)).any(axis=1)
+        near = np.bitwise_count((a[:, 0] ^ b[:, 0]).view(np.uint64)) <= plan.most_bits
+        assert (meet & near).mean() >= 0.97
+
+
+def test_links_of_64_dimensions(spark):
+    rng = np.random.default_rng(9)
+    x = itq_dedup.unit(rng.standard_normal((1200, 64)))
+    rows = np.vstack([x, *[partners(x[k * 300 : (k + 1) * 300], c, rng) for k, c in enumerate((0.9001, 0.91, 0.93, 0.95))], partners(x[:300], 0.899, rng)])
+    got = {r["vec_id"]: r["n_links"] for r in itq_dedup.near_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(rows)], "double")).collect()}
+    near = rows @ rows.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum() > 2000
+
+
+def test_plans_grow_with_the_table_alone():
+    plans = [itq_dedup.plan_for(n) for n in (1, 10**5, 10**7, 10**9)]
+    assert [p.sub for p in plans] == [10, 10, 15, 21] and all(a.tables <= b.tables for a, b in zip(plans, plans[1:], strict=False))
+    assert not itq_dedup.plan_for(100, 0.9, 0.95).centred and itq_dedup.plan_for(100, 1.0).tables == 1
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(itq_dedup, "BLOCK", 16)
     rows = cloud(600) + ODD
@@ -166,10 +216,11 @@ def test_near_vectors(spark, monkeypatch):
     assert itq_dedup.near_vectors(vectors(spark, ODD[:5])).count() == 5
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("cells", [3, 16, 256])
+def test_top_k(spark, cells):
     rows = cloud(230) + ODD
     got = collections.defaultdict(list)
-    for r in vector_search.top_k(vectors(spark, rows, "double"), candidates=40, queries=3).orderBy("query_id", "rank").collect():
+    for r in vector_search.top_k(vectors(spark, rows, "double"), candidates=40, queries=3, cells=cells).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     asked = {i: v for i, v in good if i % 50 == 0}
@@ -183,12 +234,57 @@ def test_top_k(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in few) == [(0, 1, 50), (50, 1, 0)]
 
 
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    sizes, keep = {}, vector_search.materialize
+    monkeypatch.setattr(vector_search, "materialize", lambda df, what: sizes.setdefault(what, keep(df, what)))
+    rows = cloud(3000, 64)
+    vector_search.top_k(vectors(spark, rows), candidates=500).count()
+    assert sizes["approximation"].columns == ["row", "vec_id", "codes"] and sizes["approximation"].selectExpr("max(length(codes))").first()[0] == 64
+    assert sizes["candidates"].count() < 60 * 3000 / 20
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(1)
+    exact, queries = rng.integers(-900, 700, (200, 30)).astype(float), rng.integers(-900, 700, (20, 30)).astype(float)
+    for cells in (2, 7, 256):
+        grid = vector_search.Grid(exact.min(axis=0).astype(int).tolist(), exact.max(axis=0).astype(int).tolist(), cells)
+        scores, off = grid.bounds(grid.codes(exact), queries)
+        assert (np.abs(scores - queries @ exact.T) <= off[:, None]).all()
+
+
+def test_repeated_vectors(spark):
+    rows = [(i, [1.0, 0.5]) for i in range(2000)] + [(50, [1.0, 0.5])] * 20 + [(3000, [1.0, 0.49])] * 9
+    got = collections.defaultdict(list)
+    for r in vector_search.top_k(vectors(spark, rows), candidates=64).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == got[3000] == [0, 1, 2, 3, 4] and len(got) == 41
+
+
 def test_ties_go_to_smaller_ids(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60, -1, -1)]
     got = vector_search.top_k(vectors(spark, rows), candidates=7, every=60).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_large_buckets_deal_few_rows(spark):
+    rows = spark.range(50_000).selectExpr("7L AS key", "id", "1L AS comp").union(spark.sql("SELECT 7L, 50000L, 2L"))
+    dealt = shared.cells_across(rows, "key", "id", "comp", 512)
+    assert dealt.count() <= 50_000 + 2 + 50_001 // 512 + 1
+    assert dealt.groupBy("cell").count().selectExpr("max(count)").first()[0] <= 4 * 512
+    assert shared.cells_across(rows.where("comp = 1"), "key", "id", "comp", 512).count() == 0
+
+
+def test_all_pairs_across_groups_meet(spark):
+    r = random.Random(4)
+    rows = [(k, 100 * k + i, r.choice([1, 1, 1, 2, 3])) for k, n in enumerate((3, 9, 40)) for i in range(n)]
+    dealt = shared.cells_across(spark.createDataFrame(rows, "key long, id long, comp long"), "key", "id", "comp", 8).orderBy("cell").toPandas()
+    met = set()
+    for i, j in shared.meeting(dealt["cell"].astype("category").cat.codes.to_numpy(), dealt["side"].to_numpy(), dealt["alone"].to_numpy()):
+        met |= {frozenset(p) for p in zip(dealt["id"].to_numpy()[i].tolist(), dealt["id"].to_numpy()[j].tolist(), strict=True)}
+    want = {frozenset((a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+    assert want <= met
+
+
 # pipeline
 
 

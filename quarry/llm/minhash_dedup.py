@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cells, components, grouped_batches, materialize, meeting, table
+from .shared import cells_across, components, grouped_batches, materialize, meeting, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -246,12 +246,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     Documents with 100 * |A and B| >= percent * |A or B| over distinct five-word shingles are linked; component_id is the
     smallest doc_id reachable. 1. Equal sets collapse to their smallest doc_id. 2. In every band bucket each document is
     a candidate with the bucket's smallest id only; odd sketches discard, full sets confirm; components form. 3. In
-    buckets that still hold several components, all pairs across components are estimated in cells of bounded size, and
-    the survivors confirmed there. So every pair that shares a band is linked, refuted, or already in one component, and
+    buckets that still hold several components, all pairs across components are estimated in cells of bounded size: those
+    outside a bucket's largest component against all of the bucket. The survivors are confirmed there. So every pair that shares a band is linked, refuted, or already in one component, and
     no task emits the pairs of a group.
 
     Null or empty texts have no shingles and link with nothing. Rows that share a doc_id are one document; a row with a
-    null doc_id stays alone (component null). Other columns are dropped; an empty table gives no rows.
+    null doc_id stays alone (component null). doc_id must be an integer. Other columns are dropped; an empty table gives no rows.
     """
     sig = materialize(signatures(docs, text), "signatures")
     named = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -267,14 +267,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     first = materialize(components(confirmed(materialize(stars, "stars"), texts, percent)), "first-components")
 
     comp = lambda df: df.join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
-    members = comp(shared.select("key", "band", "id", "n"))
-    still = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = cells(members.join(still, "key"), "key", "id", "n", BLOCK).join(reps.drop("digest"), "id")
+    members = comp(shared.select("key", "band", "id"))
+    rest = cells_across(members, "key", "id", "comp", BLOCK).join(reps.drop("digest"), "id")
     rest = materialize(with_partners(rest.selectExpr("cell", "side", "alone", "band", "id", "comp", "n_shingles", "bands", "sketch"), percent), "open-cells")
     second = components(linked_in_cells(rest.join(texts.hint("merge"), "id"), percent)).withColumnRenamed("id", "comp")
     final = comp(reps.select("digest", "id")).join(second, "comp", "left").select("digest", F.coalesce("component_id", "comp").alias("component_id"))
     kind = docs.schema["doc_id"].dataType
-    out = sig.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    # Texts without words have no digest; they are dealt out by their id and find nothing.
+    out = sig.select("doc_id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("doc_id"))).alias("digest")).join(final, "digest", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")).cast(kind), "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

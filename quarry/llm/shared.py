@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset in one process (tests), a temporary one.
+
+    On a cluster a folder of the driver's machine would not do, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,7 +55,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, _PATHS.pop(df))
 
 
 def n_words(text: Column) -> Column:
@@ -77,16 +95,17 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     left = edges.where("a <> b").select("a", "b").distinct()
     left = materialize(left, what)
     both = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    label = both.select("id", F.col("id").alias("c"))
+    label = materialize(both.select("id", F.col("id").alias("c")), what)
     while not left.isEmpty():
         out = left.union(left.select("b", "a"))
         step = out.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("v"), F.least(F.col("m"), rank(F.col("a")))["v"].alias("to"))
         jump = step.alias("s").join(step.select(F.col("v").alias("to"), F.col("to").alias("far")), "to").select("v", F.col("far").alias("to"))
-        step = materialize(jump, what)
+        step, was = materialize(jump, what), (left, label)
         label = materialize(label.join(step, label["c"] == step["v"], "left").select("id", F.coalesce("to", "c").alias("c")), what)
         for side in ("a", "b"):
             left = left.join(step.select(F.col("v").alias(side), "to"), side).drop(side).withColumnRenamed("to", side)
         left = materialize(left.where("a <> b").select("a", "b").distinct(), what)
+        release(step, *was)
     least = label.groupBy("c").agg(F.min("id").alias("component_id"))
     return label.join(least, "c").select("id", "component_id")
 
@@ -118,6 +137,27 @@ def cells(df: DataFrame, key: str, id: str, count: str, block: int) -> DataFrame
     return df.withColumn("cell", cell).withColumn("alone", F.col("side") == F.col("__t")).drop("__t")
 
 
+def cells_across(df: DataFrame, key: str, id: str, group: str, block: int) -> DataFrame:
+    """Deal the members of each ``key`` so that any two of different ``group`` meet: adds cell, side and alone as ``cells`` does.
+
+    A key of up to ``block`` rows is one cell. In a larger one the strangers (rows outside the key's largest group) are
+    dealt into blocks of their own, and each of these meets all rows in blocks: a row of the largest group goes to
+    ceil(strangers / block) cells, not to as many as the key has blocks. Keys of one group alone are left out.
+    """
+    sizes = df.groupBy(key, group).agg(F.count("*").alias("__c"))
+    large = sizes.groupBy(key).agg(F.sum("__c").alias("__n"), F.max("__c").alias("__l"), F.max_by(group, F.struct("__c", group)).alias("__g")).where("__n > __l")
+    df = df.join(large, key).withColumn("alone", F.col("__n") <= block)
+    blocks = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
+    every, few = blocks(F.col("__n")), blocks(F.col("__n") - F.col("__l"))
+    mine, stranger = F.pmod(F.xxhash64(id), every), F.col(group) != F.col("__g")
+    row = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    right = F.transform(F.sequence(F.lit(0), few - 1), lambda i: row(i, mine, 1))
+    left = F.transform(F.sequence(F.lit(0), every - 1), lambda j: row(F.pmod(F.xxhash64(id, F.lit(1)), few), j, 0))
+    to = F.when(F.col("alone"), F.array(row(F.lit(0), F.lit(0), 0))).when(stranger, F.concat(left, right)).otherwise(right)
+    df = df.withColumn("__to", F.explode(to)).withColumn("side", F.col("__to.side"))
+    return df.withColumn("cell", F.concat_ws(":", F.col(key).cast("string"), "__to.i", "__to.j")).drop("__n", "__l", "__g", "__to")
+
+
 def meeting(cell: np.ndarray, side: np.ndarray, alone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i, j) of rows that meet, for rows sorted by cell: row i with row i + 1, then i + 2, and so on."""
     left, step = np.arange(len(cell)), 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import minhash_dedup, mixing, packing, secret_scan, toxicity
-from quarry.llm.shared import scratch, table, unused
+from quarry.llm.shared import materialize, scratch, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +17,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Repeated rows of one id: one of them.
+    """One document of each group of near-duplicates: the first by the number that its row gets here.
 
-    The ids to drop are the fewer rows; rows without doc_id, and texts without words, stay.
+    Rows are decided on by their own text, so rows that share an id, or have none, go only if their text is a copy or near
+    copy of a kept row's. Texts without words stay.
     """
-    dropped = minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    number = unused(docs, "number")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    dropped = minhash_dedup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).where("NOT kept").select(F.col("doc_id").alias(number))
+    return rows.join(dropped, number, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

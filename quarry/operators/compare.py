@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,14 +35,15 @@ def merged_map(project: Column, workspace: Column) -> Column:
     return F.map_concat(F.map_filter(workspace, lambda k, _: ~F.coalesce(F.map_contains_key(project, k), F.lit(False))), project)
 
 
-def longest_prefix(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str, key: str) -> DataFrame:
-    """Each row with the longest of ``prefixes`` that its text begins with (null if none).
+def longest_prefix(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Each row, repeated ones too, with the longest of ``prefixes`` that its text begins with (null if none).
 
-    An equi-join: a row looks up its own beginnings, of the lengths that occur among the prefixes, so neither side is
-    compared pair by pair; ties can't happen, as one text has one beginning of each length.
+    Looked up by distinct texts: a text meets its own beginnings, of the lengths that occur among the prefixes, in an
+    equi-join, so neither side is compared pair by pair; the longest hit is one partial aggregate, joined back by the text.
     """
     lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().collect()]  # lengths alone, a few numbers
-    cut = F.explode_outer(F.array(*[F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>"))
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(F.length("__p")))
-    hit = rows.withColumn("__cut", cut).join(prefixes.select(F.col(prefix).alias("__p")).distinct(), F.col("__cut") == F.col("__p"), "left")
-    return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").withColumnRenamed("__p", prefix).drop("__n", "__cut")
+    cut = F.explode(F.array(*[F.substring("__text", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>"))
+    cuts = rows.select(F.col(text).alias("__text")).where("__text IS NOT NULL").distinct().withColumn("__p", cut)
+    hits = cuts.join(prefixes.select(F.col(prefix).alias("__p")).distinct(), "__p")
+    longest = hits.groupBy("__text").agg(F.max_by("__p", F.length("__p")).alias(prefix))
+    return rows.join(longest, F.col(text) == F.col("__text"), "left").drop("__text")

@@ -26,7 +26,8 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b != 0, F.call_function("div", a, b))
 
 
-#: Fixed names of the 23 binary operators and two negations, as they are lowered, and what they are on columns.
+#: Fixed names of the binary operators and two negations, as they are lowered, and what they are on columns. The 23rd binary
+#: operator, ``pipe``, applies its second argument to its first (``on_reference``).
 OPERATORS: dict[str, Callable[..., Column]] = {
     "and": lambda a, b: a & b, "or": lambda a, b: a | b, "eq": lambda a, b: a.eqNullSafe(b), "noteq": lambda a, b: ~a.eqNullSafe(b),
     "ltint": lambda a, b: a < b, "ltfloat": lambda a, b: a < b, "lteqint": lambda a, b: a <= b, "lteqfloat": lambda a, b: a <= b,
@@ -87,6 +88,8 @@ class Compiler:
             finally:
                 self.open.pop()
         plain = name.replace("-", "")
+        if plain == "pipe":
+            return lambda value: lambda function: function(value)
         if plain in OPERATORS:
             return curried(OPERATORS[plain], ARITY.get(plain, 2))
         if name in self.natives:
@@ -94,6 +97,10 @@ class Compiler:
             return curried(f, f.__code__.co_argcount)
         raise Unsupported(f"unknown {name}")
 
+    def on_native(self, body: dict, env: dict) -> Any:
+        """A native function by its name: one of the table given, or an operator."""
+        return self.on_reference({"fqname": body["fqname"]}, env)
+
     def on_constructor(self, body: dict, env: dict) -> Any:
         tag = text_of(body["fqname"]).rpartition("#")[2]
         if tag in ("true", "false"):

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.tree import rewrite, rows_of
+from quarry.sources.documents import UNREADABLE, definitions_of
+
+#: Documents whose nodes a task holds at a time.
+DOCUMENTS = 64
 
 NODE = (
     "doc_id long, module string, def_name string, def_ord int, node_id int, parent_id int, role string, ord int, depth int, family string, kind string, "
-    "name string, fqn string, lit_type string, lit_text string"
+    "name string, fqn string, lit_type string, lit_text string, attrs string, info string"
 )
 
 
@@ -28,22 +34,53 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def shred(defs: DataFrame) -> DataFrame:
-    """``ir_nodes`` of ``definitions``: parents before children, order kept in ``ord``; unreadable definitions have no nodes."""
+def trees_of(body, family: str) -> Iterator[tuple]:
+    """The node rows of a definition: those of its trees one after another."""
+    at = 0
+    for part, kind in roots(body, family):
+        n = 0
+        for row in rows_of(part, kind):
+            n += 1
+            yield (row[0] + at, None if row[1] is None else row[1] + at, *row[2:])
+        at += n
+
+
+def shredded(docs: DataFrame, schema: str, rows: Callable[[int, list[tuple]], Iterable[tuple]]) -> DataFrame:
+    """``rows`` of each document's definitions, (module, family, ord, name, nodes): the text is parsed once and leaves as rows alone.
+
+    Unreadable documents have none. A document is a row's work; batches of a few documents keep what a task holds small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(NODE)
-        for b in batches:
-            out = []
-            for doc, module, family, order, name, body in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                inner, at = json.loads(body), 0
-                for part, kind in roots(inner, family):
-                    rows = list(rows_of(part, kind))
-                    out += [(doc, module, name, order, r[0] + at, None if r[1] is None else r[1] + at, *r[2:]) for r in rows]
-                    at += len(rows)
-            yield _batches(out, schema)
+        arrow = _arrow(schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                out: list[tuple] = []
+                for doc, raw in zip(*(whole.slice(at, DOCUMENTS).column(i).to_pylist() for i in (0, 1)), strict=True):
+                    try:
+                        out += rows(doc, [(module, family, k, name, list(trees_of(body, family))) for module, _, _, family, k, name, _, _, _, body in definitions_of(raw)])
+                    except UNREADABLE:
+                        continue
+                yield _batches(out, arrow)
+
+    return docs.select("doc_id", "raw").mapInArrow(run, schema)
+
+
+def _all(doc: int, defs: list[tuple]) -> Iterator[tuple]:
+    return ((doc, module, name, k, *row) for module, _, k, name, nodes in defs for row in nodes)
 
-    return defs.where("error IS NULL").select("doc_id", "module", "family", "ord", "name", "body").mapInArrow(run, NODE)
+
+def _kinds(doc: int, defs: list[tuple]) -> Iterator[tuple]:
+    return ((doc, *key, n) for key, n in Counter((row[5], row[6]) for *_, nodes in defs for row in nodes).items())
+
+
+def _depths(doc: int, defs: list[tuple]) -> Iterator[tuple]:
+    return ((doc, module, name, len(nodes), max(row[4] for row in nodes), sum(row[6] == "Variable" for row in nodes)) for module, _, _, name, nodes in defs if nodes)
+
+
+def shred(docs: DataFrame) -> DataFrame:
+    """``ir_nodes`` of ``documents``: parents before children, order kept in ``ord``; unreadable documents have no nodes."""
+    return shredded(docs, NODE, _all)
 
 
 def roots(body, family: str):
@@ -82,12 +119,28 @@ def typed(part):
             yield from typed(x)
 
 
-def kind_counts(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("doc_id", "family", "kind").agg(F.count("*").alias("n"))
+def kind_counts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, family, kind, n)``, counted per document before anything leaves its task, then per doc_id."""
+    return shredded(docs, "doc_id long, family string, kind string, n long", _kinds).groupBy("doc_id", "family", "kind").agg(F.sum("n").alias("n"))
+
+
+def depth_profile(docs: DataFrame) -> DataFrame:
+    """``(doc_id, module, def_name, n_nodes, max_depth, n_variables)`` of each definition with nodes."""
+    return shredded(docs, "doc_id long, module string, def_name string, n_nodes long, max_depth int, n_variables long", _depths)
+
+
+def map_attributes(nodes: DataFrame, by_kind: dict[str, Callable[[Column], Column]], otherwise: Callable[[Column], Column] = lambda a: a) -> DataFrame:
+    """Nodes with new ``attrs``, structure unchanged: a projection, by the node's kind where one is given."""
+    out = F.lit(None).cast("string")
+    for n, (kind, f) in enumerate(by_kind.items()):
+        out = F.when(F.col("kind") == kind, f(F.col("attrs"))) if n == 0 else out.when(F.col("kind") == kind, f(F.col("attrs")))
+    return nodes.withColumn("attrs", out.otherwise(otherwise(F.col("attrs"))) if by_kind else otherwise(F.col("attrs")))
 
 
-def depth_profile(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("doc_id", "module", "def_name").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("max_depth"), F.count_if(F.col("kind") == "Variable").alias("n_variables"))
+def incomplete(nodes: DataFrame) -> DataFrame:
+    """``(doc_id, module, def_name, node_id, kind, reason, detail)`` of holes and natives: the tag of a reason or hint, and what it says."""
+    tag = F.coalesce(F.get(F.json_object_keys(F.coalesce(F.get_json_object("info", "$.hint"), F.col("info"))), 0), F.regexp_extract("info", '^"(.*)"$', 1))
+    return nodes.where(F.col("kind").isin("Hole", "Native")).select("doc_id", "module", "def_name", "node_id", "kind", tag.alias("reason"), F.col("info").alias("detail"))
 
 
 def unresolved(nodes: DataFrame, defs: DataFrame, package: str) -> DataFrame:
@@ -100,18 +153,19 @@ def unresolved(nodes: DataFrame, defs: DataFrame, package: str) -> DataFrame:
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``(a, b, hops)``: all b reachable from a over ``edges(a, b)``, with the least number of steps.
 
-    Semi-naive: each round joins only the pairs found last to the edges, so it ends when nothing new is found; more
-    rounds than ``rounds`` raise an error rather than give a part of the result.
+    Semi-naive: each round joins only the pairs found last to the edges, so it ends when nothing new is found; a round's
+    pairs are written once and never again. More rounds than ``rounds`` raise an error rather than give a part of the result.
     """
     edges = edges.select("a", "b").distinct()
-    done = edges.withColumn("hops", F.lit(1)).checkpoint()
-    fresh = done
+    fresh = edges.withColumn("hops", F.lit(1)).checkpoint()
+    edges, done = fresh.select("a", "b"), [fresh]
     for n in range(2, rounds + 2):
+        known = functools.reduce(DataFrame.unionByName, done)
         step = fresh.select("a", F.col("b").alias("via")).join(edges.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
-        fresh = step.join(done, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)).checkpoint()
+        fresh = step.join(known, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)).checkpoint()
         if fresh.isEmpty():
-            return done
-        done = done.unionByName(fresh).checkpoint()
+            return known
+        done.append(fresh)
     raise ValueError(f"paths of more than {rounds} steps")
 
 
@@ -136,9 +190,9 @@ def converted(trees: DataFrame, family: str, to_v4: bool) -> DataFrame:
                 try:
                     done.append(json.dumps(rewrite(json.loads(body), family, to_v4)))
                     why.append(None)
-                except (ValueError, TypeError, AttributeError, KeyError, IndexError) as e:
+                except UNREADABLE as e:
                     done.append(None)
-                    why.append(str(e))
+                    why.append(str(e) or type(e).__name__)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string()), pa.array(why, pa.string())], names=schema.names)
 
     return trees.mapInArrow(run, schema)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed tokens of the language: strings, comments, numbers, names, operators of two or three characters, single characters.
-TOKEN = r'"(?:\\.|[^"\\])*"|//[^\n]*|[0-9][0-9_]*\.[0-9_]*|[0-9][0-9_]*|[A-Za-z_][A-Za-z0-9_]*|<=\.|>=\.|<\.|>\.|\+\.|-\.|\*\.|/\.|\|>|\|\||&&|==|!=|<=|>=|<>|->|<-|\.\.|<<|>>|[^\s]'
+#: A string's runs are possessive, so that long ones need no stack. One that is never closed is a single quote mark and what follows.
+TOKEN = r'"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|//[^\n]*|[0-9][0-9_]*\.[0-9_]*|[0-9][0-9_]*|[A-Za-z_][A-Za-z0-9_]*|<=\.|>=\.|<\.|>\.|\+\.|-\.|\*\.|/\.|\|>|\|\||&&|==|!=|<=|>=|<>|->|<-|\.\.|<<|>>|[^\s]'
 
 
 def tokens(text: Column) -> Column:

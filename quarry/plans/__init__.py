@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from .queries import ORACLES, QUERIES
 
-FLAGSHIP = "logic_process_buy"
+FLAGSHIP = "logic_ship_parcel"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -1,4 +1,4 @@
-"""Business logic in the intermediate representation: orders with market or limit prices, rentals, and every operator."""
+"""A sample program in the intermediate representation: what parcels cost, why they are held, and where they go."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from typing import Any
 
 from quarry.operators.compiler import Compiler, Sum
 
-PACKAGE = "shop:orders"
+PACKAGE = "depot:parcels"
 
 
 def var(name: str) -> dict:
@@ -71,51 +71,93 @@ def fn(params: str, body: dict) -> dict:
     return body
 
 
-PRICE = Sum({"market": (), "limit": ("price",)}, {"price": "double"})
-VIOLATION = Sum({"invalid-price": ("price",), "invalid-quantity": ("quantity",)}, {"price": "double", "quantity": "bigint"})
-REASON = Sum({"insufficient-inventory": (), "disagreeable-price": ()})
-VIOLATIONS, REASONS = "array<struct<tag:string,price:double,quantity:bigint>>", "array<struct<tag:string>>"
-RESPONSE = Sum(
-    {"buy-accepted": ("id", "product", "price", "quantity"), "buy-invalid": ("id", "violations"), "buy-rejected": ("id", "reasons")},
-    {"id": "string", "product": "string", "price": "double", "quantity": "bigint", "violations": VIOLATIONS, "reasons": REASONS},
-)
-RESULT = Sum({"ok": ("value",), "error": ("message",)}, {"value": "bigint", "message": "string"})
+def tup(*values: dict) -> dict:
+    return {"Tuple": {"elements": list(values), "attrs": {}}}
 
-LOCKIN_PRICE = fn("price market", case(var("price"), (of("market"), var("market")), (of("limit", named("p")), var("p"))))
-VALIDATE = fn("request", call(
-    "concatenate",
-    case(field(var("request"), "price"), (of("market"), items()), (of("limit", named("p")), when(call("lt-float", var("p"), lit(0.0)), items(make("invalid-price", var("p"))), items()))),
-    when(call("lt-eq-int", field(var("request"), "quantity"), lit(0)), items(make("invalid-quantity", field(var("request"), "quantity"))), items()),
+
+def record(**fields: dict) -> dict:
+    return {"Record": {"fields": fields, "attrs": {}}}
+
+
+def updated(value: dict, **fields: dict) -> dict:
+    return {"UpdateRecord": {"record": value, "updates": [list(f) for f in fields.items()], "attrs": {}}}
+
+
+def split(pattern: dict, value: dict, body: dict) -> dict:
+    return {"Destructure": {"pattern": pattern, "value": value, "body": body, "attrs": {}}}
+
+
+def pair(*patterns: dict) -> dict:
+    return {"TuplePattern": {"elements": list(patterns), "attrs": {}}}
+
+
+def exactly(value: Any) -> dict:
+    return {"LiteralPattern": {"literal": lit(value)["Literal"]["literal"], "attrs": {}}}
+
+
+def first(head: dict, tail: dict) -> dict:
+    return {"HeadTailPattern": {"head": head, "tail": tail, "attrs": {}}}
+
+
+def getter(name: str) -> dict:
+    return {"FieldFunction": {"name": name, "attrs": {}}}
+
+
+def native(name: str) -> dict:
+    return {"Native": {"fqname": f"{PACKAGE}#{name}", "info": {"hint": {"Arithmetic": {}}}, "attrs": {}}}
+
+
+SPEED = Sum({"ground": (), "air": ("surcharge",), "courier": ("base", "stops")}, {"surcharge": "double", "base": "double", "stops": "bigint"})
+ISSUE = Sum({"overweight": ("grams",), "undeclared": (), "fragile": ("layers",)}, {"grams": "bigint", "layers": "bigint"})
+ISSUES = "array<struct<tag:string,grams:bigint,layers:bigint>>"
+OUTCOME = Sum({"sent": ("fee", "zone"), "held": ("first", "issues")}, {"fee": "double", "zone": "string", "first": "string", "issues": ISSUES})
+
+FEE = fn("speed kilos", case(
+    var("speed"),
+    (of("ground"), call("add-float", lit(3.25), call("mult-float", var("kilos"), lit(0.5)))),
+    (of("air", named("extra")), call("add-float", var("extra"), call("mult-float", var("kilos"), lit(1.25)))),
+    (of("courier", named("base"), named("stops")), when(call("gt-int", var("stops"), lit(3)), call("mult-float", var("base"), lit(1.5)), var("base"))),
 ))
-PROCESS_BUY = fn("request market inventory", let("violations", call("validate", var("request")), let(
-    "locked", call("lockin-price", field(var("request"), "price"), var("market")), let(
-        "rejections", call(
-            "concatenate",
-            when(call("lt-float", var("locked"), call("mult-float", var("market"), lit(0.9))), items(make("disagreeable-price")), items()),
-            when(call("lt-int", var("inventory"), field(var("request"), "quantity")), items(make("insufficient-inventory")), items()),
-        ),
-        case(
-            var("violations"),
-            (EMPTY, case(
-                var("rejections"),
-                (EMPTY, make("buy-accepted", field(var("request"), "id"), field(var("request"), "product"), var("locked"), field(var("request"), "quantity"))),
-                (WILD, make("buy-rejected", field(var("request"), "id"), var("rejections"))),
-            )),
-            (WILD, make("buy-invalid", field(var("request"), "id"), var("violations"))),
-        ),
+#: A parcel is a record of grams, declared, layers; what is wrong with it, in this order.
+CHECK = fn("parcel", call(
+    "concatenate",
+    when(call("gt-int", field(var("parcel"), "grams"), lit(30_000)), items(make("overweight", field(var("parcel"), "grams"))), items()),
+    call(
+        "concatenate",
+        when(call("not", field(var("parcel"), "declared")), items(make("undeclared")), items()),
+        case(field(var("parcel"), "layers"), (exactly(0), items(make("fragile", lit(0)))), (exactly(1), items(make("fragile", lit(1)))), (WILD, items())),
     ),
-)))
-RENTAL_REQUEST = fn("available requested", when(call("lt-eq-int", var("requested"), var("available")), make("ok", var("requested")), make("error", lit("Insufficient availability"))))
+))
+ZONE = fn("region hops", case(
+    tup(var("region"), var("hops")),
+    (pair(WILD, exactly(0)), lit("local")),
+    (pair(exactly("EUROPE"), named("h")), when(call("lt-eq-int", var("h"), lit(2)), lit("near"), lit("far"))),
+    (WILD, lit("overseas")),
+))
+#: A wrapped parcel weighs 200 g and has a layer more.
+WRAPPED = fn("parcel", updated(var("parcel"), grams=call("add-int", field(var("parcel"), "grams"), lit(200)), layers=call("add-int", call(getter("layers"), var("parcel")), lit(1))))
+SHIP = fn("parcel speed region hops", let("wrapped", call("pipe", var("parcel"), ref("wrapped")), let("issues", call("check", var("wrapped")), case(
+    var("issues"),
+    (EMPTY, make("sent", call("fee", var("speed"), call(native("kilos-of"), field(var("wrapped"), "grams"))), call("zone", var("region"), var("hops")))),
+    (first(named("worst"), WILD), make("held", call(native("label-of"), var("worst")), var("issues"))),
+))))
+#: Least and most of two numbers, swapped where need be, and their distance.
+SPREAD = fn("a b", split(
+    pair(named("low"), named("high")), when(call("lt-int", var("a"), var("b")), tup(var("a"), var("b")), tup(var("b"), var("a"))),
+    record(low=var("low"), high=var("high"), apart=call("sub-int", var("high"), var("low")), down=call("negate", var("low"))),
+))
 
-DEFINITIONS = {"lockin-price": LOCKIN_PRICE, "validate": VALIDATE, "process-buy": PROCESS_BUY, "rental-request": RENTAL_REQUEST}
+DEFINITIONS = {"fee": FEE, "check": CHECK, "zone": ZONE, "wrapped": WRAPPED, "ship": SHIP, "spread": SPREAD}
+NATIVES = {"kilos-of": lambda grams: grams.cast("double") / 1000.0, "label-of": lambda issue: issue.getField("tag")}
 
 
 def compiler() -> Compiler:
-    return Compiler([PRICE, VIOLATION, REASON, RESPONSE, RESULT], DEFINITIONS)
+    return Compiler([SPEED, ISSUE, OUTCOME], DEFINITIONS, NATIVES)
 
 
-def document() -> dict:
-    """The same definitions as a document of version 4."""
-    values = {name: {"access": "Public", "value": {"ExpressionBody": {"inputTypes": {}, "outputType": {"Unit": {"attrs": {}}}, "body": body}}} for name, body in DEFINITIONS.items()}
-    types = {"price": {"access": "Public", "value": {"CustomTypeDefinition": {"typeParams": [], "constructors": {"market": [], "limit": [["price", {"Reference": {"fqname": "lang/sdk:basics#float", "args": [], "attrs": {}}}]]}}}}}
-    return {"formatVersion": "4.0.0", "distribution": {"Library": {"packageName": "shop", "dependencies": {}, "def": {"modules": {"orders": {"access": "Public", "value": {"types": types, "values": values}}}}}}}
+def document(names: tuple[str, ...] = tuple(DEFINITIONS), package: str = "depot") -> dict:
+    """Some of the definitions as a document of version 4."""
+    text = {"Reference": {"fqname": "lang/sdk:basics#float", "args": [], "attrs": {}}}
+    values = {name: {"access": "Private" if name == "spread" else "Public", "value": {"ExpressionBody": {"inputTypes": {}, "outputType": {"Unit": {"attrs": {}}}, "body": DEFINITIONS[name]}}} for name in names}
+    types = {"speed": {"access": "Public", "value": {"CustomTypeDefinition": {"typeParams": [], "constructors": {"ground": [], "air": [["surcharge", text]]}}}}}
+    return {"formatVersion": "4.0.0", "distribution": {"Library": {"packageName": package, "dependencies": {"lang/sdk": {"modules": {}}}, "def": {"modules": {"parcels": {"access": "Public", "value": {"types": types, "values": values}}}}}}}

@@ -29,10 +29,12 @@ def source_files(spark: SparkSession, path: str, language: str) -> DataFrame:
     return files(spark, path, "*.{" + ",".join(EXTENSIONS[language]) + "}")
 
 
-def major_of(version: Column) -> Column:
-    """v4 for a number of at least 4 or a text that begins with 4, else classic; null stays null."""
-    number = F.try_to_number(version, F.lit("999999999"))
-    return F.when(version.isNull(), None).when((number >= 4) | F.startswith(version, F.lit("4")), "v4").otherwise("classic")
+def version_of(content: Column) -> Column:
+    """struct<raw, major> of a document's version: v4 for a number of at least 4 or a text that begins with 4, else classic; null without one."""
+    found = F.from_json(content, "formatVersion variant")["formatVersion"]
+    raw, kind = F.try_variant_get(found, "$", "string"), F.schema_of_variant(found)
+    new = F.when(kind == "STRING", F.startswith(raw, F.lit("4"))).otherwise(F.coalesce(F.try_variant_get(found, "$", "double") >= 4, F.lit(False)))
+    return F.struct(raw.alias("raw"), F.when(raw.isNotNull(), F.when(new, "v4").otherwise("classic")).alias("major"))
 
 
 def target_version(alias: Column) -> Column:
@@ -44,16 +46,19 @@ def target_version(alias: Column) -> Column:
 def documents(found: DataFrame) -> DataFrame:
     """``(doc_id, path, dialect, version_raw, version_major, kind, package, raw)`` of ``files``; no shuffle, JVM functions alone.
 
-    Dialect null marks a file that is no document: not JSON, or without version.
+    A document is of version 4 if its version says so and its distribution is a tagged object, else classic if that is a
+    tagged list, whatever the version. Dialect null marks a file that is neither: not JSON, without version, of another shape.
     """
     at = lambda p: F.get_json_object("content", p)
-    version, wrapper = at("$.formatVersion"), F.get(F.json_object_keys(at("$.distribution")), 0)
+    version, wrapper = version_of(F.col("content")), F.get(F.json_object_keys(at("$.distribution")), 0)
+    raw, listed = version["raw"], at("$.distribution[0]")
+    dialect = F.when((version["major"] == "v4") & wrapper.isNotNull(), "v4").when(raw.isNotNull() & listed.isNotNull(), "classic")
     classic_package = F.from_json(at("$.distribution[1]"), "array<array<string>>")
     package = F.coalesce(at("$.distribution.Library.packageName"), at("$.distribution.Specs.packageName"), at("$.distribution.Application.packageName"),
         F.array_join(F.transform(classic_package, lambda w: F.array_join(w, "-")), "/"))
     return found.select(
-        F.xxhash64("path").alias("doc_id"), "path", major_of(version).alias("dialect"), version.alias("version_raw"),
-        F.regexp_extract(version, r"^(\d+)", 1).try_cast("int").alias("version_major"), F.coalesce(wrapper, at("$.distribution[0]")).alias("kind"), package.alias("package"), F.col("content").alias("raw"),
+        F.xxhash64("path").alias("doc_id"), "path", dialect.alias("dialect"), raw.alias("version_raw"),
+        F.regexp_extract(raw, r"^(\d+)", 1).try_cast("int").alias("version_major"), F.coalesce(wrapper, listed).alias("kind"), package.alias("package"), F.col("content").alias("raw"),
     )
 
 
@@ -65,12 +70,12 @@ def literals(json_text: Column) -> Column:
 
 
 def definitions_of(raw: str) -> Iterator[tuple]:
-    """(module, module_ord, module_access, family, ord, name, access, def_kind, body) of a document of either dialect.
+    """(module, module_ord, module_access, family, ord, name, access, def_kind, doc, body) of a document of either dialect.
 
-    Order is that of the text; entries without a name and a body are left out. Raises ValueError for other shapes.
+    Order is that of the text; entries without a name and a body are left out; body is as parsed. Raises ValueError for other shapes.
     """
-    doc = json.loads(raw)
-    body = doc.get("distribution") if isinstance(doc, dict) else None
+    parsed = json.loads(raw)
+    body = parsed.get("distribution") if isinstance(parsed, dict) else None
     if isinstance(body, dict) and body:
         inner = next(iter(body.values()))
         definition = inner.get("def") or inner.get("spec") or {}
@@ -83,10 +88,15 @@ def definitions_of(raw: str) -> Iterator[tuple]:
         for family in ("types", "values"):
             for k, (name, entry) in enumerate(named(content.get(family, []) if isinstance(content, dict) else [])):
                 own, value = controlled(entry)
+                doc = None
                 if isinstance(value, dict) and set(value) == {"doc", "value"}:
-                    value = value["value"]
+                    doc, value = value["doc"], value["value"]
                 kind = value[0] if isinstance(value, list) and value else next(iter(value)) if isinstance(value, dict) and len(value) == 1 else "ValueDefinition"
-                yield text_of(path), m, access, family[:-1], k, text_of(name), own, str(kind), json.dumps(value)
+                yield text_of(path), m, access, family[:-1], k, text_of(name), own, str(kind), doc, value
+
+
+#: What a document or tree that can't be read may raise; a text of too many levels among them.
+UNREADABLE = (ValueError, TypeError, AttributeError, KeyError, IndexError, RecursionError)
 
 
 def named(entries: Any) -> list[tuple[Any, Any]]:
@@ -104,7 +114,7 @@ def controlled(entry: Any) -> tuple[str, Any]:
     return "Public", entry
 
 
-DEFINITION = "doc_id long, module string, module_ord int, module_access string, family string, ord int, name string, access string, def_kind string, body string, error string"
+DEFINITION = "doc_id long, module string, module_ord int, module_access string, family string, ord int, name string, access string, def_kind string, doc string, body string, error string"
 
 
 def definitions(docs: DataFrame) -> DataFrame:
@@ -116,15 +126,56 @@ def definitions(docs: DataFrame) -> DataFrame:
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    out += [(doc, *row, None) for row in definitions_of(raw)]
-                except (ValueError, TypeError, AttributeError, KeyError, IndexError) as e:
-                    out.append((doc, *[None] * 9, f"{type(e).__name__}: {e}"))
+                    out += [(doc, *row, json.dumps(body), None) for *row, body in definitions_of(raw)]
+                except UNREADABLE as e:
+                    out.append((doc, *[None] * 10, f"{type(e).__name__}: {e}"))
             columns = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return docs.select("doc_id", "raw").mapInArrow(run, DEFINITION)
 
 
+def dependencies(docs: DataFrame) -> DataFrame:
+    """``(doc_id, ord, dependency)``: packages that documents of either dialect depend on, in order."""
+    new = F.json_object_keys(F.coalesce(*[F.get_json_object("raw", f"$.distribution.{k}.dependencies") for k in ("Library", "Specs", "Application")]))
+    old = F.from_json(F.get_json_object("raw", "$.distribution[2]"), "array<array<string>>")
+    path = lambda x: F.array_join(F.transform(F.from_json(x[0], "array<array<string>>"), lambda w: F.array_join(w, "-")), "/")
+    return docs.select("doc_id", F.posexplode(F.coalesce(new, F.transform(old, path))).alias("ord", "dependency"))
+
+
+def entry_points(docs: DataFrame) -> DataFrame:
+    """``(doc_id, ord, name, kind, target, doc)`` of applications."""
+    found = F.from_json(F.get_json_object("raw", "$.distribution.Application.entryPoints"), "map<string, struct<target:string,kind:string,doc:string>>")
+    rows = docs.select("doc_id", F.posexplode(F.map_entries(found)).alias("ord", "e"))
+    return rows.select("doc_id", "ord", F.col("e.key").alias("name"), "e.value.kind", "e.value.target", "e.value.doc")
+
+
+def constructors(defs: DataFrame) -> DataFrame:
+    """``(doc_id, module, type_name, ord, name, access, n_args)`` of custom types of version 4, the constructors with or without access."""
+    at = "$.CustomTypeDefinition.constructors"
+    listed = F.from_json(F.get_json_object("body", f"{at}.value"), "array<struct<name:string,args:array<string>>>")
+    plain = F.transform(F.map_entries(F.from_json(F.get_json_object("body", at), "map<string, array<string>>")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("args")))
+    rows = defs.where("def_kind = 'CustomTypeDefinition'").select("doc_id", "module", F.col("name").alias("type_name"), F.coalesce(F.get_json_object("body", f"{at}.access"), F.lit("Public")).alias("access"), F.posexplode(F.coalesce(listed, plain)).alias("ord", "c"))
+    return rows.select("doc_id", "module", "type_name", "ord", "c.name", "access", F.size("c.args").alias("n_args"))
+
+
+def inputs(defs: DataFrame) -> DataFrame:
+    """``(doc_id, module, value_name, ord, name, type)``: parameters of value definitions of version 4, types as JSON."""
+    found = F.from_json(F.coalesce(*[F.get_json_object("body", f"$.{k}.inputTypes") for k in ("ExpressionBody", "NativeBody", "ExternalBody", "IncompleteBody")]), "map<string, string>")
+    rows = defs.where("family = 'value'").select("doc_id", "module", F.col("name").alias("value_name"), F.posexplode(F.map_entries(found)).alias("ord", "e"))
+    return rows.select("doc_id", "module", "value_name", "ord", F.col("e.key").alias("name"), F.coalesce(F.get_json_object("e.value", "$.type"), F.col("e.value")).alias("type"))
+
+
+def decorations(found: DataFrame) -> DataFrame:
+    """``(target, decorations)`` of ``*.deco.json`` files: JSON with ``target`` and ``decorations``; of several for one target the last path wins."""
+    rows = found.where(F.endswith("path", F.lit(".deco.json"))).select("path", F.get_json_object("content", "$.target").alias("target"), F.get_json_object("content", "$.decorations").alias("decorations"))
+    return rows.where("target IS NOT NULL").groupBy("target").agg(F.max_by("decorations", "path").alias("decorations"))
+
+
+def has_decorator(decorations: Column, kind: str) -> Column:
+    return F.coalesce(F.array_contains(F.json_object_keys(decorations), kind), F.lit(False))
+
+
 def modules_of_tree(found: DataFrame, root: str) -> DataFrame:
     """``(module, package)`` of a source tree of JSON files: every ``src/**/*.json`` but the package file is a public module,
     named by its path with dots; the package's name comes from the file ``root`` in the tree, else it is unknown-package."""
@@ -136,9 +187,11 @@ def modules_of_tree(found: DataFrame, root: str) -> DataFrame:
 
 def notebook_cells(found: DataFrame) -> DataFrame:
     """``(path, ord, id, cell_type, source)`` of notebooks; a notebook without cells gives none."""
-    cells = F.from_json(F.get_json_object("content", "$.cells"), "array<struct<id:string,cell_type:string,source:array<string>>>")
+    cells = F.from_json(F.get_json_object("content", "$.cells"), "array<struct<id:string,cell_type:string,source:string>>")
     cell = found.select("path", F.posexplode(cells).alias("ord", "c"))
-    return cell.select("path", "ord", F.coalesce("c.id", F.col("ord").cast("string")).alias("id"), "c.cell_type", F.array_join("c.source", "").alias("source"))
+    lines = F.array_join(F.from_json("c.source", "array<string>"), "")  # a source is a list of lines or one text
+    source = F.when(F.startswith("c.source", F.lit("[")), F.coalesce(lines, F.col("c.source"))).otherwise(F.col("c.source"))
+    return cell.select("path", "ord", F.coalesce("c.id", F.col("ord").cast("string")).alias("id"), "c.cell_type", source.alias("source"))
 
 
 def write_tree(defs: DataFrame, path: str) -> None:

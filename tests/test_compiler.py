@@ -9,33 +9,26 @@ def run(spark, node, **env):
     return spark.range(1).select(logic.compiler().compile(node, env).alias("x")).first()["x"]
 
 
-def request(price, quantity):
-    return F.struct(F.lit("r").alias("id"), price.alias("price"), F.lit(quantity).cast("long").alias("quantity"), F.lit("p").alias("product"))
+def parcel(grams, declared, layers):
+    return F.struct(F.lit(grams).cast("long").alias("grams"), F.lit(declared).alias("declared"), F.lit(layers).cast("long").alias("layers"))
 
 
-def market():
-    return logic.PRICE.build("market", [])
+def ship(spark, parcel, speed, region, hops):
+    return logic.compiler().apply(spark.range(1), logic.SHIP, [parcel, speed, F.lit(region), F.lit(hops).cast("long")], "r").first()["r"]
 
 
-def limit(x):
-    return logic.PRICE.build("limit", [F.lit(x)])
-
-
-def process(spark, price, quantity, market, inventory):
-    df = logic.compiler().apply(spark.range(1), logic.PROCESS_BUY, [request(price, quantity), F.lit(market), F.lit(inventory).cast("long")], "r")
-    return df.first()["r"]
-
-
-def test_order_rules(spark):
-    f = lambda p, m: run(spark, logic.call("lockin-price", logic.var("p"), logic.var("m")), p=p, m=F.lit(m))
-    assert f(market(), 10.0) == 10 and f(limit(7.0), 10.0) == 7
-    v = run(spark, logic.call("validate", logic.var("r")), r=request(limit(-1.0), 0))
-    assert [(x["tag"], x["price"], x["quantity"]) for x in v] == [("invalid-price", -1, None), ("invalid-quantity", None, 0)]
-    assert run(spark, logic.call("validate", logic.var("r")), r=request(market(), 1)) == []
-    assert process(spark, limit(-1.0), 1, 10.0, 5)["tag"] == "buy-invalid"
-    assert [x["tag"] for x in process(spark, limit(8.9), 1, 10.0, 5)["reasons"]] == ["disagreeable-price"]
-    assert process(spark, limit(9.0), 1, 10.0, 5)["tag"] == "buy-accepted"
-    assert [x["tag"] for x in process(spark, limit(8.0), 9, 10.0, 5)["reasons"]] == ["disagreeable-price", "insufficient-inventory"]
+def test_parcel_rules(spark):
+    fee = lambda s, k: run(spark, logic.call("fee", logic.var("s"), logic.var("k")), s=s, k=F.lit(k))
+    ground, air, courier = logic.SPEED.build("ground", []), logic.SPEED.build("air", [F.lit(2.0)]), lambda n: logic.SPEED.build("courier", [F.lit(4.0), F.lit(n)])
+    assert (fee(ground, 2.0), fee(air, 2.0), fee(courier(3), 2.0), fee(courier(4), 2.0)) == (4.25, 4.5, 4.0, 6.0)
+    issues = run(spark, logic.call("check", logic.var("p")), p=parcel(30_001, False, 1))
+    assert [(x["tag"], x["grams"], x["layers"]) for x in issues] == [("overweight", 30_001, None), ("undeclared", None, None), ("fragile", None, 1)]
+    assert run(spark, logic.call("check", logic.var("p")), p=parcel(30_000, True, 2)) == []
+    sent = ship(spark, parcel(800, True, 1), ground, "EUROPE", 2)
+    assert (sent["tag"], sent["fee"], sent["zone"], sent["issues"]) == ("sent", 3.75, "near", None)
+    held = ship(spark, parcel(29_900, False, 3), ground, "ASIA", 0)
+    assert (held["tag"], held["first"], [x["tag"] for x in held["issues"]]) == ("held", "overweight", ["overweight", "undeclared"])
+    assert tuple(run(spark, logic.call("spread", logic.lit(7), logic.lit(4)))) == (4, 7, 3, -4)
 
 
 def test_lists_tuples_records_lambdas(spark):
@@ -75,4 +68,4 @@ def test_recursion_is_refused(spark):
 
 def test_no_case_fails_the_row(spark):
     with pytest.raises(Exception, match="no case"):
-        run(spark, logic.case(logic.var("p"), (logic.of("market"), logic.lit(1))), p=limit(1.0))
+        run(spark, logic.case(logic.var("p"), (logic.of("ground"), logic.lit(1))), p=logic.SPEED.build("air", [F.lit(1.0)]))

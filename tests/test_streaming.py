@@ -12,7 +12,7 @@ def test_documents_arrive_once(spark, tmp_path):
     (tmp_path / "in/b.json").write_text("{}")
     q.processAllAvailable()
     q.stop()
-    assert sorted((r["dialect"] or "", r["package"] or "") for r in spark.table("arrived").collect()) == [("", ""), ("v4", "shop")]
+    assert sorted((r["dialect"] or "", r["package"] or "") for r in spark.table("arrived").collect()) == [("", ""), ("v4", "depot")]
 
 
 def test_project_states(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,32 +15,66 @@ from .shared import bounded_sample, cells, components, grouped_batches, material
 from .vectors import matrix, usable
 
 COSINE = 0.9
-#: Codes of BITS bits in tables of SUB bits each; rows are listed under every key within RADIUS bits of their own, so two
-#: rows meet if some part of their codes differs in at most 2 * RADIUS bits.
-BITS, SUB, RADIUS = 64, 16, 1
-#: Pairs that meet go on to the original vectors if their whole codes differ in at most so many bits: cosine 0.9 makes
-#: 9.2 of 64 bits differ on average, with a deviation of 2.8; unrelated vectors 32, with a deviation of 4.
-MOST_BITS = 19
-#: The rotation is fitted on so many vectors at most, the first by a hash of vec_id.
+#: Codes of this many bits come from one rotation; several rotations give the bits of all tables.
+BITS = 64
+#: A key of a table has so many bits that about 2**ROWS_OF_KEY vectors share it, LEAST_SUB at least.
+LEAST_SUB, ROWS_OF_KEY = 10, 9
+#: Of pairs at the threshold, so many may share no key; and so many standard deviations of the first code's differing bits pass.
+MISS, DEVIATIONS = 0.01, 3.5
+#: The rotations are fitted on so many vectors at most, the first by a hash of vec_id.
 SAMPLE, STEPS = 10_000, 40
 BLOCK = 1024
 
 
-def learn(sample: np.ndarray, bits: int = BITS, steps: int = STEPS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Plan:
+    """How codes are cut: ``tables`` keys of ``sub`` bits from ``words`` codes, and the bits that candidates' first codes may differ in.
+
+    ``centred`` says whether the mean is taken off before the rotations, which balances the bits.
+    """
+
+    sub: int
+    tables: int
+    most_bits: int
+    centred: bool
+
+    @property
+    def words(self) -> int:
+        return -(-self.sub * self.tables // BITS)
+
+
+def plan_for(n: int, cosine: float = COSINE, mean_square: float = 0.0, miss: float = MISS) -> Plan:
+    """Enough tables for the threshold, whatever the number of vectors.
+
+    Two unit vectors at angle t differ in a bit with probability t / pi. Without the mean (squared norm m), a pair of
+    cosine c stands at (c - m) / (1 - m); where that is under 0.5, the mean stays. A key of s bits agrees with probability p**s, so
+    log(miss) / log(1 - p**s) tables leave ``miss`` of such pairs apart; s grows with log2(n), so a key's rows don't.
+    """
+    apart = (cosine - mean_square) / (1.0 - mean_square) if mean_square < 1 else 0.0
+    centred = apart >= min(0.5, cosine)
+    p = 1.0 - math.acos(max(-1.0, min(1.0, apart if centred else cosine))) / math.pi
+    sub = max(LEAST_SUB, math.ceil(math.log2(max(n, 1))) - ROWS_OF_KEY)
+    tables = max(1, math.ceil(math.log(miss) / math.log(1.0 - p**sub))) if p < 1 else 1
+    most = math.ceil(BITS * (1 - p) + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+    return Plan(sub, tables, min(most, BITS), centred)
+
+
+def learn(sample: np.ndarray, seed: int, centred: bool = True, bits: int = BITS, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection of unit vectors to ``bits`` dimensions whose signs are balanced codes.
 
     Principal directions (completed by random ones where the vectors have fewer dimensions), then alternating: codes =
-    signs of the rotated sample, rotation = the orthogonal matrix that brings the sample nearest to its codes.
+    signs of the rotated sample, rotation = the orthogonal matrix that brings the sample nearest to its codes. Each seed
+    starts from a rotation of its own and ends in another.
     """
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-    centred = sample - mean
+    mean = sample.mean(axis=0) if len(sample) and centred else np.zeros(sample.shape[1])
+    flat = sample - mean
     if sample.shape[1] >= bits:
-        _, axes = np.linalg.eigh(centred.T @ centred)
+        _, axes = np.linalg.eigh(flat.T @ flat)
         plane = axes[:, ::-1][:, :bits]
     else:
         plane = rng.standard_normal((sample.shape[1], bits))
-    flat = centred @ plane
+    flat = flat @ plane
     turn, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
     for _ in range(steps if len(sample) else 0):
         u, _, w = np.linalg.svd(np.where(flat @ turn >= 0, 1.0, -1.0).T @ flat)
@@ -53,55 +89,42 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def codes_of(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    signs = (unit(vectors) - mean) @ projection >= 0
-    return np.packbits(signs, axis=1, bitorder="little").view(np.int64).ravel()
+def codes_of(vectors: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of 64-bit codes for each vector, one of each rotation."""
+    x = unit(vectors)
+    return np.column_stack([np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little").view(np.int64).ravel() for mean, projection in rotations])
 
 
-def candidate_pairs(t: pa.Table, sub: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that meet in a cell, near enough by their whole codes, each in one cell of all tables alone.
+def keys_of(codes: np.ndarray, plan: Plan) -> np.ndarray:
+    """The key of each row in each table: ``sub`` bits of the codes after those of the tables before."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")[:, : plan.sub * plan.tables].reshape(len(codes), plan.tables, plan.sub)
+    return bits.astype(np.int64) @ (1 << np.arange(plan.sub, dtype=np.int64))
 
-    Two rows meet in several tables and under several keys; the pair counts in its first table, there under the
-    smallest key that both are listed under.
-    """
+
+def candidate_pairs(t: pa.Table, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that meet in a cell and whose first codes are near, each in the cell of the first table they share alone."""
     cell = t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    side, alone, key = (t.column(c).to_numpy() for c in ("side", "alone", "key"))
-    code = t.column("code").to_numpy().view(np.uint64)
-    mask = np.uint64((1 << sub) - 1)
-    own, word = key >> sub, (key & ((1 << sub) - 1)).astype(np.uint64)
-    shifts = np.arange(0, BITS, sub, dtype=np.uint64)
+    side, alone, own = (t.column(c).to_numpy() for c in ("side", "alone", "number"))
+    codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int64).reshape(len(cell), plan.words)
+    first, keys = codes[:, 0].copy().view(np.uint64), keys_of(codes, plan)
     for i, j in meeting(cell, side, alone):
-        differ = code[i] ^ code[j]
-        near = np.bitwise_count(differ) <= MOST_BITS
-        i, j, differ = i[near], j[near], differ[near]
-        if not len(i):
-            continue
-        parts = (differ[:, None] >> shifts) & mask
-        first = (np.bitwise_count(parts) <= 2 * radius).argmax(axis=1)
-        here = first == own[i]
-        i, j, first, parts = i[here], j[here], first[here], parts[here]
-        part, at = parts[np.arange(len(i)), first], shifts[first]
-        a = (code[i] >> at) & mask
-        least = np.full(len(i), np.iinfo(np.uint64).max, np.uint64)
-        for flip in [0, *(1 << b for b in range(sub))]:  # the keys of row i that row j is listed under too
-            k = a ^ np.uint64(flip)
-            both = np.bitwise_count(part ^ np.uint64(flip)) <= radius
-            least = np.where(both, np.minimum(least, k), least)
-        here = least == word[i]
+        near = np.bitwise_count(first[i] ^ first[j]) <= plan.most_bits
+        i, j = i[near], j[near]
+        here = (keys[i] == keys[j]).argmax(axis=1) == own[i]
         if here.any():
             yield i[here], j[here]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, sub: int = SUB) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, miss: float = MISS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row: links are pairs found with a cosine of at least ``cosine``.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows without vec_id.
     Shorter vectors count as filled up with zeros. Equal vectors (as of repeated rows) are one during the search and
     link with each other; n_links counts rows. Other columns are dropped; an empty table gives no rows.
 
-    Keys of all tables take 2**sub * BITS / sub values; the few that more than BLOCK rows share are dealt into cells. A
-    first pass over narrow rows (key, id, code) finds who has a candidate in a cell; only these bring their vectors to
-    it. Cells emit sums and a root for each row, never pairs.
+    Each vector is listed once in each table of the plan; the keys that more than BLOCK rows share are dealt into cells. A
+    first pass over narrow rows (key, id, codes) finds who has a candidate in a cell; only these bring their vectors to
+    it. Cells emit sums and a root for each row, never pairs. vec_id must be an integer.
     """
     spark = vectors.sparkSession
     big = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
@@ -115,42 +138,44 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     fitted = np.zeros((len(picked), max(widest, 1)))
     for k, x in enumerate(picked):
         fitted[k, : len(x)] = x
-    model = spark.sparkContext.broadcast(learn(unit(fitted)))
+    fitted = unit(fitted)
+    centre = fitted.mean(axis=0) if len(fitted) else np.zeros(1)
+    plan = plan_for(reps.count(), cosine, float(centre @ centre), miss)
+    model = spark.sparkContext.broadcast([learn(fitted, seed, plan.centred) for seed in range(plan.words)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = model.value
         for b in batches:
-            x = np.zeros((b.num_rows, len(mean)))
+            x = np.zeros((b.num_rows, len(model.value[0][0])))
             got = matrix(b.column("embedding"), np.float64)
             x[:, : got.shape[1]] = got
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes_of(x, mean, projection))], names=[*b.schema.names, "code"])
+            codes = codes_of(x, model.value)
+            keys = keys_of(codes, plan)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * plan.tables), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), keys], names=[*b.schema.names, "codes", "keys"])
 
-    reps = reps.select("h1", "h2", "id", "copies", "embedding")
     item = reps.schema["embedding"].dataType.simpleString()
-    reps = materialize(reps.mapInArrow(encode, f"h1 long, h2 long, id long, copies long, embedding {item}, code long"), "codes")
+    reps = reps.select("h1", "h2", "id", "copies", "embedding").mapInArrow(encode, f"h1 long, h2 long, id long, copies long, embedding {item}, codes binary, keys array<long>")
+    reps = materialize(reps, "codes")
 
-    flips = F.array(*[F.lit(f).cast("long") for f in (0, *(1 << b for b in range(sub)))])
-    word = lambda k: F.shiftrightunsigned("code", k * sub).bitwiseAND(F.lit((1 << sub) - 1).cast("long"))
-    listed = lambda k: F.transform(flips, lambda f: F.lit(k << sub).cast("long") + word(k).bitwiseXOR(f))
-    keys = reps.select("id", "code", F.explode(F.concat(*[listed(k) for k in range(BITS // sub)])).alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    dealt = cells(keys.join(full, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), "key", "id", "n", BLOCK)
-    dealt = dealt.select("cell", "side", "alone", "key", "id", "code")
+    listed = reps.select("id", "codes", F.posexplode("keys").alias("number", "word")).select("id", "codes", "number", (F.col("number").cast("long") * (1 << plan.sub) + F.col("word")).alias("key"))
+    full = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    dealt = cells(listed.join(full, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), "key", "id", "n", BLOCK)
+    dealt = dealt.select("cell", "side", "alone", "number", "id", "codes")
 
     def with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped_batches(batches, "cell"):
             seen = [np.empty(0, np.int64)]
-            for i, j in candidate_pairs(t, sub, RADIUS):
+            for i, j in candidate_pairs(t, plan):
                 seen += [np.unique(i), np.unique(j)]
             yield from t.take(pa.array(np.unique(np.concatenate(seen)))).to_batches()
 
-    met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(with_partners, "cell string, side int, alone boolean, key long, id long, code long")
+    met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(with_partners, "cell string, side int, alone boolean, number int, id long, codes binary")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped_batches(batches, "cell"):
             x, ids, copies = unit(matrix(t.column("embedding"), np.float64)), t.column("id").to_numpy(), t.column("copies").to_numpy()
             links, low, high = np.zeros(len(ids), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, j in candidate_pairs(t, sub, RADIUS):
+            for i, j in candidate_pairs(t, plan):
                 near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
                 i, j = i[near], j[near]
                 np.add.at(links, i, copies[j])
@@ -174,7 +199,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     joined = components(near.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by = reps.select("h1", "h2", "id", "copies").join(found, "id", "left").join(joined, "id", "left")
     by = by.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "id").alias("c"))
-    out = rows.join(by, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    # Unusable vectors have no hash; they are dealt out by their id and find nothing.
+    spread = F.coalesce("h1", F.xxhash64("vec_id"))
+    out = rows.withColumn("h1", spread).join(by, (F.col("h1") == F.col("g1")) & (F.coalesce("h2", F.lit(0)) == F.col("g2")) & F.col("good"), "left")
     component = F.coalesce(F.col("c").cast(vectors.schema["vec_id"].dataType), "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

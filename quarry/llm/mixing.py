@@ -29,16 +29,26 @@ def uniform(*cols: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: float) -> DataFrame:
     """``(source, source_size, weight, target)`` from one row per source ``(source, source_size)``.
 
-    Sources in code point order, null last, get the weights in turn. Level L solves sum(min(weight * L, most * size)) =
-    total; capped sources stop at most * size, and the excess goes to the others by weight. Each pass is one aggregate
-    of the source table; only its three sums reach the driver. Ends when no further source is capped.
+    Sources in code point order, null last, get the weights in turn; their places are counted by ranges, so sources as
+    many as hosts are in no one task. Level L solves sum(min(weight * L, most * size)) = total; capped sources stop at
+    most * size, and the excess goes to the others by weight. Each pass is one aggregate of the source table; only its
+    three sums reach the driver. Ends when no further source is capped.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source: what is left after the aggregation
-    which = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by = materialize(sizes.withColumn("weight", which), "sources")
+    order = F.col("source").asc_nulls_last()
+    by = sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    by = materialize(by.withColumn("__part", part).withColumn("__place", inside).drop("__m"), "ordered-sources")
+    ahead = F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    ranges = by.groupBy("__part").agg(F.count("*").alias("__c")).select("__part", ahead.alias("__ahead"))
+    which = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("__place") + F.col("__ahead")) % len(weights) + 1).cast("int"))
+    by = materialize(by.join(ranges, "__part").withColumn("weight", which).drop("__part", "__place", "__ahead"), "sources")
     cap = F.lit(float(most)) * F.col("source_size")
     total = by.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
@@ -56,27 +66,29 @@ def mix(docs: DataFrame, text: str = "text", quality: Column | None = None, weig
 
     A source's target of e complete epochs and a rest takes each of its documents e times, then documents in order of
     -ln(u) / quality until the rest is spent; the last of these is cut, so that a source's taken words are its target
-    rounded down. Ties go by doc_id, size and text hash. Null or empty texts have size 0 and take 0; a null source is a source.
+    rounded down. Ties go by doc_id and text digest. Null or empty texts have size 0 and take 0; a null source is a source.
+    Equal rows are one with a count until the end, so repeated rows and ids are in no one group.
 
     Hot sources: keys are cut into ``slices`` of 1 - u^(1/quality), which are pre-aggregated, so a prefix sum runs over
     at most ``slices`` sums per source, and within one slice of one source.
     """
     weight = F.least(F.greatest(quality if quality is not None else letter_share(F.col(text)), F.lit(LEAST_QUALITY)), F.lit(MOST_QUALITY))
-    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), F.coalesce(weight, F.lit(1.0)).cast("double").alias("w"), F.xxhash64(text).alias("h"))
-    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=seed)) / F.col("w")
+    rows = docs.select("doc_id", "source", n_words(F.col(text)).alias("size"), F.coalesce(weight, F.lit(1.0)).cast("double").alias("w"), digest(text).alias("h"))
+    rows = rows.groupBy("doc_id", "source", "size", "w", "h").agg(F.count("*").alias("copies"))
+    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("h"), seed=seed)) / F.col("w")
     rows = rows.withColumn("key", key).drop("w").withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int"))
     rows = materialize(rows.withColumn("named", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))), "mix-keys")
-    slice_sums = materialize(rows.groupBy("named", "source", "slice").agg(F.sum("size").alias("n")), "mix-slices")
+    slice_sums = materialize(rows.groupBy("named", "source", "slice").agg(F.sum(F.col("size") * F.col("copies")).alias("n")), "mix-slices")
     targets = source_targets(slice_sums.groupBy("named", "source").agg(F.sum("n").alias("source_size")), weights, most)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("named").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slice_sums = slice_sums.withColumn("before", before).drop("source", "n").join(targets.drop("source", "weight"), "named")
-    inside = Window.partitionBy("named", "slice").orderBy("key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("prior", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ranked = ranked.join(slice_sums, ["named", "slice"])
+    inside = Window.partitionBy("named", "slice").orderBy("key", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("prior", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    ranked = ranked.join(slice_sums, ["named", "slice"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     whole = F.floor(F.col("target"))
     epochs = F.coalesce(F.floor(F.try_divide(whole, F.col("source_size"))), F.lit(0))
     rest = whole - epochs * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col("before") - F.col("prior"), F.lit(0)), F.col("size"))
+    part = F.least(F.greatest(rest - F.col("before") - F.col("prior") - F.col("copy") * F.col("size"), F.lit(0)), F.col("size"))
     return ranked.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), F.col("h").alias("text_hash"))
 
 
@@ -84,15 +96,19 @@ def mixed_documents(docs: DataFrame, text: str = "text", length: str | None = "n
     """The mix itself: each document as often as it is taken, whole in complete passes and cut after a word in a part.
 
     Same columns as ``docs``; ``length`` is counted anew. Documents of which nothing is taken are left out. Rows that
-    repeat in ``docs`` are matched by doc_id and text hash and number.
+    repeat in ``docs`` are matched by doc_id, source and text digest, then by number: in the order of their other columns.
     """
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d")
-    number = lambda name: F.row_number().over(Window.partitionBy("d", "h").orderBy(F.lit(1))).alias(name)
-    taken = mix(docs, text, **how).where("taken > 0").select(id_text, F.col("text_hash").alias("h"), "size", "taken")
-    taken = taken.select("d", "h", "size", "taken", number("m")).alias("t")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), id_text, F.xxhash64(text).alias("h")).select("row", "d", "h", number("n")).alias("r")
-    # The row numbers are compared outside the join's keys: both sides stay dealt out by (d, h), in one shuffle each.
-    df = rows.join(taken, (F.col("r.d") == F.col("t.d")) & (F.col("r.h") == F.col("t.h")) & (F.col("n") - F.col("m") == 0))
+    same = ["d", "s", "h"]
+    keys = lambda df, h: df.withColumns({"d": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "s": F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))), "h": h})
+    number = lambda name, *order: F.row_number().over(Window.partitionBy(*same).orderBy(*order)).alias(name)
+    taken = keys(mix(docs, text, **how), F.col("text_hash")).where("taken > 0").select(*same, "size", "taken")
+    taken = taken.select(*same, "size", "taken", number("m", F.desc("taken"))).alias("t")
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"row.{c}") for c in docs.columns if c != text]))
+    rows = keys(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", digest(text).alias("__h")), F.col("__h"))
+    rows = rows.select("row", *same, rest.alias("rest")).select("row", *same, number("n", "rest")).alias("r")
+    # The row numbers are compared outside the join's keys: both sides stay dealt out by the same columns, in one shuffle each.
+    on = [F.col(f"r.{c}") == F.col(f"t.{c}") for c in same]
+    df = rows.join(taken, on[0] & on[1] & on[2] & (F.col("n") - F.col("m") == 0))
     df = df.select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
     left, old = F.least(F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("size")), F.col("row")[text]
     df = df.select("row", F.when(left == F.col("size"), old).otherwise(first_words(old, left.cast("int"))).alias("new"))
@@ -115,10 +131,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same mix in SQL: caps by a recursive query over the sources, prefix sums by windows.
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS solid FROM documents),
 k AS (SELECT doc_id, source, size,
-         -ln((('0x' || substr(md5(doc_id::VARCHAR || ':7'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || h || ':7'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
          / CASE WHEN length(solid) = 0 THEN 0.5
            ELSE greatest(0.5, least(2.0, 0.5 + 1.5 * length(regexp_replace(solid, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))::DOUBLE / length(solid))) END AS key FROM d),
 s AS (SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -12,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .token_counts import VOCABULARY, vocabulary_path
+from .token_counts import VOCABULARY, encoding, ranks_of
 
 #: Marks the begin of a role, of a text and of the end; the vocabulary's own added token, so no token crosses a mark.
 MARK = "<|endoftext|>"
 LEARNED = "assistant"
-#: Conversations that are encoded at a time; their offsets are Python objects, some hundred bytes a token.
-BATCH = 32
+#: Conversations of one output batch.
+BATCH = 256
 #: What texts may not say in clear: <|...|>, <s>, </s>, [INST], [/INST]; a backslash after the bracket escapes, and one more each time.
 CONTROL = regex.compile(r"([<\[])(\\*)(?=\||/?s>|/?INST\])")
 ESCAPED = regex.compile(r"([<\[])\\(\\*)(?=\||/?s>|/?INST\])")
@@ -73,6 +74,30 @@ def masked_parts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.
     return [formatted[a:b] for a, b in runs]
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(vocabulary: str) -> np.ndarray:
+    """Number of bytes of each token, by id."""
+    ranks, added = ranks_of(vocabulary)
+    out = np.zeros(max(*ranks.values(), *added.values()) + 1, dtype=np.int64)
+    out[list(ranks.values())] = list(map(len, ranks))
+    out[list(added.values())] = [len(t.encode()) for t in added]
+    return out
+
+
+def encode_with_offsets(text: str, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the whole text's tokens, marks included, and the code points where each begins and ends.
+
+    Tokens' bytes are the text's, so the running sum of their lengths gives byte offsets; a byte belongs to the code
+    point that began last. Tokens that hold parts of one character have its offsets each.
+    """
+    ids = encoding(vocabulary).encode_to_numpy(text, allowed_special="all").astype(np.int32)
+    ends = np.cumsum(token_bytes(vocabulary)[ids])
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    point = np.cumsum((raw & 0xC0) != 0x80) - 1
+    starts = ends - token_bytes(vocabulary)[ids]
+    return ids, point[starts].astype(np.int32), (point[ends - 1] + 1).astype(np.int32)
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """``(conv_id, turns array<struct<role, text>>)`` by turn; ties by role, then text; null turns first; null role or text is empty."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -97,19 +122,14 @@ def format_chats(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kind = grouped.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 done = [render([(t["role"], t["text"]) for t in turns]) for turns in batch.column(1).to_pylist()]
-                encoded = tokenizer.encode_batch([text for text, _ in done], add_special_tokens=False)
-                bounds = [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded]
-                masks = [mask_of(b[:, 0], b[:, 1], np.array(spans, dtype=np.int64)) for b, (_, spans) in zip(bounds, done, strict=True)]
+                encoded = [encode_with_offsets(text, vocabulary) for text, _ in done]
+                masks = [mask_of(starts, ends, np.array(spans, dtype=np.int64)) for (_, starts, ends), (_, spans) in zip(encoded, done, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([t for t, _ in done], pa.string()), lists([np.array(e.ids, dtype=np.int32) for e in encoded], pa.int32()),
-                     lists([b[:, 0] for b in bounds], pa.int32()), lists([b[:, 1] for b in bounds], pa.int32()), lists(masks, pa.bool_())],
+                    [batch.column(0), pa.array([t for t, _ in done], pa.string()), *(lists([e[k] for e in encoded], pa.int32()) for k in range(3)), lists(masks, pa.bool_())],
                     names=["conv_id", "formatted", "input_ids", "token_start", "token_end", "loss_mask"])
 
     return grouped.mapInArrow(run, f"conv_id {kind}, {schema}")

@@ -1,4 +1,4 @@
-"""Exact top-k search with vector-approximation files: bounds from quantised cells, exact vectors in the order of the bounds."""
+"""Exact top-k search with a vector-approximation file: bounds from quantised cells, exact vectors in the order of the bounds."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from .shared import grouped_batches, materialize, table
 from .vectors import matrix, usable
 
 K, EVERY, SCALE = 5, 50, 256
-#: Cells of one dimension; rows of a block of candidates and of a block of queries.
-CELLS, CANDIDATES, QUERIES = 16, 4096, 1024
-CHUNK, FIRST_READ = 256, 32
+#: Cells of one dimension (a byte each in the file); rows of a block of codes and of a block of queries.
+CELLS, CANDIDATES, QUERIES = 256, 8192, 1024
+#: Queries whose bounds a task holds at a time; candidates a query reads before its k-th exact score is first known.
+CHUNK, FIRST_READ = 128, 16
 
 
 def scaled(vector: Column) -> Column:
@@ -23,48 +24,94 @@ def scaled(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
 
 
-class Approximation:
-    """The VA file of a block: for every vector and dimension the number of its cell, and the cells' bounds."""
-
-    def __init__(self, exact: np.ndarray) -> None:
-        self.exact = exact
-        low = exact.min(axis=0).astype(np.float64)
-        width = np.maximum((exact.max(axis=0) - low) / CELLS, 1e-9)
-        self.codes = np.clip((exact - low) / width, 0, CELLS - 1).astype(np.uint8)
-        edges = low + width * np.arange(CELLS + 1)[:, None]
-        pad = np.abs(edges).max(axis=0) * 1e-9 + 1e-9
-        self.lower, self.upper = edges[:-1] - pad, edges[1:] + pad
-
-    def upper_bounds(self, queries: np.ndarray) -> np.ndarray:
-        """No inner product is larger: a positive query component takes the cell's upper edge, a negative one its lower."""
-        column = np.arange(self.codes.shape[1])
-        up, down = self.upper[self.codes, column], self.lower[self.codes, column]
-        bounds = np.maximum(queries, 0).astype(np.float64) @ up.T + np.minimum(queries, 0).astype(np.float64) @ down.T
-        return bounds + np.abs(bounds) * 1e-9
-
-    def top(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its position, and the ids and scores of its k best by (score descending, id): candidates are
-        read in descending order of bounds until the best unread bound is under the k-th score."""
-        bounds = self.upper_bounds(queries)
-        bounds[own[:, None] == ids[None, :]] = -np.inf
-        for i in range(len(queries)):
-            read, usable = FIRST_READ, int(np.count_nonzero(bounds[i] > -np.inf))
-            while True:
-                read = min(read, usable)
-                near = np.argpartition(-bounds[i], read - 1)[:read] if read else np.empty(0, np.int64)
-                scores = self.exact[near] @ queries[i]
-                order = np.lexsort((ids[near], -scores))[:k]
-                if read == usable:
-                    break
-                unread = bounds[i].copy()
-                unread[near] = -np.inf
-                if len(order) == k and unread.max() < scores[order[-1]]:
-                    break
-                read *= 4
-            yield i, ids[near][order], scores[order]
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+class Grid:
+    """Cells of equal width over the whole numbers of each dimension: cell c of a dimension holds low + c * width and the
+    width - 1 numbers after it. Where a dimension has no more numbers than cells, a code tells the number."""
+
+    def __init__(self, low: list[int], high: list[int], cells: int = CELLS) -> None:
+        self.low = np.array(low, np.float64)
+        self.width = np.array([max(1, -(-(b - a + 1) // cells)) for a, b in zip(low, high, strict=True)], np.float64)
+
+    def codes(self, exact: np.ndarray) -> np.ndarray:
+        full = np.zeros((len(exact), len(self.low)))
+        full[:, : exact.shape[1]] = exact
+        return np.floor((full - self.low) / self.width).clip(0, 255).astype(np.uint8)
+
+    def bounds(self, codes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each query with the centres of each vector's cells, and how far the exact one may be from it.
+
+        |q . v - q . centre| is at most the sum of |q_j| * (width_j - 1) / 2, which depends on the query alone; some more
+        is for rounding.
+        """
+        centre = codes * self.width + (self.low + (self.width - 1) / 2)
+        scores = queries @ centre.T
+        wide = np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.low + self.width * 256))
+        return scores, np.abs(queries) @ ((self.width - 1) / 2) + wide * 1e-12 + 1e-6
+
+
+def grid_of(rows: DataFrame, cells: int = CELLS) -> Grid:
+    """Two numbers a dimension reach the driver; 0 is in every range, as shorter vectors are filled up with it."""
+    ends = rows.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("j").collect()
+    return Grid([min(r["a"], 0) for r in ends], [max(r["b"], 0) for r in ends], cells)
+
+
+def approximation_file(rows: DataFrame, grid: Grid) -> DataFrame:
+    """``(row, vec_id, codes)``, a byte for each dimension, written to the shared folder: all that the scan reads of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = grid.codes(matrix(b.column("v"), np.float64))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "vec_id", "codes"])
+
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    return materialize(rows.select("row", "vec_id", "v").mapInArrow(run, f"row long, vec_id {kind}, codes binary"), "approximation")
+
+
+def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int, n: int, m: int, candidates: int, queries: int) -> DataFrame:
+    """``(query_id, row, low, high)``: the rows of each block of codes that may be among a query's k best, by the block alone.
+
+    Every block of codes meets every block of queries in one cell of bounded size: a set of queries against all rows in
+    blocks, no join. Blocks hold codes; of the exact vectors only the queries' own travel.
+    """
+    nc, nq = (F.lit(max(1, -(-size // of))) for size, of in ((n, candidates), (m, queries)))
+    none = F.lit(None)
+    mine = file.select(F.pmod(F.xxhash64("row"), nc).alias("c"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"), F.lit(0).alias("role"), "row", "vec_id", "codes", none.cast("array<bigint>").alias("v"))
+    ask = asked.select(F.explode(F.sequence(F.lit(0), nc - 1)).alias("c"), F.pmod(F.xxhash64("vec_id"), nq).alias("q"), F.lit(1).alias("role"), none.cast("long").alias("row"), "vec_id", none.cast("binary").alias("codes"), "v")
+    cell = F.concat_ws(":", "c", "q").alias("cell")
+    dealt = mine.unionByName(ask).select(cell, "role", "row", "vec_id", "codes", "v").repartition("cell").sortWithinPartitions("cell", "role")
+    kind = file.schema["vec_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped_batches(batches, "cell"):
+            cells = t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for begin, end in zip(ends, ends[1:], strict=False):
+                part = t.slice(begin, end - begin)
+                border = int(np.searchsorted(part.column("role").to_numpy(), 1))
+                if 0 < border < len(part):
+                    yield from answers(part.slice(0, border), part.slice(border), grid, k)
+
+    return dealt.mapInArrow(run, f"query_id {kind}, row long, low double, high double")
+
+
+def answers(here: pa.Table, asks: pa.Table, grid: Grid, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one block whose upper bound reaches the k-th best lower bound of the block, for each query of a block."""
+    codes = np.frombuffer(b"".join(here.column("codes").to_pylist()), np.uint8).reshape(len(here), len(grid.low))
+    row, ids, who = here.column("row").to_numpy(), here.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
+    got = matrix(asks.column("v"), np.float64)
+    exact = np.zeros((len(asks), codes.shape[1]))
+    exact[:, : got.shape[1]] = got
+    for at in range(0, len(asks), CHUNK):
+        own, query = who[at : at + CHUNK], exact[at : at + CHUNK]
+        scores, off = grid.bounds(codes, query)
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        best = min(k, scores.shape[1])
+        reach = np.partition(scores, scores.shape[1] - best, axis=1)[:, -best] - 2 * off
+        i, j = np.nonzero((scores >= reach[:, None]) & (scores > -np.inf))
+        yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(row[j]), pa.array(scores[i, j] - off[i]), pa.array(scores[i, j] + off[i])], names=["query_id", "row", "low", "high"])
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int = CANDIDATES, queries: int = QUERIES, cells: int = CELLS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products of each query with all other rows.
 
     Queries are the rows whose vec_id is divisible by ``every``; ties go to the smaller vec_id. Vectors that are null or
@@ -72,42 +119,34 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int =
     zeros. Repeated rows are candidates each; a query id that repeats asks once, with its smallest vector, and none of
     its own rows is a candidate. Other columns are dropped. Scores are exact while they fit 64 bits.
 
-    Every block of candidates meets every block of queries in one cell of bounded size: sets of rows in blocks, no join.
-    A cell answers with k rows a query, which are ranked at last.
+    1. Of equal vectors only the k + 1 smallest ids can be in any answer; the others leave. 2. The approximation file is
+    written once; its codes are scanned in blocks, and rows stay whose upper bound reaches the k-th best lower bound of
+    the block, then of all blocks. 3. Exact vectors are read in the order of their upper bounds: the first few of each
+    query, then those whose bound still reaches the k-th exact score, so that the k best are certain.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", scaled(F.col("embedding")).alias("v"))
-    rows = materialize(rows, "scaled")
+    rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    rows = materialize(rows.withColumn("place", place).withColumn("row", F.monotonically_increasing_id()), "scaled")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m = rows.count(), asked.count()
-    blocks = lambda size, of: F.lit(max(1, -(-size // of)))
-    nc, nq = blocks(n, candidates), blocks(m, queries)
-    spread = F.pmod(F.xxhash64("vec_id", "v"), nc).cast("int")
-    mine = rows.select(spread.alias("c"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"), F.lit(0).alias("role"), "vec_id", "v")
-    ask = asked.select(F.explode(F.sequence(F.lit(0), nc - 1)).alias("c"), F.pmod(F.xxhash64("vec_id"), nq).cast("int").alias("q"), F.lit(1).alias("role"), "vec_id", "v")
-    cell = F.concat_ws(":", "c", "q").alias("cell")
-    dealt = mine.unionByName(ask).select(cell, "role", "vec_id", "v").repartition("cell").sortWithinPartitions("cell")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped_batches(batches, "cell"):
-            cells = t.column("cell").combine_chunks().dictionary_encode()
-            which = cells.indices.to_numpy(zero_copy_only=False)
-            role, ids, exact = t.column("role").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("v"), np.int64)
-            for one in range(len(cells.dictionary)):
-                here = np.flatnonzero((which == one) & (role == 0))
-                asks = np.flatnonzero((which == one) & (role == 1))
-                if not len(here) or not len(asks):
-                    continue
-                file, out = Approximation(exact[here]), []
-                for at in range(0, len(asks), CHUNK):
-                    part = asks[at : at + CHUNK]
-                    out += [(ids[part[i]], a, s) for i, a, s in file.top(exact[part], ids[part], ids[here], k)]
-                query = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
-                found, scores = (np.concatenate([o[j] for o in out]).astype(np.int64) for j in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.where(F.col("place") <= k + 1)
+    grid = grid_of(rows, cells)
+    file = approximation_file(rows, grid)
+    # A query's exact vector and the candidates' are both arrays: whatever the lengths, what is beyond the shorter adds 0.
+    product = F.aggregate(F.zip_with("v", "q", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    by = Window.partitionBy("query_id")
+    read = lambda found: found.join(rows.select("row", "vec_id", "v", "copies"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "vec_id", "copies", product.alias("score"))
+
+    near = materialize(scan(file, asked, grid, k, file.count(), asked.count(), candidates, queries), "near")
+    kth = near.withColumn("n", F.row_number().over(by.orderBy(F.desc("low")))).where(F.col("n") == k).select(F.col("query_id").alias("of"), F.col("low").alias("least"))
+    near = near.join(kth, F.col("query_id") == F.col("of"), "left").where(F.col("least").isNull() | (F.col("high") >= F.col("least")))
+    near = materialize(near.withColumn("n", F.row_number().over(by.orderBy(F.desc("high"), "row"))).select("query_id", "row", "high", "n"), "candidates")
+    first = materialize(read(near.where(F.col("n") <= max(k, FIRST_READ))), "first-read")
+    sure = first.withColumn("n", F.row_number().over(by.orderBy(F.desc("score")))).where(F.col("n") == k).select(F.col("query_id").alias("of"), "score")
+    rest = near.where(F.col("n") > max(k, FIRST_READ)).join(sure, (F.col("query_id") == F.col("of")) & (F.col("high") >= F.col("score")), "left_semi")
+    every_one = first.unionByName(read(rest)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    rank = F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))
+    return every_one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[A-Za-z/_=-]+$", r"^[0-9/_=+-]+$", r"(?i)example|placeholder|changeme|xxxxx", r"(?i)^[a-z]*abcdefghijklmnopqrstuvwxyz", r"[-=_/+]{6}")
 #: Fixed point for c * log2(c): sums stay exact, so the incremental window can't drift.
 SCALE = 1 << 20
+#: Matches of a text that are placed together.
+RUN = 512
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -29,17 +31,30 @@ def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<s int, t string>>, s the 0-based code point where match t starts.
 
     The gaps between matches (``split``) and the matches (``regexp_extract_all``) alternate; their running lengths are
-    the positions.
+    the positions. They are summed in runs of RUN matches, then the runs, so that texts of very many matches stay cheap:
+    appending copies a run, not all that came before.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("t"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    none = F.array().cast("array<struct<s:int,t:string>>")
+    kind = "array<struct<s:int,t:string>>"
+    none = F.array().cast(kind)
+    width = lambda x: F.length(x["g"]) + F.length(x["t"])
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["t"])).cast("int").alias("at"),
+        (acc["at"] + width(x)).cast("int").alias("at"),
         F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).cast("int").alias("s"), x["t"].alias("t"))).alias("out"),
     )
-    return F.when(F.regexp_count(text, F.lit(pattern)) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none)
+
+    def placed(all_pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(all_pairs, k * RUN + 1, RUN), start, step))
+        return F.get(F.transform(F.array(runs), shifted), 0)
+
+    def shifted(runs: Column) -> Column:
+        ahead = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.array_append(acc, (F.element_at(acc, -1) + r["at"]).cast("int")))
+        return F.flatten(F.zip_with(runs, F.slice(ahead, 1, F.size(runs)), lambda r, by: F.transform(r["out"], lambda x: F.struct((x["s"] + by).cast("int").alias("s"), x["t"].alias("t")))))
+
+    # Arrays of one element bind what is used more than once, else it would be computed for each use.
+    return F.when(F.regexp_count(text, F.lit(pattern)) > 0, F.get(F.transform(F.array(pairs), placed), 0)).otherwise(none)
 
 
 def window_bits(candidate: Column, window: int) -> Column:

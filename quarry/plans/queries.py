@@ -189,6 +189,12 @@ def version_detect(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", v["raw"].alias("raw"), v["major"].alias("major"), documents.target_version(alias).alias("target"))
 
 
+def spread(rows: DataFrame, key: str, each: int = 2000) -> DataFrame:
+    """``rows`` in partitions of about ``each``, as many as there are cores at least: few bytes that much work hangs on, so the
+    number is given, and adaptive execution doesn't join the partitions again."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // each), key)
+
+
 #: Documents of the corpus: some definitions each, by the part's key. The first holds all.
 _SETS = (tuple(logic.DEFINITIONS), ("fee", "check"), ("zone",), ("ship", "wrapped", "spread"), ("spread", "zone", "fee"))
 _ZERO = '{"Literal": {"literal": {"IntegerLiteral": {"value": 3}}, "attrs": {}}}'
@@ -205,7 +211,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, text = F.col("p_size"), F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("p_partkey") % len(_TEXTS) + 1).cast("int"))
     text = F.replace(text, F.lit("depot:parcels#gt-int"), F.when(size % 2 == 0, "depot:missing#gt-int").otherwise("depot:parcels#gt-int"))
     text = F.replace(text, F.lit(_ZERO), F.when(size % 3 == 0, _HOLE).otherwise(_ZERO))
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    parts = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     docs = documents.documents(parts.select(F.col("p_partkey").cast("string").alias("path"), text.alias("content")))
     return docs.withColumn("doc_id", F.col("path").cast("long"))
 
@@ -308,7 +314,7 @@ def classic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
       "body":["IfThenElse",{"at":"@@"},["Literal",{},["BoolLiteral",true]],["Variable",{},["c"]],["Apply",{},["Reference",{},[[["shop"]],[["SEG"]],["flat"]]],["Literal",{},["WholeNumberLiteral",@@]]]]}}}]]}}]]}]}"""
     for mark, value in (("SEG", F.lower("c_mktsegment")), ("ACC", F.when(F.col("c_acctbal") < 0, "private").otherwise("public")), ("@@", F.col("c_custkey").cast("string"))):
         text = F.replace(F.lit(text) if isinstance(text, str) else text, F.lit(mark), value)
-    docs = documents.documents(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), text.alias("content")))
+    docs = documents.documents(spread(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").cast("string").alias("path"), text.alias("content")))
     return docs.withColumn("doc_id", F.col("path").cast("long"))
 
 
@@ -497,7 +503,7 @@ _COUNTS = ["1 + k % 4", "k % 5", "k % 2", "k % 3"]
 def _sources_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     many = [1 + k % 4, k % 5, k % 2, k % 3]
-    return read(spark, sf_dir, "part").repartition("p_partkey").select(k.alias("path"), F.concat(*[F.repeat(F.lit(p), n.cast("int")) for p, n in zip(_PIECES, many, strict=True)]).alias("content"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.alias("path"), F.concat(*[F.repeat(F.lit(p), n.cast("int")) for p, n in zip(_PIECES, many, strict=True)]).alias("content"))
 
 
 _FILES = f"SELECT p_partkey AS path, {', '.join(f'{c} AS n{i}' for i, c in enumerate(_COUNTS))} FROM (SELECT p_partkey, p_partkey AS k FROM part)"

@@ -99,3 +99,13 @@ def canonical(name: Column) -> Column:
 def sanitize(name: Column) -> Column:
     """Slashes, blanks and backslashes become hyphens."""
     return F.translate(name, "/ \\", "---")
+
+
+def classic_json(words: Column) -> Column:
+    """A classic name as JSON: the list of its words."""
+    return F.to_json(words)
+
+
+def classic_of_json(text: Column) -> Column:
+    """The words of a classic name in JSON; null for other JSON."""
+    return F.from_json(text, "array<string>")

@@ -18,6 +18,33 @@ def module_diff(left: DataFrame, right: DataFrame, keys: list[str], compared: li
     return both.select(*keys, kind.alias("diff_kind"), F.when(kind == "changed", F.array_join(differs, ",")).alias("fields")).where("diff_kind IS NOT NULL")
 
 
+def definition_diff(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(doc_id, module, name, diff_kind)`` between two tables ``(doc_id, module, family, name, access, shape)``.
+
+    Kinds: missing_module and extra_module (once a module), missing_ and extra_ with type or value, access, type_body and
+    value_body. A module that one side lacks gives no rows for its definitions.
+    """
+    modules = lambda df, flag: df.select("doc_id", "module").distinct().withColumn(flag, F.lit(True))
+    both = modules(left, "l").join(modules(right, "r"), ["doc_id", "module"], "full")
+    lone = both.where("l IS NULL OR r IS NULL").select("doc_id", "module", F.lit(None).cast("string").alias("name"), F.when(F.col("r").isNull(), "missing_module").otherwise("extra_module").alias("diff_kind"))
+    known = both.where("l AND r").select("doc_id", "module")
+    diff = module_diff(left, right, ["doc_id", "module", "family", "name"], ["access", "shape"]).join(known, ["doc_id", "module"], "left_semi")
+    kinds = F.when(F.col("diff_kind") != "changed", F.array(F.concat_ws("_", "diff_kind", "family"))).otherwise(F.transform(F.split("fields", ","), lambda f: F.when(f == "access", "access").otherwise(F.concat("family", F.lit("_body")))))
+    return lone.unionByName(diff.select("doc_id", "module", "name", F.explode(kinds).alias("diff_kind")))
+
+
+def members(found: DataFrame, patterns: list[str], config: str) -> DataFrame:
+    """``(project, path)`` of a workspace: directories right under ``dir`` for each pattern ``dir/*`` that hold the file ``config``.
+
+    Members without a star are no patterns and are left out; a project that several patterns find comes once.
+    """
+    directories = [p.removesuffix("/*") for p in patterns if p.endswith("/*")]
+    parts = F.split("path", "/")
+    inside = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "/")
+    rows = found.where((F.element_at(parts, -1) == config) & inside.isin(directories))
+    return rows.select(F.get(parts, F.size(parts) - 2).alias("project"), "path").distinct()
+
+
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` beyond those of ``right``, repeated rows counted."""
     return left.exceptAll(right)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -78,6 +79,18 @@ def _depths(doc: int, defs: list[tuple]) -> Iterator[tuple]:
     return ((doc, module, name, len(nodes), max(row[4] for row in nodes), sum(row[6] == "Variable" for row in nodes)) for module, _, _, name, nodes in defs if nodes)
 
 
+def _shapes(doc: int, defs: list[tuple]) -> Iterator[tuple]:
+    for module, family, _, name, nodes in defs:
+        # Of a value its expression counts, not the types it is annotated with; attributes never count.
+        told = [row[:11] for row in nodes if family == "type" or row[5] != "type"]
+        yield doc, module, family, name, hashlib.sha256(json.dumps([r[2:] for r in told]).encode()).hexdigest()
+
+
+def shapes(docs: DataFrame) -> DataFrame:
+    """``(doc_id, module, family, name, shape)``: a digest of each definition's tree in order; equal trees, equal digests."""
+    return shredded(docs, "doc_id long, module string, family string, name string, shape string", _shapes)
+
+
 def shred(docs: DataFrame) -> DataFrame:
     """``ir_nodes`` of ``documents``: parents before children, order kept in ``ord``; unreadable documents have no nodes."""
     return shredded(docs, NODE, _all)

@@ -409,6 +409,44 @@ def module_diff(spark, sf_dir):
     return compare.module_diff(orders.where(key % 97 > 0), changed, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
+@query("""SELECT doc_id, module, name, diff_kind FROM (SELECT c_custkey AS doc_id, lower(c_mktsegment) AS module, c_custkey % 6 AS k, c_acctbal < 0 AS private FROM customer),
+  LATERAL (SELECT unnest(CASE k WHEN 1 THEN ['-:missing_module'] WHEN 2 THEN ['kind:type_body'] WHEN 3 THEN ['balance-of:value_body'] WHEN 4 THEN ['amount:missing_type', 'sum:extra_type'] WHEN 5 THEN (CASE WHEN private THEN ['balance-of:access'] ELSE [] END) ELSE [] END) AS d),
+  LATERAL (SELECT nullif(string_split(d, ':')[1], '-') AS name, string_split(d, ':')[2] AS diff_kind)
+UNION ALL SELECT c_custkey, 'elsewhere', NULL, 'extra_module' FROM customer WHERE c_custkey % 6 = 1""")
+def definition_diff(spark, sf_dir):
+    """Classic documents against changed ones: by key another module, constructor, number, type name, access; or the same."""
+    docs = classic_corpus(spark, sf_dir)
+    k, raw, segment = F.col("doc_id") % 6, F.col("raw"), F.regexp_extract("raw", r'"modules":\[\[\[\["([a-z]+)"', 1)
+    changed = (
+        F.when(k == 1, F.replace(raw, F.concat(F.lit('"modules":[[[["'), segment, F.lit('"')), F.lit('"modules":[[[["elsewhere"')))
+        .when(k == 2, F.replace(raw, F.lit('[["y"],["Unit",{}]]'), F.lit('[["y"],["Variable",{},["a"]]]')))
+        .when(k == 3, F.replace(raw, F.lit('["BoolLiteral",true]'), F.lit('["BoolLiteral",false]')))
+        .when(k == 4, F.replace(raw, F.lit('["amount"]'), F.lit('["sum"]')))
+        .when(k == 5, F.replace(raw, F.lit('"access":"private"'), F.lit('"access":"public"')))
+        .otherwise(F.replace(raw, F.lit('{"at"'), F.lit('{"seen":1,"at"')))
+    )
+    table = lambda d: documents.definitions(d).select("doc_id", "module", "family", "name", "access").join(nodes.shapes(d), ["doc_id", "module", "family", "name"])
+    return compare.definition_diff(table(docs), table(docs.withColumn("raw", changed)))
+
+
+@query("""SELECT p_partkey % 50 || '-' || p_size AS project, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL""")
+def workspace_members(spark, sf_dir):
+    """Projects right under apps/: not those of libs (named without a star), nor deeper ones."""
+    k, name = F.col("p_partkey"), F.concat_ws("-", F.col("p_partkey") % 50, "p_size")
+    at = F.when(k % 3 == 0, F.concat_ws("/", F.lit("apps"), name, F.lit("project.toml"))).when(k % 3 == 1, F.concat_ws("/", F.lit("libs"), name, F.lit("project.toml"))).otherwise(F.concat_ws("/", F.lit("apps"), name, F.lit("deep"), F.lit("project.toml")))
+    found = read(spark, sf_dir, "part").select(at.alias("path"))
+    return compare.members(found, ["apps/*", "libs"], "project.toml").join(found, "path").groupBy("project").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey AS doc_id, '{"package":"shop/no-' || c_custkey || '","module":"' || lower(c_mktsegment) || '","n_types":2,"n_values":1}' AS line FROM customer""")
+def module_lines(spark, sf_dir):
+    """A JSON line for each module."""
+    docs = classic_corpus(spark, sf_dir)
+    counts = documents.definitions(docs).groupBy("doc_id", "module").agg(F.count_if(F.col("family") == "type").alias("n_types"), F.count_if(F.col("family") == "value").alias("n_values"))
+    rows = counts.join(docs.select("doc_id", "package"), "doc_id").select("doc_id", "package", "module", "n_types", "n_values")
+    return documents.json_lines(rows, "doc_id")
+
+
 @query("SELECT lang, source FROM documents EXCEPT ALL SELECT lang, source FROM documents WHERE doc_id % 3 = 0")
 def multiset_diff(spark, sf_dir):
     d = read(spark, sf_dir, "documents")

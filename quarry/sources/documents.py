@@ -194,6 +194,12 @@ def notebook_cells(found: DataFrame) -> DataFrame:
     return cell.select("path", "ord", F.coalesce("c.id", F.col("ord").cast("string")).alias("id"), "c.cell_type", source.alias("source"))
 
 
+def json_lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``line``: the other columns of each row as one JSON object, null fields left out; ``.select("line").write.text``
+    makes JSON Lines."""
+    return rows.select(*keep, F.to_json(F.struct(*[c for c in rows.columns if c not in keep])).alias("line"))
+
+
 def write_tree(defs: DataFrame, path: str) -> None:
     """One JSON line per definition under ``module=.../family=...``, in a definition's order."""
     ordered = defs.where("error IS NULL").repartition("module", "family").sortWithinPartitions("module", "family", "ord")

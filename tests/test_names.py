@@ -89,3 +89,8 @@ def test_cache(spark):
     assert fresh(60) and not fresh(59) and fresh(0)
     assert len(one(spark, remote.cache_key, "github:o/r")) == 16
     assert one(spark, lambda c: remote.cache_path("/c", c), "./a").startswith("/c/local/")
+
+
+def test_classic_names_as_json(spark):
+    row = spark.sql("SELECT array('local', 'date') AS w, '[\"a\",\"b\"]' AS j, '7' AS bad").select(names.classic_json(F.col("w")).alias("j"), names.classic_of_json(F.col("j")).alias("w"), names.classic_of_json(F.col("bad")).alias("none")).first()
+    assert tuple(row) == ('["local","date"]', ["a", "b"], None)

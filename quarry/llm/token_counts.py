@@ -20,7 +20,7 @@ LIMIT = 512
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRE_TOKENS = regex.compile(PRE_TOKEN).findall
 #: Merged parts that a process remembers; beyond that it forgets and merges again.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Characters of the longest part that is remembered.
 LONGEST = 64
 #: A blank that another white-space character follows, or the text's end.
@@ -57,9 +57,11 @@ def proven_whole_tokens(tokenizer) -> frozenset[str]:
             continue
         if PRE_TOKENS(text) == [text]:
             strings[text] = number
-    texts = list(strings)
-    encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-    return frozenset(t for t, e in zip(texts, encoded, strict=True) if e.ids == [strings[t]])
+    texts, proven = list(strings), set()
+    for at in range(0, len(texts), 1000):  # encodings are large objects
+        part = texts[at : at + 1000]
+        proven |= {t for t, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True) if e.ids == [strings[t]]}
+    return frozenset(proven)
 
 
 def ranks_of(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:

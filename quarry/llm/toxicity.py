@@ -37,7 +37,8 @@ LEAST_DOCS, LEAST_RATIO, LEAST_WEIGHT = 3, 4.0, 12.0
 #: short words compressible, so that the lengths tell what the word itself costs.
 BEFORE, AFTER = bytes(range(200, 232)), bytes(range(160, 192))
 LONGEST = 64
-REMEMBERED = 1_000_000
+#: Words whose distances a process remembers.
+REMEMBERED = 200_000
 THRESHOLD = 0.7
 #: Folds of the labelled texts, and the most that a text scores where no classifier can be fitted.
 FOLDS, UNKNOWN = 4, 0.5
@@ -239,14 +240,28 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_o
     """Fit on a bounded sample of labelled rows that are not held out: the first by a hash of doc_id, of either label.
 
     Of several labels for one doc_id the largest counts. At most max_toxic + max_ordinary ids are broadcast, and so many
-    texts of at most max_chars characters reach the driver (repeated rows of an id: one of them).
+    texts of at most max_chars characters (repeated rows of an id: one of them) meet in one task, where the model is
+    fitted; only the model reaches the driver.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
     ids = bounded_sample(known.where("toxic = 1"), "doc_id", max_toxic).union(bounded_sample(known.where("toxic = 0"), "doc_id", max_ordinary))
     short = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).where("text is not null")
-    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(*order).collect()
-    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.select("toxic", "text", F.xxhash64("doc_id").alias("spot"), "doc_id").repartition(1).sortWithinPartitions("spot", "doc_id").select("toxic", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bool, list[str]] = {True: [], False: []}
+        for b in batches:
+            for toxic, text in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True):
+                found[toxic == 1].append(text)
+        m = fit(found[True], found[False])
+        yield pa.RecordBatch.from_pylist([{"ordinary": m.ordinary, "toxic": m.toxic, "words": m.words, "weights": list(m.weights), "share": m.share}], schema=pa.schema(
+            [("ordinary", pa.binary()), ("toxic", pa.binary()), ("words", pa.binary()), ("weights", pa.list_(pa.float64())), ("share", pa.float64())]))
+
+    m = rows.mapInArrow(run, "ordinary binary, toxic binary, words binary, weights array<double>, share double").first()
+    if m is None:  # no labelled text at all
+        return fit([], [])
+    return Model(bytes(m["ordinary"]), bytes(m["toxic"]), bytes(m["words"]), tuple(m["weights"]), m["share"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, itq_dedup, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_search, warc_zstd
+from . import ball_kmeans, chat_format, itq_dedup, language_id, lexical_search, minhash_dedup, mixing, packing, secret_scan, token_counts, toxicity, vector_search, warc_zstd
 
 QUERIES = {
     "op1_length_buckets": packing.op1_length_buckets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_vector_search": vector_search.op8_vector_search,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_ball_kmeans": ball_kmeans.op12_ball_kmeans,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +26,6 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_vector_search": vector_search.OP8_SQL,
     "op9_minhash_dedup": minhash_dedup.OP9_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
+    "op12_ball_kmeans": ball_kmeans.OP12_SQL,
 }

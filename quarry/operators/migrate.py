@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.tree import rewrite, text_of
+from quarry.functions.tree import faults_of, rewrite, text_of
 from quarry.sources.documents import UNREADABLE, controlled, named
 
 
 def definition_in(body: Any, to_v4: bool) -> Any:
-    """A type or value definition in the other dialect. Raises ValueError for what it can't say.
+    """A type or value definition in the other dialect. Raises ValueError for what it can't say, and for malformed definitions.
 
     Names of inputs keep their order; a classic input's own attributes are not kept.
     """
@@ -59,10 +59,12 @@ def definitions_in(defs: DataFrame, to_v4: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done, why = [], []
-            for body, error in zip(b.column("body").to_pylist(), b.column("error").to_pylist(), strict=True):
+            for body, family, error in zip(*(b.column(c).to_pylist() for c in ("body", "family", "error")), strict=True):
                 try:
-                    done.append(None if body is None else json.dumps(definition_in(json.loads(body), to_v4), separators=(",", ":"), ensure_ascii=False))
-                    why.append(error)
+                    parsed = None if body is None else json.loads(body)
+                    faults = [] if body is None else faults_of(parsed, family)
+                    done.append(None if body is None or faults else json.dumps(definition_in(parsed, to_v4), separators=(",", ":"), ensure_ascii=False))
+                    why.append("; ".join(map(" ".join, faults)) or error)
                 except UNREADABLE as e:
                     done.append(None)
                     why.append(str(e) or type(e).__name__)
@@ -87,10 +89,15 @@ def _path(path: Column, to_v4: bool) -> Column:
 def migrated(docs: DataFrame, defs: DataFrame, to_v4: bool) -> DataFrame:
     """``(doc_id, content, diagnostics)`` for each of ``docs``: the document in the other dialect, or what stands in its way.
 
-    ``defs`` are the definitions of ``docs``. A document with a definition that the other dialect can't say, or that can't
-    be read, has no content. Dependencies' specifications are not carried over. A definition is rewritten alone; modules
-    and documents are put together by two groupings, whose groups are as large as one document.
+    A malformed definition stands in the way too: its faults are told with their JSON paths. ``defs`` are the definitions of ``docs``. A document with a definition that the other dialect can't say, or that can't
+    be read, has no content. Dependencies' specifications are not carried over. A definition is rewritten alone.
     """
+    return put_together(docs, definitions_in(defs, to_v4), to_v4)
+
+
+def put_together(docs: DataFrame, rows: DataFrame, to_v4: bool) -> DataFrame:
+    """``(doc_id, content, diagnostics)`` of ``docs`` from definitions with ``converted`` and ``diagnostic``: modules, then documents, are
+    put together by two groupings, whose groups are as large as one document."""
     colon, comma = F.lit(":" if to_v4 else ","), F.lit(",")
     begin, end = (F.lit(c) for c in ("{}" if to_v4 else "[]"))
     pair = lambda key, value: F.concat(key, colon, value) if to_v4 else F.concat(F.lit("["), key, comma, value, F.lit("]"))
@@ -99,7 +106,6 @@ def migrated(docs: DataFrame, defs: DataFrame, to_v4: bool) -> DataFrame:
     inner = F.when(F.lit(to_v4) & F.col("doc").isNull(), F.col("converted")).otherwise(F.concat(F.lit("{"), doc, F.lit('"value":'), F.col("converted"), F.lit("}")))
     entry = pair(_name(F.col("name"), to_v4), F.concat(F.lit('{"access":"'), "access", F.lit('","value":'), inner, F.lit("}")))
 
-    rows = definitions_in(defs, to_v4)
     of = lambda family: F.array_sort(F.collect_list(F.when((F.col("family") == family) & F.col("converted").isNotNull(), F.struct("ord", entry.alias("text")))))
     why = F.collect_list(F.when(F.col("diagnostic").isNotNull(), F.concat_ws(": ", F.concat_ws("#", "module", "name"), "diagnostic")))
     modules = rows.groupBy("doc_id", "module", "module_ord", "module_access").agg(of("type").alias("types"), of("value").alias("values"), why.alias("why"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.tree import rewrite, rows_of
+from quarry.functions.tree import definition_of, faults_of, rewrite, rows_of
 from quarry.sources.documents import UNREADABLE, definitions_of
 
 #: Documents whose nodes a task holds at a time.
@@ -21,7 +21,7 @@ DOCUMENTS = 64
 
 NODE = (
     "doc_id long, module string, def_name string, def_ord int, node_id int, parent_id int, role string, ord int, depth int, family string, kind string, "
-    "name string, fqn string, lit_type string, lit_text string, attrs string, info string"
+    "name string, fqn string, lit_type string, lit_text string, attrs string, info string, path string, last int, section string"
 )
 
 
@@ -38,12 +38,11 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def trees_of(body, family: str) -> Iterator[tuple]:
     """The node rows of a definition: those of its trees one after another."""
     at = 0
-    for part, kind in roots(body, family):
-        n = 0
-        for row in rows_of(part, kind):
-            n += 1
-            yield (row[0] + at, None if row[1] is None else row[1] + at, *row[2:])
-        at += n
+    for role, path, part, kind in definition_of(body, family).children:
+        rows = rows_of(part, kind, role, path)
+        for row in rows:
+            yield (row[0] + at, None if row[1] is None else row[1] + at, *row[2:14], row[14] + at)
+        at += len(rows)
 
 
 def shredded(docs: DataFrame, schema: str, rows: Callable[[int, list[tuple]], Iterable[tuple]]) -> DataFrame:
@@ -68,7 +67,7 @@ def shredded(docs: DataFrame, schema: str, rows: Callable[[int, list[tuple]], It
 
 
 def _all(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    return ((doc, module, name, k, *row) for module, _, k, name, nodes in defs for row in nodes)
+    return ((doc, module, name, k, *row, family) for module, family, k, name, nodes in defs for row in nodes)
 
 
 def _kinds(doc: int, defs: list[tuple]) -> Iterator[tuple]:
@@ -82,8 +81,8 @@ def _depths(doc: int, defs: list[tuple]) -> Iterator[tuple]:
 def _shapes(doc: int, defs: list[tuple]) -> Iterator[tuple]:
     for module, family, _, name, nodes in defs:
         # Of a value its expression counts, not the types it is annotated with; attributes never count.
-        told = [row[:11] for row in nodes if family == "type" or row[5] != "type"]
-        yield doc, module, family, name, hashlib.sha256(json.dumps([r[2:] for r in told]).encode()).hexdigest()
+        told = [row[2:11] for row in nodes if family == "type" or row[5] != "type"]
+        yield doc, module, family, name, hashlib.sha256(json.dumps(told).encode()).hexdigest()
 
 
 def shapes(docs: DataFrame) -> DataFrame:
@@ -92,44 +91,12 @@ def shapes(docs: DataFrame) -> DataFrame:
 
 
 def shred(docs: DataFrame) -> DataFrame:
-    """``ir_nodes`` of ``documents``: parents before children, order kept in ``ord``; unreadable documents have no nodes."""
-    return shredded(docs, NODE, _all)
-
+    """``ir_nodes`` of ``documents``: parents before children, order kept in ``ord``; unreadable documents have no nodes.
 
-def roots(body, family: str):
-    """The expression trees of a definition: types, and the value's body, of either dialect's wrapping."""
-    if isinstance(body, dict) and len(body) == 1:
-        kind, inner = next(iter(body.items()))
-        if isinstance(inner, dict):
-            for key, part in inner.items():
-                if key in ("typeExp", "outputType"):
-                    yield part, "type"
-                elif key in ("inputTypes", "constructors"):
-                    yield from ((x, "type") for x in typed(part))
-                elif key in ("body", "value"):
-                    yield part, "value"
-            return
-    if isinstance(body, dict):
-        for key, part in body.items():
-            if key == "outputType":
-                yield part, "type"
-            elif key == "inputTypes":
-                yield from ((x, "type") for x in typed(part))
-            elif key == "body":
-                yield from roots(part, "value") if isinstance(part, dict) and next(iter(part), "").endswith("Body") else [(part, "value")]
-    elif isinstance(body, list) and family == "type":
-        yield from ((x, "type") for x in typed(body[1:]))
-
-
-def typed(part):
-    """Type trees inside parameter lists and constructors."""
-    if isinstance(part, list) and part and isinstance(part[0], str) and part[0][:1].isupper() and len(part) > 1:
-        yield part
-    elif isinstance(part, dict) and len(part) == 1 and next(iter(part))[:1].isupper():
-        yield part
-    elif isinstance(part, (list, dict)):
-        for x in part.values() if isinstance(part, dict) else part:
-            yield from typed(x)
+    node_id numbers a definition's nodes in the order of a walk and ``last`` is the last number below a node, so a node lies
+    below another exactly if its number is between that one's and its last. path is the JSON path in the definition.
+    """
+    return shredded(docs, NODE, _all)
 
 
 def kind_counts(docs: DataFrame) -> DataFrame:
@@ -182,14 +149,57 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise ValueError(f"paths of more than {rounds} steps")
 
 
+FAULT = "doc_id long, module string, family string, name string, path string, code string, detail string"
+
+
+def faults(defs: DataFrame) -> DataFrame:
+    """What is malformed in ``definitions``, as ``(doc_id, module, family, name, path, code, detail)``, path a JSON path in the definition.
+
+    Codes: unknown_kind, missing_field, arity and wrong_shape of nodes and definitions of either dialect; unreadable for a
+    document without any. Definitions are checked one by one where they lie, all their faults are told.
+    """
+    schema = _arrow(FAULT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, module, family, name, body, error in zip(*(b.column(c).to_pylist() for c in ("doc_id", "module", "family", "name", "body", "error")), strict=True):
+                if error is not None:
+                    out.append((doc, None, None, None, "$", "unreadable", error))
+                    continue
+                try:
+                    out += [(doc, module, family, name, *fault) for fault in faults_of(json.loads(body), family)]
+                except UNREADABLE as e:
+                    out.append((doc, module, family, name, "$", "unreadable", f"{type(e).__name__}: {e}"))
+            yield _batches(out, schema)
+
+    return defs.select("doc_id", "module", "family", "name", "body", "error").mapInArrow(run, FAULT)
+
+
+def incomplete_definitions(defs: DataFrame) -> DataFrame:
+    """``(doc_id, module, def_name, node_id, kind, reason, detail)`` as ``incomplete`` gives, for definitions of version 4 without an
+    expression: native, external and incomplete bodies, and incomplete types. node_id is null; JVM functions alone."""
+    told = {"NativeBody": "hint", "ExternalBody": "targetPlatform", "IncompleteBody": "reason", "IncompleteTypeDefinition": "incompleteness"}
+    at = lambda path: F.coalesce(F.get_json_object("body", f"$.{path}"), F.get_json_object("body", f"$.body.{path}"))
+    kind, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for body, field in told.items():
+        here = at(body).isNotNull()
+        kind, detail = F.when(here, body).otherwise(kind), F.when(here, at(f"{body}.{field}")).otherwise(detail)
+    rows = defs.where("error IS NULL").select("doc_id", "module", F.col("name").alias("def_name"), F.lit(None).cast("int").alias("node_id"), kind.alias("kind"), detail.alias("detail")).where("kind IS NOT NULL")
+    tag = lambda text: F.coalesce(F.get(F.json_object_keys(text), 0), text)
+    hole = F.get_json_object("detail", "$.Hole")  # an incomplete type may name the reason of a hole
+    return rows.withColumn("reason", F.when(hole.isNotNull(), F.concat(F.lit("Hole."), tag(hole))).otherwise(tag(F.col("detail")))).select("doc_id", "module", "def_name", "node_id", "kind", "reason", "detail")
+
+
 def findings(nodes: DataFrame, defs: DataFrame) -> DataFrame:
-    """Our validation rules, as ``(doc_id, code, subject)``: names defined twice, names that aren't kebab, holes."""
+    """Our validation rules, as ``(doc_id, code, subject)``: names defined twice, names that aren't kebab, holes, malformed definitions."""
     good = defs.where("error IS NULL")
     twice = good.groupBy("doc_id", "module", "family", "name").count().where("count > 1").select("doc_id", F.lit("duplicate").alias("code"), F.concat_ws("#", "module", "name").alias("subject"))
     names = good.where(~F.rlike("name", F.lit("^[a-z0-9-]+$"))).select("doc_id", F.lit("name").alias("code"), F.concat_ws("#", "module", "name").alias("subject"))
     holes = nodes.where("kind = 'Hole'").select("doc_id", F.lit("hole").alias("code"), F.concat_ws("#", "module", "def_name").alias("subject")).distinct()
     broken = defs.where("error IS NOT NULL").select("doc_id", F.lit("unreadable").alias("code"), F.col("error").alias("subject"))
-    return twice.unionByName(names).unionByName(holes).unionByName(broken)
+    malformed = faults(good).select("doc_id", "code", F.concat_ws(" ", F.concat_ws("#", "module", "name"), "path").alias("subject"))
+    return twice.unionByName(names).unionByName(holes).unionByName(broken).unionByName(malformed)
 
 
 def converted(trees: DataFrame, family: str, to_v4: bool) -> DataFrame:

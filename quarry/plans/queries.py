@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quarry import streaming
 from quarry.functions import globs, names
-from quarry.operators import compare, migrate, nodes, source_text
+from quarry.operators import compare, encode, migrate, nodes, source_text, structure
 from quarry.sources import documents, remote
 
-from . import logic
+from . import grown, logic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -346,6 +346,100 @@ def migrate_documents(spark, sf_dir):
     return new.join(back, "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
 
 
+_MODULES = f"(SELECT k, unnest(CASE WHEN {grown.MODULES} = 2 THEN ['m', 'n'] ELSE ['m'] END) AS module FROM {grown.ROWS})"
+_PLANTED = ", ".join(f"({n}, '{code}', '{path}')" for n, (_, code, path) in grown.FAULTS.items())
+_PLACE = f"'$.body' || repeat('[4]', ({grown.LETS})::INT) || repeat('[3]', ({grown.RECURSIONS} + {grown.CALLS})::INT) || '[2][0][1]'"
+
+
+@query(f"SELECT k AS doc_id, {grown.document(False, grown.body(False))} AS content, true AS same FROM {grown.ROWS}".replace("AS STRING", "AS VARCHAR"))
+def migrate_grown(spark, sf_dir):
+    """Classic documents of nested lets, recursion, calls and records, in one or two modules, to version 4; and down and up again: the same."""
+    docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True)))
+    again = lambda df: documents.documents(df.select(F.col("doc_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
+    new = migrate.migrated(docs, documents.definitions(docs), True)
+    old = again(migrate.migrated(again(new), documents.definitions(again(new)), False))
+    back = migrate.migrated(old, documents.definitions(old), True).select("doc_id", F.col("content").alias("back"))
+    return new.join(back, "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
+
+
+@query(f"SELECT k AS doc_id, module, 'value' AS family, 'go' AS name, {_PLACE} || path AS path, code FROM {_MODULES} JOIN (VALUES {_PLANTED}) t(f, code, path) ON {grown.FAULT} = f")
+def malformed_nodes(spark, sf_dir):
+    """Where documents are malformed, by JSON path: faults of six sorts, planted at the bottom of trees that vary."""
+    docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True, grown.faulty())))
+    return nodes.faults(documents.definitions(docs)).select("doc_id", "module", "family", "name", "path", "code")
+
+
+@query(f"SELECT k AS doc_id, CASE WHEN {grown.FAULT} BETWEEN 1 AND 6 THEN ({grown.MODULES})::INT ELSE 0 END AS n_diagnostics, NOT {grown.FAULT} BETWEEN 1 AND 6 AS done FROM {grown.ROWS}")
+def migrate_refuses(spark, sf_dir):
+    """Migration writes no document with a malformed definition, and says why for each."""
+    docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True, grown.faulty())))
+    out = migrate.migrated(docs, documents.definitions(docs), True)
+    return out.select("doc_id", F.size("diagnostics").alias("n_diagnostics"), F.col("content").isNotNull().alias("done"))
+
+
+_V4 = grown.document(False, grown.body(False))
+_SEEN = f"""replace({_V4}, '"attrs":{{"extensions":{{"n":1}}}}', '"attrs":{{"extensions":{{"n":1}},"seen":true}}')"""
+
+
+@query(f"SELECT k AS doc_id, true AS same, {_SEEN} AS content FROM {grown.ROWS}".replace("AS STRING", "AS VARCHAR"))
+def encode_documents(spark, sf_dir):
+    """Documents to nodes and back: the same text; and once more with the attributes of calls changed between."""
+    docs = grown.corpus(spark, sf_dir, _V4)
+    tree, defs = nodes.shred(docs), documents.definitions(docs)
+    same = encode.documents_of(docs, tree, defs).join(docs.select("doc_id", "raw"), "doc_id").select("doc_id", F.col("content").eqNullSafe(F.col("raw")).alias("same"))
+    seen = nodes.map_attributes(tree, {"Apply": lambda a: F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(', "seen": true}'))})
+    return encode.documents_of(docs, seen, defs).join(same, "doc_id").select("doc_id", "same", "content")
+
+
+#: Definitions of version 4 without an expression, by k: a native hint, a hole's reason, a platform, an incomplete type, a wrapped body.
+_BARE = {
+    0: ("value", '{"inputTypes":{},"outputType":{"Unit":{}},"body":{"NativeBody":{"hint":{"StringOp":{}}}}}', "NativeBody", "StringOp"),
+    1: ("value", '{"inputTypes":{},"outputType":{"Unit":{}},"body":{"IncompleteBody":{"reason":{"TypeMismatch":{"expected":"a","found":"b"}}}}}', "IncompleteBody", "TypeMismatch"),
+    2: ("value", '{"inputTypes":{},"outputType":{"Unit":{}},"body":{"ExternalBody":{"externalName":"e","targetPlatform":"jvm"}}}', "ExternalBody", "jvm"),
+    3: ("type", '{"IncompleteTypeDefinition":{"typeParams":[],"incompleteness":{"Hole":{"UnresolvedReference":{"target":"a:b#c"}}}}}', "IncompleteTypeDefinition", "Hole.UnresolvedReference"),
+    4: ("type", '{"IncompleteTypeDefinition":{"typeParams":["a"],"incompleteness":"Draft","partialTypeExp":{"Unit":{}}}}', "IncompleteTypeDefinition", "Draft"),
+    5: ("value", '{"NativeBody":{"inputTypes":{},"outputType":{"Unit":{}},"hint":"Arithmetic"}}', "NativeBody", "Arithmetic"),
+    6: ("value", '{"ExpressionBody":{"inputTypes":{},"outputType":{"Unit":{}},"body":{"Unit":{}}}}', None, None),
+}
+_BARE_AT = {"value": '"types":{},"values":{"d@":{"access":"Public","value":#}}', "type": '"types":{"d@":{"access":"Public","value":#}},"values":{}'}
+
+
+@query(f"SELECT k AS doc_id, 'd' || k AS def_name, kind, reason FROM {grown.ROWS} JOIN (VALUES {', '.join(f"({n}, '{kind}', '{reason}')" for n, (_, _, kind, reason) in _BARE.items() if kind)}) t(n, kind, reason) ON k % 7 = n")
+def incomplete_definitions(spark, sf_dir):
+    """Native, external and incomplete bodies and incomplete types; nothing of them is malformed."""
+    whole = lambda n: '{"formatVersion":4,"distribution":{"Library":{"packageName":"p","dependencies":{},"def":{"modules":{"m":{"access":"Public","value":{' + _BARE_AT[_BARE[n][0]].replace("#", _BARE[n][1]) + "}}}}}}}"
+    docs = grown.corpus(spark, sf_dir, f"replace(CASE k % 7 {' '.join(f'WHEN {n} THEN {grown.text(whole(n))}' for n in _BARE)} END, '@', CAST(k AS STRING))")
+    defs = documents.definitions(docs)
+    told = nodes.faults(defs).select("doc_id", F.col("name").alias("def_name"), F.col("code").alias("kind"), F.col("path").alias("reason"))
+    return nodes.incomplete_definitions(defs).select("doc_id", "def_name", "kind", "reason").unionByName(told)
+
+
+#: A second version of each document, by k: a number changed, a call more, fields dealt otherwise, or the same.
+_OTHER = grown.document(False, f"CASE k % 4 WHEN 1 THEN {grown.body(False, grown.text('{"Unit":{"attrs":{}}}'))} WHEN 2 THEN {grown.body(False, None, grown.CALLS + ' + 1')} WHEN 3 THEN replace({grown.body(False)}, {grown.text('"f0"')}, {grown.text('"g"')}) ELSE {grown.body(False)} END")
+_AT = f"""'$.body' || repeat('.LetDefinition.body', ({grown.LETS})::INT) || repeat('.LetRecursion.body', ({grown.RECURSIONS})::INT) || repeat('.Apply.argument', ({grown.CALLS})::INT)""".replace("'$.body'", "'$.ExpressionBody.body'")
+
+
+@query(f"""SELECT k AS doc_id, module, 'go' AS name, d.* FROM (SELECT *, {_AT} AS p FROM {_MODULES}), LATERAL (SELECT * FROM (VALUES
+  (1, 'changed', p || '.Record.fields.f0', NULL, 'Literal', 'Unit'), (2, 'changed', p, NULL, 'Record', 'Apply'),
+  (3, 'moved', p || '.Record.fields.g', p || '.Record.fields.f0', NULL, 'Literal'), (3, 'missing', p || '.Record.fields.f0', NULL, 'Literal', NULL)) t(v, diff, path, old_path, was, now) WHERE v = k % 4) d(v, diff, path, old_path, was, now)""".replace("d.* FROM", "diff, path, old_path, was, now FROM"))
+def subtree_differences(spark, sf_dir):
+    """Where two versions of documents differ, by subtree digests: a node changed, a call put between, a field renamed."""
+    left, right = (structure.digests(grown.corpus(spark, sf_dir, text)) for text in (_V4, _OTHER))
+    return structure.differences(left, right).select("doc_id", "module", "name", "diff", "path", "old_path", "was", "now")
+
+
+@query(f"""SELECT k AS doc_id, module, ({grown.LETS} * ({grown.LETS} + 1) // 2)::BIGINT AS under_lets, CASE WHEN {grown.LETS} > 0 THEN {grown.CALLS} END::BIGINT AS calls_in_lets,
+  CASE WHEN {grown.LETS} > 0 THEN '$.ExpressionBody.body' || repeat('.LetDefinition.body', ({grown.LETS} - 1)::INT) END AS innermost FROM {_MODULES} WHERE {grown.LETS} > 0""")
+def nodes_below(spark, sf_dir):
+    """Structural joins: variables named p-q below lets, counted once for each let around; references and the innermost let around them."""
+    tree = nodes.shred(grown.corpus(spark, sf_dir, _V4))
+    lets = tree.where("kind = 'LetDefinition'")
+    pairs = structure.below(lets, tree.where("kind = 'Variable' AND name = 'p-q'"), {"kind": "let"}, {"kind": "variable"}).groupBy("doc_id", "module").agg(F.count("*").alias("under_lets"))
+    near = structure.innermost(lets, tree.where("kind = 'Reference'"), {"path": "let"}, {"path": "reference"})
+    near = near.groupBy("doc_id", "module").agg(F.count("*").alias("calls_in_lets"), F.max("let").alias("innermost"))
+    return pairs.join(near, ["doc_id", "module"])
+
+
 @query(f"""SELECT p_partkey AS doc_id, CASE WHEN k IN (0, 3) THEN ['parcels#ship: Native can''t be said in the classic dialect'] ELSE [] END AS natives, k IN (0, 1, 4) AND p_size % 3 = 0 AS hole, NOT (k IN (0, 3) OR k IN (1, 4) AND p_size % 3 = 0) AS done
 FROM (SELECT *, p_partkey % {len(_SETS)} AS k FROM part)""")
 def cannot_downgrade(spark, sf_dir):

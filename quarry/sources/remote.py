@@ -34,16 +34,39 @@ def _none(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def parse(source: Column) -> Column:
-    """struct<kind, url, owner, repo, id, ref, ref_kind, subpath>; fields that a kind doesn't have are null."""
-    s, what = F.trim(source), kind(source)
+    """struct<kind, url, owner, repo, id, ref, ref_kind, subpath>; fields that a kind doesn't have are null.
+
+    A reference may be of any length: nothing here backtracks or recurses over it.
+    """
+    return _bound(F.struct(F.trim(source).alias("s"), kind(source).alias("kind")), lambda x: _parsed(x["s"], x["kind"]))
+
+
+def _git(s: Column) -> Column:
+    """struct<bare, ref> of a git address: a reference follows the last @, unless that belongs to git@host or an address' user."""
+    last_at, scheme = F.length(s) - F.instr(F.reverse(s), F.lit("@")) + 1, F.instr(s, F.lit("://"))
+    ssh = F.startswith(s, F.lit("git@")) & ~F.contains(F.substring(s, F.lit(1), last_at - 1), F.lit("://"))
+    at = F.contains(s, F.lit("@")) & ~ssh & (last_at > F.greatest(scheme, F.lit(1)))
+    return F.struct(F.when(at, F.substring(s, F.lit(1), last_at - 1)).otherwise(s).alias("bare"), F.when(at, F.substring_index(s, "@", -1)).alias("ref"))
+
+
+def _git_parts(git: Column) -> Column:
+    """struct<url, ref, subpath>: a path follows the first .git and a slash."""
+    dot = F.instr(git["bare"], F.lit(".git"))
+    under = (dot > 0) & (F.substring(git["bare"], dot + 4, F.lit(1)) == "/")
+    url = F.when(under, F.substring(git["bare"], F.lit(1), dot + 3)).otherwise(git["bare"])
+    return F.struct(url.alias("url"), git["ref"].alias("ref"), F.when(under, F.substring(git["bare"], dot + 5, F.length(git["bare"]))).alias("subpath"))
+
+
+def _parsed(s: Column, what: Column) -> Column:
     http_url, http_sub = F.substring_index(s, "#", 1), F.when(F.contains(s, F.lit("#")), F.regexp_extract(s, r"(?s)^[^#]*#(.*)$", 1))
-    plain_git = F.startswith(s, F.lit("git@")) & ~F.rlike(s, F.lit(r"(?s)://.*@[^@]*$"))
-    git_at = F.contains(s, F.lit("@")) & ~plain_git & F.rlike(s, F.lit(r"(?s)^(?:[^:]|:(?!//))*(?:://.*)?@[^@]*$"))
-    git_ref = F.when(git_at, F.regexp_extract(s, r"(?s)@([^@]*)$", 1))
-    git_bare = F.when(git_at, F.regexp_extract(s, r"(?s)^(.*)@[^@]*$", 1)).otherwise(s)
-    git_sub = F.when(F.rlike(git_bare, F.lit(r"(?s)^.*?\.git/")), F.regexp_extract(git_bare, r"(?s)^(?:(?!\.git).)*\.git/(.*)$", 1))
-    git_url = F.when(git_sub.isNotNull(), F.regexp_extract(git_bare, r"(?s)^((?:(?!\.git).)*\.git)/", 1)).otherwise(git_bare)
+    git = F.when(what == "git", _bound(_git(s), _git_parts))
+    git_url, git_ref, git_sub = git["url"], git["ref"], git["subpath"]
     hub = F.regexp_extract(s, r"(?s)^github:(.*)$", 1)
     hub_part = F.split(F.substring_index(hub, "@", 1), "/")
     hub_ref = F.when(F.contains(hub, F.lit("@")), F.regexp_extract(hub, r"(?s)^[^@]*@(.*)$", 1))
@@ -64,7 +87,10 @@ def parse(source: Column) -> Column:
 
 def canonical_url(source: Column) -> Column:
     """The address that policies are matched against; null for an invalid reference."""
-    p = parse(source)
+    return _bound(parse(source), _address)
+
+
+def _address(p: Column) -> Column:
     at, under, piece = (F.coalesce(F.concat(F.lit(c), x), F.lit("")) for c, x in (("@", p["ref"]), ("/", p["subpath"]), ("#", p["subpath"])))
     return (
         F.when(p["kind"] == "local", F.concat(F.lit("file://"), p["url"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from quarry import streaming
 from quarry.functions import globs, names
 from quarry.operators import compare, encode, migrate, nodes, source_text, structure
 from quarry.sources import documents, remote
+from quarry.streaming import machine, progress, watching
 
 from . import grown, logic
 
@@ -660,3 +662,64 @@ def project_states(spark, sf_dir):
     """The state that each project's last known message left, since when, and how many there were."""
     message = F.element_at(F.array(*map(F.lit, _MESSAGES)), ((F.col("event_id") * 7 + F.col("user_id")) % 11 % 7 + 1).cast("int"))
     return streaming.project_states(read(spark, sf_dir, "events").select(F.col("user_id").alias("project"), message.alias("message"), F.col("event_id").alias("ts")))
+
+
+_SAID = ", ".join(f"'{m}'" for m in _MESSAGES)
+_STEP = "CASE " + " ".join(f"WHEN s = '{state}' AND m = '{message}' THEN '{to}'" for state, by in machine.PROJECT.steps.items() for message, (to, _) in by.items()) + " ELSE s END"
+
+
+def _folded(where: str) -> str:
+    """DuckDB: the state that the machine's steps lead to from each user's messages in order."""
+    return f"""SELECT user_id AS key, list_reduce(list_prepend('{machine.PROJECT.start}', list(m ORDER BY ts, event_id)), lambda s, m: {_STEP}) AS state, count(*) AS n
+  FROM (SELECT *, [{_SAID}][(event_id * 7 + user_id) % 11 % 7 + 1] AS m FROM events) WHERE {where} GROUP BY user_id"""
+
+
+def _said(events: DataFrame) -> DataFrame:
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), ((F.col("event_id") * 7 + F.col("user_id")) % 11 % 7 + 1).cast("int"))
+    return events.select(F.col("user_id").alias("key"), message.alias("message"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+@query(_folded("true"))
+def machine_states(spark, sf_dir):
+    """Each project's state after all its messages, by a machine whose steps depend on the state: functions composed in order."""
+    return machine.final_states(_said(read(spark, sf_dir, "events")), machine.PROJECT)
+
+
+@query(_folded("epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM events) - 3600000"))
+def machine_stream(spark, sf_dir):
+    """The same by keyed state over a stream of the table: what the watermark, an hour behind the newest message, has passed."""
+    schema, at = read(spark, sf_dir, "events").schema, shared_folder(spark, "machine")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    steps = machine.transitions(_said(stream), machine.PROJECT, late="1 hour")
+    machine.started(steps.writeStream.format("parquet").option("path", f"{at}/steps").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True), spark).awaitTermination()
+    rows = spark.read.schema(steps.schema).parquet(f"{at}/steps")
+    return rows.groupBy("key").agg(F.max_by("after", F.struct("at", "seq")).alias("state"), F.count("*").alias("n"))
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
+@query("""WITH e AS (SELECT 'f' || user_id % 50 AS path, event_id % 5 IN (2, 3) AS gone, date_trunc('milliseconds', ts) AS ts FROM events WHERE event_id % 5 < 4
+UNION SELECT 'g' || user_id % 50, false, date_trunc('milliseconds', ts) FROM events WHERE event_id % 5 = 3),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, gone) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, gone) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM e))
+SELECT path, CASE WHEN arg_max(gone, ts) THEN 'deleted' ELSE 'modified' END AS kind, epoch_ms(min(ts)) AS first, epoch_ms(max(ts)) AS last, count(*) AS n FROM s GROUP BY path, session""")
+def settled_events(spark, sf_dir):
+    """Bursts of file events, two hours apart at least, by what their last event left."""
+    k = F.col("event_id") % 5
+    events = read(spark, sf_dir, "events").select(F.element_at(F.array(*map(F.lit, [*watching.KINDS, "odd"])), F.when(k < 4, k).otherwise(4).cast("int") + 1).alias("event_type"),
+        F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("path"), F.concat(F.lit("g"), (F.col("user_id") % 50).cast("string")).alias("new_path"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"))
+    return watching.settled(events, gap="2 hours").select("path", "kind", F.unix_millis("first").alias("first"), F.unix_millis("last").alias("last"), "n")
+
+
+@query(f"""WITH n AS (SELECT count(*) FILTER ({grown.MODULES} = 1) AS one, count(*) FILTER ({grown.MODULES} = 2) AS two, count(*) FILTER (k % 10 = 7) AS bad, count(*) FILTER (k % 10 = 7 AND {grown.MODULES} = 2) AS bad_two FROM {grown.ROWS})
+SELECT 0 AS ord, '{{"type":"progress","message":"decoded","definitions":' || (one + 2 * two - bad - bad_two) || ',"errors":' || bad || ',"modules":' || (one + 2 * two - bad - bad_two) || '}}' AS line FROM n
+UNION ALL SELECT 1, '{{"type":"result","success":' || (bad = 0)::VARCHAR || '}}' FROM n""")
+def progress_lines(spark, sf_dir):
+    """JSON Lines of a decode's progress: what was observed while its rows passed."""
+    docs = grown.corpus(spark, sf_dir, f"CASE WHEN k % 10 = 7 THEN '{{' ELSE {_V4} END")
+    rows, watch = progress.observed(documents.definitions(docs), "decode", progress.decoding_metrics())
+    rows.write.format("noop").mode("overwrite").save()
+    return progress.result_lines(spark, watch, "decoded")

@@ -2,7 +2,8 @@
 
 Compilation happens on the driver and depends on the expression alone; nothing runs per row in Python. Sum types are
 structs of a tag and the union of their constructors' fields, tuples structs of _1, _2, ...; functions exist during
-compilation only. What has no meaning as a column (holes, externals, recursion) raises Unsupported, never gives null.
+compilation only. Externals are functions registered with the session, called by name. What has no meaning as a column
+(holes, unknown externals, recursion) raises Unsupported, never gives null.
 """
 
 from __future__ import annotations
@@ -52,11 +53,12 @@ class Sum:
 
 
 class Compiler:
-    """``sums`` gives the sum types, ``definitions`` named values (bodies of this representation), ``natives`` functions."""
+    """``sums`` gives the sum types, ``definitions`` named values (bodies of this representation), ``natives`` functions;
+    ``externals`` tells for an external's name and platform the registered SQL function and its number of arguments."""
 
-    def __init__(self, sums: list[Sum] = (), definitions: dict[str, Any] | None = None, natives: dict[str, Callable[..., Column]] | None = None) -> None:
+    def __init__(self, sums: list[Sum] = (), definitions: dict[str, Any] | None = None, natives: dict[str, Callable[..., Column]] | None = None, externals: dict[tuple[str, str], tuple[str, int]] | None = None) -> None:
         self.by_tag = {tag: s for s in sums for tag in s.constructors}
-        self.definitions, self.natives = definitions or {}, natives or {}
+        self.definitions, self.natives, self.externals = definitions or {}, natives or {}, externals or {}
         self.open: list[str] = []
 
     def compile(self, node: Any, env: dict[str, Any]) -> Any:
@@ -101,6 +103,15 @@ class Compiler:
         """A native function by its name: one of the table given, or an operator."""
         return self.on_reference({"fqname": body["fqname"]}, env)
 
+    def on_external(self, body: dict, env: dict) -> Any:
+        """A function of another platform: the one registered for its name and platform."""
+        found = self.externals.get((body["externalName"], body["targetPlatform"]))
+        if found is None:
+            raise Unsupported(f"unknown external {body['externalName']} of {body['targetPlatform']}")
+        name, arity = found
+        call = lambda *args: F.call_function(name, *args)
+        return curried(call, arity) if arity else call()
+
     def on_constructor(self, body: dict, env: dict) -> Any:
         tag = text_of(body["fqname"]).rpartition("#")[2]
         if tag in ("true", "false"):

@@ -18,7 +18,7 @@ EXTENSIONS = {"gleam": ("gleam",), "elm": ("elm",), "python": ("py",)}
 
 def files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """``(path, content)`` of all files under ``path`` (or several) whose name matches, each whole."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

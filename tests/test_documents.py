@@ -184,3 +184,9 @@ def test_closure_of_a_cycle(spark):
     assert nodes.closure(edges).count() == 9
     with pytest.raises(ValueError, match="steps"):
         nodes.closure(spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long"), rounds=2)
+
+
+def test_files_of_several_lines_are_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(logic.document(("fee",)), indent=2))
+    rows = documents.files(spark, str(tmp_path), "*.json")
+    assert rows.count() == 1 and documents.documents(rows).first()["package"] == "depot"

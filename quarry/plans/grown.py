@@ -79,9 +79,13 @@ def faulty() -> str:
 ROWS = "(SELECT p_partkey AS k FROM part)"
 
 
-def corpus(spark: SparkSession, sf_dir: str, content: str) -> DataFrame:
-    """A document for every part, numbered by its key, made by the SQL text ``content``; spread before decoding."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
-    rows = parts.repartition(max(spark.sparkContext.defaultParallelism, parts.count() // 2000), "k")
-    docs = documents.documents(rows.select(F.col("k").cast("string").alias("path"), F.expr(content).alias("content")))
-    return docs.withColumn("doc_id", F.col("path").cast("long"))
+def texts(spark: SparkSession, sf_dir: str, content: str, table: str = "part", key: str = "p_partkey") -> DataFrame:
+    """``(path, content)``: a text for every row of a table, made by the SQL text ``content`` from its key k; spread before any work."""
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("k"))
+    rows = keys.repartition(max(spark.sparkContext.defaultParallelism, keys.count() // 2000), "k")
+    return rows.select(F.col("k").cast("string").alias("path"), F.expr(content).alias("content"))
+
+
+def corpus(spark: SparkSession, sf_dir: str, content: str, table: str = "part", key: str = "p_partkey") -> DataFrame:
+    """A document for every part, or row of another table, numbered by its key."""
+    return documents.documents(texts(spark, sf_dir, content, table, key)).withColumn("doc_id", F.col("path").cast("long"))

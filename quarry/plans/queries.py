@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import streaming
-from quarry.functions import globs, names
+from quarry.functions import globs, names, registered
 from quarry.operators import compare, encode, migrate, nodes, source_text, structure
-from quarry.sources import documents, remote
+from quarry.sources import documents, remote, tree_sink
 from quarry.streaming import machine, progress, watching
 
 from . import grown, logic
@@ -723,3 +723,52 @@ def progress_lines(spark, sf_dir):
     rows, watch = progress.observed(documents.definitions(docs), "decode", progress.decoding_metrics())
     rows.write.format("noop").mode("overwrite").save()
     return progress.result_lines(spark, watch, "decoded")
+
+
+#: Source text by k: comments, strings over lines, numbers of any length, characters of several bytes and none of the language's.
+_TEXT_PARTS = (
+    ("'//// about ' || k || chr(10)", "k % 2"), ("'pub fn f' || k || '(a: Int, _b) -> Int {' || chr(10) || chr(9) || 'case a { 1 -> a |> g(2.5) }' || chr(10) || '}' || chr(13) || chr(10)", "1 + k % 3"),
+    ("'let s = \"two' || chr(10) || 'lines ' || chr(92) || '\" of ' || k || '\" <> x.. ' || chr(10)", "k % 4"), ("'é😀 $ 99999999999999999999 007 _ Ab /// d' || chr(10)", "k % 3"), ("'a<=.b::c //e'", "1"), ("' \"open'", "k % 2"),
+)
+_TEXT = " || ".join(f"repeat({part}, CAST({n} AS INT))" for part, n in _TEXT_PARTS)
+_LEXEME = source_text.LEXEME.replace("*+", "*").replace("'", "''")
+_IN = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+@query(f"""WITH f AS (SELECT k, {_TEXT} AS text FROM {grown.ROWS}), t AS (SELECT k, text, regexp_extract_all(text, '{_LEXEME}') AS t, regexp_split_to_array(text, '{_LEXEME}') AS g FROM f),
+r AS (SELECT k, text, unnest(t) AS t, unnest(g[1:len(t)]) AS g, generate_subscripts(t, 1) - 1 AS ord FROM t),
+p AS (SELECT *, sum(length(g) + length(t)) OVER (PARTITION BY k ORDER BY ord) AS stop FROM r), q AS (SELECT *, stop - length(t) AS begun, left(text, (stop - length(t))::BIGINT) AS before FROM p)
+SELECT k::VARCHAR AS path, ord::INT AS ord, t AS text, begun::BIGINT AS start, stop::BIGINT AS end, (1 + length(before) - length(replace(before, chr(10), '')))::BIGINT AS line, (1 + length(list_extract(string_split(before, chr(10)), -1)))::BIGINT AS column,
+  CASE WHEN starts_with(t, '////') THEN 'module_comment' WHEN starts_with(t, '///') THEN 'doc_comment' WHEN starts_with(t, '//') THEN 'comment' WHEN starts_with(t, '"') AND length(t) > 1 THEN 'string' WHEN t IN ({_IN(source_text.KEYWORDS)}) THEN 'keyword'
+  WHEN t IN ({_IN(source_text.OPERATORS)}) THEN 'operator' WHEN t IN ({_IN(source_text.PUNCTUATION)}) THEN 'punctuation' WHEN regexp_full_match(t, '[0-9]+') THEN CASE WHEN t::HUGEINT > 9223372036854775807 THEN 'error' ELSE 'int' END
+  WHEN regexp_full_match(t, '[0-9]+[.][0-9]+') THEN 'float' WHEN t ~ '^[a-z]' THEN 'name' WHEN t ~ '^[A-Z]' THEN 'type_name' WHEN t ~ '^_.' THEN 'discard' ELSE 'error' END AS kind FROM q""")
+def token_positions(spark, sf_dir):
+    """Every token of source texts that vary, with kind, place, line and column."""
+    return source_text.token_table(grown.texts(spark, sf_dir, _TEXT))
+
+
+_LETS_IN_SQL = """SELECT d.doc_id, n.module, ir_title(n.name) AS let_name, ir_local(f.fqn) AS called, count(*) AS n
+FROM grown_documents d, LATERAL ir_nodes(d.raw) n JOIN (SELECT doc_id, m.module, m.fqn, m.path FROM grown_documents, LATERAL ir_nodes(raw) m WHERE m.kind = 'Reference') f
+  ON d.doc_id = f.doc_id AND n.module = f.module AND startswith(f.path, concat(n.path, '.LetDefinition.body')) WHERE n.kind = 'LetDefinition' GROUP BY ALL"""
+
+
+@query(f"SELECT k AS doc_id, module, 'V' AS let_name, 'f' AS called, ({grown.LETS} * {grown.CALLS})::BIGINT AS n FROM {_MODULES} WHERE {grown.LETS} > 0")
+def sql_functions(spark, sf_dir):
+    """A query in SQL text over registered functions: nodes as a lateral table function, names as SQL functions."""
+    registered.register(spark)
+    grown.corpus(spark, sf_dir, _V4).createOrReplaceTempView("grown_documents")
+    return spark.sql(_LETS_IN_SQL)
+
+
+@query(f"""SELECT 'shop-' || k AS package, module, 'value' AS family, 0 AS ord, 'go' AS name, 'Public' AS access, length({grown.body(False)}) AS n_chars, true AS same
+FROM (SELECT s_suppkey AS k, unnest(CASE WHEN s_suppkey % 2 = 1 THEN ['m', 'n'] ELSE ['m'] END) AS module FROM supplier)""".replace("AS STRING", "AS VARCHAR"))
+def tree_round_trip(spark, sf_dir):
+    """Documents written as trees of files, a package each, and read back by their manifests: the same definitions."""
+    at = shared_folder(spark, "tree")
+    docs = grown.corpus(spark, sf_dir, f"replace({_V4}, '\"packageName\":\"shop\"', '\"packageName\":\"shop-' || CAST(k AS STRING) || '\"')", "supplier", "s_suppkey")
+    defs = documents.definitions(docs)
+    tree_sink.write_documents(docs, defs, at)
+    held = defs.join(docs.select("doc_id", "package"), "doc_id").select("package", "module", "family", "name", F.get_json_object("body", "$").alias("was"))
+    back = tree_sink.read_documents(spark, at).join(held, ["package", "module", "family", "name"], "left")
+    same = F.coalesce(F.get_json_object("body", "$") == F.col("was"), F.lit(False))
+    return back.select("package", "module", "family", "ord", "name", "access", F.length(F.get_json_object("body", "$.ExpressionBody.body")).alias("n_chars"), same.alias("same"))

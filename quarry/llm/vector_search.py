@@ -13,8 +13,12 @@ from .shared import grouped_batches, materialize, table
 from .vectors import matrix, usable
 
 K, EVERY, SCALE = 5, 50, 256
-#: Cells of one dimension (a byte each in the file); rows of a block of codes and of a block of queries.
-CELLS, CANDIDATES, QUERIES = 256, 8192, 1024
+#: Cells of one dimension (a byte each in the file); most rows of a block of codes and of a block of queries.
+CELLS, CANDIDATES, QUERIES = 256, 65_536, 16_384
+#: A block of codes is made smaller, down to so many rows, where that gives every core some blocks.
+LEAST_CANDIDATES = 1024
+#: Salts by which equal vectors are dealt out before the smallest ids are found.
+SALTS = 64
 #: Queries whose bounds a task holds at a time; candidates a query reads before its k-th exact score is first known.
 CHUNK, FIRST_READ = 128, 16
 
@@ -24,6 +28,15 @@ def scaled(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
 
 
+def fits(vector: Column) -> Column:
+    """Is a usable vector small enough that its inner product with any other such fits 64 bits, whatever the order of summing?
+
+    The largest component, scaled, times the root of their number may be 2^31: then a product of two is 2^62 at most.
+    """
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double") * SCALE) + 1))
+    return F.coalesce(most * F.sqrt(F.size(vector)) <= 2.0**31, F.lit(True))
+
+
 class Grid:
     """Cells of equal width over the whole numbers of each dimension: cell c of a dimension holds low + c * width and the
     width - 1 numbers after it. Where a dimension has no more numbers than cells, a code tells the number."""
@@ -50,9 +63,22 @@ class Grid:
 
 
 def grid_of(rows: DataFrame, cells: int = CELLS) -> Grid:
-    """Two numbers a dimension reach the driver; 0 is in every range, as shorter vectors are filled up with it."""
-    ends = rows.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("j").collect()
-    return Grid([min(r["a"], 0) for r in ends], [max(r["b"], 0) for r in ends], cells)
+    """Two numbers a dimension reach the driver, and a row of them a task is shuffled; 0 is in every range, as shorter vectors
+    are filled up with it."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            x = matrix(b.column("v"), np.int64)
+            wide = max(len(low), x.shape[1])
+            low, high = np.pad(low, (0, wide - len(low))), np.pad(high, (0, wide - len(high)))
+            if len(x):
+                low[: x.shape[1]], high[: x.shape[1]] = np.minimum(low[: x.shape[1]], x.min(axis=0)), np.maximum(high[: x.shape[1]], x.max(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([high.tolist()], pa.list_(pa.int64()))], names=["low", "high"])
+
+    parts = rows.select("v").mapInArrow(ends, "low array<long>, high array<long>")
+    found = parts.select(F.posexplode(F.arrays_zip("low", "high")).alias("j", "x")).groupBy("j").agg(F.min("x.low").alias("a"), F.max("x.high").alias("b")).orderBy("j").collect()
+    return Grid([r["a"] for r in found], [r["b"] for r in found], cells)
 
 
 def approximation_file(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -73,7 +99,9 @@ def scan(file: DataFrame, asked: DataFrame, grid: Grid, k: int, n: int, m: int,
     Every block of codes meets every block of queries in one cell of bounded size: a set of queries against all rows in
     blocks, no join. Blocks hold codes; of the exact vectors only the queries' own travel.
     """
-    nc, nq = (F.lit(max(1, -(-size // of))) for size, of in ((n, candidates), (m, queries)))
+    cores = file.sparkSession.sparkContext.defaultParallelism
+    block = max(min(candidates, LEAST_CANDIDATES), min(candidates, -(-n // (4 * cores))))
+    nc, nq = (F.lit(max(1, -(-size // of))) for size, of in ((n, block), (m, queries)))
     none = F.lit(None)
     mine = file.select(F.pmod(F.xxhash64("row"), nc).alias("c"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"), F.lit(0).alias("role"), "row", "vec_id", "codes", none.cast("array<bigint>").alias("v"))
     ask = asked.select(F.explode(F.sequence(F.lit(0), nc - 1)).alias("c"), F.pmod(F.xxhash64("vec_id"), nq).alias("q"), F.lit(1).alias("role"), none.cast("long").alias("row"), "vec_id", none.cast("binary").alias("codes"), "v")
@@ -116,20 +144,23 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int =
 
     Queries are the rows whose vec_id is divisible by ``every``; ties go to the smaller vec_id. Vectors that are null or
     hold null or non-finite components take no part, nor do rows without vec_id; shorter vectors count as filled up with
-    zeros. Repeated rows are candidates each; a query id that repeats asks once, with its smallest vector, and none of
+    zeros. Vectors so large that their scores might not fit 64 bits (``fits``: with 64 components, one of 2^20 or more) are
+    left out as well. Repeated rows are candidates each; a query id that repeats asks once, with its smallest vector, and none of
     its own rows is a candidate. Other columns are dropped. Scores are exact while they fit 64 bits.
 
-    1. Of equal vectors only the k + 1 smallest ids can be in any answer; the others leave. 2. The approximation file is
+    1. Of equal vectors only the k + 1 smallest ids can be in any answer; the others leave, dealt over salts first, so that no
+    task orders all copies of one vector. 2. The approximation file is
     written once; its codes are scanned in blocks, and rows stay whose upper bound reaches the k-th best lower bound of
     the block, then of all blocks. 3. Exact vectors are read in the order of their upper bounds: the first few of each
     query, then those whose bound still reaches the k-th exact score, so that the k best are certain.
     """
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", scaled(F.col("embedding")).alias("v"))
+    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).where(fits(F.col("embedding"))).select("vec_id", scaled(F.col("embedding")).alias("v"))
     rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
-    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    rows = materialize(rows.withColumn("place", place).withColumn("row", F.monotonically_increasing_id()), "scaled")
+    rows = materialize(rows, "scaled")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = rows.where(F.col("place") <= k + 1)
+    smallest = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
+    dealt = smallest(rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))), "v", "salt").drop("salt")
+    rows = materialize(smallest(dealt, "v").withColumn("row", F.monotonically_increasing_id()), "candidates")
     grid = grid_of(rows, cells)
     file = approximation_file(rows, grid)
     # A query's exact vector and the candidates' are both arrays: whatever the lengths, what is beyond the shorter adds 0.

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize, table
-from .token_counts import count_tokens
+from .token_counts import VOCABULARY, count_tokens, counter, proven_whole_tokens, vocabulary_path
 
 #: Longest sequence in tokens; longer documents are cut into pieces of this length and a rest, so the histogram has so many bars at most.
 MAX_LEN = 2048
@@ -71,8 +75,16 @@ def pack(docs: DataFrame, length: Column, max_len: int = MAX_LEN, buckets: int =
     is never in one task; the shifts are buckets * shards numbers at most. The shard is a hash of the piece's row, moved on
     by its place among the rows read, so that repeated rows (or ids, or null ids) are dealt out too; it is stored before it is used.
     """
-    shard = F.pmod(F.xxhash64(*keep, "piece", "n_units") + F.monotonically_increasing_id() % shards, F.lit(shards)).cast("int")
-    rows = materialize(pieces(docs, length, max_len, *keep).withColumn("__shard", shard), "pieces")
+    rows = materialize(pieces(docs, length, max_len, *keep).withColumn("__shard", shard_of(keep, shards)), "pieces")
+    return placed(rows, buckets, budget, keep)
+
+
+def shard_of(keep: tuple[str, ...], shards: int) -> Column:
+    return F.pmod(F.xxhash64(*keep, "piece", "n_units") + F.monotonically_increasing_id() % shards, F.lit(shards)).cast("int")
+
+
+def placed(rows: DataFrame, buckets: int, budget: int, keep: tuple[str, ...]) -> DataFrame:
+    """Stored pieces with ``__shard`` placed in buckets and batches, as ``pack`` says."""
     histogram = {r["n_units"]: r["count"] for r in rows.where("n_units > 0").groupBy("n_units").count().collect()}
     bounds = optimal_boundaries(histogram, buckets)
     bucket = F.array_min(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<int>"), lambda b: b >= F.col("n_units")))
@@ -93,6 +105,60 @@ def pack_tokens(docs: DataFrame, **how) -> DataFrame:
     return pack(count_tokens(docs, keep=keep), F.col("n_tokens"), **how)
 
 
+def pack_texts(docs: DataFrame, text: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, shards: int = SHARDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``pack_tokens`` with what is packed: ``keep``, row, piece, start, n_units, bucket_len, batch_id, padding, text.
+
+    ``row`` numbers the rows of ``docs``, so that rows that share an id stay apart; a row's pieces in order, joined, are its
+    whole text (null as empty). A long text is cut at every ``max_len``-th token; where such a token begins inside a
+    character, before that character. Places are found on narrow rows; texts are shuffled once, to meet them.
+    """
+    number = docs.withColumn("__row", F.monotonically_increasing_id()).select(*keep, F.col("__row").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    cut = materialize(cut_texts(number, max_len).withColumn("__shard", shard_of((*keep, "row"), shards)), "pieces")
+    where = placed(cut.drop("text"), buckets, budget, (*keep, "row"))
+    return where.join(cut.select(F.col("row").alias("__r"), F.col("piece").alias("__p"), "text"), (F.col("row") == F.col("__r")) & (F.col("piece") == F.col("__p"))).drop("__r", "__p")
+
+
+def cut_texts(rows: DataFrame, max_len: int, vocabulary: str = VOCABULARY) -> DataFrame:
+    """A row for each piece of ``__text``: the other columns, piece, start, n_units, text. Only texts of more tokens are encoded whole."""
+    from tokenizers import Tokenizer
+
+    whole = rows.sparkSession.sparkContext.broadcast(proven_whole_tokens(Tokenizer.from_file(vocabulary_path(vocabulary))))
+    kept = [f for f in rows.schema.fields if f.name != "__text"]
+    schema = T.StructType([*kept, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_units", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = counter(vocabulary, whole.value)
+        for full in batches:
+            for at in range(0, full.num_rows, 256):
+                b = full.slice(at, 256)
+                source, piece, units, texts = [], [], [], []
+                for i, told in enumerate(b.column("__text").to_pylist()):
+                    n = of.count(told)
+                    parts = [told] if n <= max_len else pieces_of(told, of.token_bytes(told), max_len)
+                    for k, part in enumerate(parts):
+                        source.append(i)
+                        piece.append(k)
+                        units.append(min(n - k * max_len, max_len))
+                        texts.append(part)
+                whose = pa.array(source, pa.int64())
+                columns = [b.column(f.name).take(whose) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(piece, pa.int32()), pa.array([k * max_len for k in piece], pa.int64()), pa.array(units, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def pieces_of(text: str, sizes: list[int], max_len: int) -> list[str]:
+    """The text cut before every ``max_len``-th token, by the tokens' bytes; never inside a character."""
+    data, ends, out, begin = text.encode("utf-8", "surrogatepass"), np.cumsum(sizes), [], 0
+    for i in range(max_len, len(sizes), max_len):
+        end = int(ends[i - 1])
+        while end > begin and data[end] & 0xC0 == 0x80:  # a byte inside a character
+            end -= 1
+        out.append(data[begin:end].decode("utf-8", "surrogatepass"))
+        begin = end
+    return [*out, data[begin:].decode("utf-8", "surrogatepass")]
+
+
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all ``documents`` in length buckets and batches; the unit is the token."""
     return pack_tokens(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,6 +102,7 @@ class Counter:
     def __init__(self, vocabulary: str, whole: frozenset[str]) -> None:
         self.merger, self.whole = encoding(vocabulary), whole
         added = sorted(self.merger.special_tokens_set, key=len, reverse=True)
+        self.added = "|".join(map(re.escape, added))
         self.cut = regex.compile("|".join(map(regex.escape, added))).split if added else lambda text: [text]
         self.after_blank = {t[1:]: 1 for t in whole if t[0] == " " and t[1:].strip()}
         self.known = dict(self.after_blank)
@@ -127,6 +129,17 @@ class Counter:
         return self.size(head) + sum(sizes)
 
 
+    def token_bytes(self, text: str) -> list[int]:
+        """Number of bytes of each token of a text, in order; an added token is one."""
+        added = re.findall(self.added, text) if self.added else []
+        out: list[int] = []
+        for i, part in enumerate(self.cut(text)):
+            if i:
+                out.append(len(added[i - 1].encode()))
+            out += map(len, self.merger.decode_tokens_bytes(self.merger.encode_ordinary(part)))
+        return out
+
+
 @functools.lru_cache(maxsize=2)
 def counter(vocabulary: str, whole: frozenset[str]) -> Counter:
     """One for each worker process, so that its tasks share what was merged."""

@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidates: int =
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     smallest = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
     dealt = smallest(rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))), "v", "salt").drop("salt")
-    rows = materialize(smallest(dealt, "v").withColumn("row", F.monotonically_increasing_id()), "candidates")
+    rows = materialize(smallest(dealt, "v").withColumn("row", F.monotonically_increasing_id()), "distinct")
     grid = grid_of(rows, cells)
     file = approximation_file(rows, grid)
     # A query's exact vector and the candidates' are both arrays: whatever the lengths, what is beyond the shorter adds 0.

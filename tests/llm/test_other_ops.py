@@ -305,6 +305,10 @@ def test_pipeline(spark, odd_documents, tmp_path):
             assert docs.columns == was.columns
     assert seen == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
     assert docs.where("n_units > 0 AND batch_id IS NULL").count() == 0 and docs.count() > 0
+    # The result holds the redacted, mixed corpus: pieces of a row, joined in order, are the texts that went in.
+    rebuilt = docs.groupBy("doc_id", "row").agg(F.array_join(F.array_sort(F.collect_list(F.struct("piece", "text")))["text"], "").alias("text"))
+    mixed = was.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    assert rebuilt.select("doc_id", "text").exceptAll(mixed).isEmpty() and rebuilt.count() == mixed.count()
 
 
 def test_stages_take_odd_documents(spark, odd_documents):

@@ -39,8 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in length buckets and batches, counted in tokens."""
-    return packing.pack_tokens(docs)
+    """Pieces of all documents, with their text, in length buckets and batches, counted in tokens.
+
+    ``row`` numbers the rows that the mix gave: a document that it took several times is as many rows. The pieces of a row in
+    order, joined, are its redacted text, so the result is the corpus itself.
+    """
+    return packing.pack_texts(docs)
 
 
 STAGES = [

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from collections import Counter
@@ -130,23 +129,24 @@ def unresolved(nodes: DataFrame, defs: DataFrame, package: str) -> DataFrame:
     return used.join(known, ["doc_id", "fqn"], "left_anti")
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, rounds: int = 16) -> DataFrame:
     """``(a, b, hops)``: all b reachable from a over ``edges(a, b)``, with the least number of steps.
 
-    Semi-naive: each round joins only the pairs found last to the edges, so it ends when nothing new is found; a round's
-    pairs are written once and never again. More rounds than ``rounds`` raise an error rather than give a part of the result.
+    Paths double: after round n the pairs hold all least paths of up to 2^n steps, for a least path of up to 2^(n+1) steps
+    is two of them, the first as long as a round allows or all there is. Only such joins are made: paths of the longest kind
+    with all, so there are as many rounds as the logarithm of the longest path. Each round's pairs are written once. It
+    ends when a round finds no path longer than those it has; more rounds than ``rounds`` raise an error.
     """
-    edges = edges.select("a", "b").distinct()
-    fresh = edges.withColumn("hops", F.lit(1)).checkpoint()
-    edges, done = fresh.select("a", "b"), [fresh]
-    for n in range(2, rounds + 2):
-        known = functools.reduce(DataFrame.unionByName, done)
-        step = fresh.select("a", F.col("b").alias("via")).join(edges.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
-        fresh = step.join(known, ["a", "b"], "left_anti").withColumn("hops", F.lit(n)).checkpoint()
-        if fresh.isEmpty():
-            return known
-        done.append(fresh)
-    raise ValueError(f"paths of more than {rounds} steps")
+    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct().withColumn("hops", F.lit(1)).checkpoint()
+    for n in range(rounds):
+        longest = 1 << n
+        far = pairs.where(F.col("hops") == longest).select("a", F.col("b").alias("via"))
+        more = far.join(pairs.select(F.col("a").alias("via"), "b", "hops"), "via").select("a", "b", (F.col("hops") + longest).alias("hops"))
+        new = pairs.unionByName(more).groupBy("a", "b").agg(F.min("hops").alias("hops")).checkpoint()
+        if new.where(F.col("hops") > longest).isEmpty():
+            return new
+        pairs = new
+    raise ValueError(f"paths of more than {1 << rounds} steps")
 
 
 FAULT = "doc_id long, module string, family string, name string, path string, code string, detail string"

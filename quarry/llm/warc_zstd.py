@@ -58,7 +58,10 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def page_record(number: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """A response, or a revisit of the response of page ``refers_to``: the same HTTP header, no payload."""
+    """A response, or a revisit of the response of page ``refers_to``: the same HTTP header, no payload.
+
+    The record's id is that of its page; records of pages without id have one of their archive and place, with a slash before.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = {"WARC-Type": "revisit" if refers_to is not None else "response", "WARC-Record-ID": f"<urn:page:{number}>", "WARC-Date": DATE}
     if url is not None:
@@ -93,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, archive_byt
                     counts.append(0)
                     out = fs.open_output_stream(f"{root}/{paths[-1]}", compression=None)
                     size = out.write(leading_frame(dictionary))
-                size += out.write(packer.compress(page_record(page if page is not None else "", url, payload, digest, refers)))
+                number = page if page is not None else f"/{paths[-1][:32]}-{counts[-1]}"  # a page without id: by its place
+                size += out.write(packer.compress(page_record(number, url, payload, digest, refers)))
                 counts[-1] += 1
         if out is not None:
             out.close()
@@ -177,7 +181,8 @@ def parse_record(data: bytes) -> dict:
         return out | {"error": "broken HTTP header"}
     of = lambda h: headers[h].removeprefix("<urn:page:").removesuffix(">") if h in headers else None
     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    out |= {"page": of("warc-record-id") or None, "url": headers.get("warc-target-uri"), "type": headers["warc-type"], "digest": digest, "refers_to": of("warc-refers-to"), "payload_bytes": int(sizes[0])}
+    page = of("warc-record-id")
+    out |= {"page": None if not page or page[0] == "/" else page, "url": headers.get("warc-target-uri"), "type": headers["warc-type"], "digest": digest, "refers_to": of("warc-refers-to"), "payload_bytes": int(sizes[0])}
     if out["type"] == "revisit":
         return out | {"error": None if not payload and out["refers_to"] else "broken revisit"}
     if len(payload) != out["payload_bytes"]:

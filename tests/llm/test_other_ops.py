@@ -41,6 +41,13 @@ def test_archives_round_trip(spark, size):
     assert next(r for r in rows if r["page_id"] == "1")["url"] == "http://a"
 
 
+def test_pages_without_id_have_record_ids_of_their_own(spark):
+    pages = spark.createDataFrame([(None, "http://a", f"x{i}") for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    files = warc_zstd.archive_files(warc_zstd.archive_pages(pages))
+    ids = [line for f in files.collect() for data, _ in warc_zstd.frames(f["content"]) for line in data.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 4 and all(r["page_id"] is None for r in warc_zstd.read_archives(files).collect())
+
+
 def test_small_payloads_and_empty_tables(spark):
     rows = through(spark, PAGES, least_bytes=100)
     assert {r["record_type"] for r in rows} == {"response"}

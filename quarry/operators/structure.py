@@ -19,11 +19,12 @@ def below(upper: DataFrame, lower: DataFrame, keep_upper: dict[str, str], keep_l
     """Pairs of a node of ``upper`` and one of ``lower`` below it, both parts of a table of nodes: an equi-join by definition with a range.
 
     ``keep_*`` name the columns kept of each side, old to new. A node has as many partners as it has ancestors among
-    ``upper``, so pairs grow with depth, not with the square of a definition.
+    ``upper``, so pairs grow with depth, not with the square of a definition. Both sides are sorted: how many nodes a task
+    makes of a text is nothing that Spark can foresee, so neither side may be sent whole.
     """
     u = upper.select(*DEFINITION, F.col("node_id").alias("__from"), F.col("last").alias("__to"), *[F.col(c).alias(n) for c, n in keep_upper.items()])
     low = lower.select(*DEFINITION, F.col("node_id").alias("__at"), *[F.col(c).alias(n) for c, n in keep_lower.items()])
-    pairs = u.join(low, list(DEFINITION)).where((F.col("__at") > F.col("__from")) & (F.col("__at") <= F.col("__to")))
+    pairs = u.join(low.hint("merge"), list(DEFINITION)).where((F.col("__at") > F.col("__from")) & (F.col("__at") <= F.col("__to")))
     return pairs.select(*DEFINITION, *keep_upper.values(), *keep_lower.values(), "__from", "__at").withColumnsRenamed({"__from": "upper_id", "__at": "lower_id"})
 
 

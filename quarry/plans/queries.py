@@ -439,7 +439,7 @@ def nodes_below(spark, sf_dir):
     pairs = structure.below(lets, tree.where("kind = 'Variable' AND name = 'p-q'"), {"kind": "let"}, {"kind": "variable"}).groupBy("doc_id", "module").agg(F.count("*").alias("under_lets"))
     near = structure.innermost(lets, tree.where("kind = 'Reference'"), {"path": "let"}, {"path": "reference"})
     near = near.groupBy("doc_id", "module").agg(F.count("*").alias("calls_in_lets"), F.max("let").alias("innermost"))
-    return pairs.join(near, ["doc_id", "module"])
+    return pairs.join(near.hint("merge"), ["doc_id", "module"])
 
 
 @query(f"""SELECT p_partkey AS doc_id, CASE WHEN k IN (0, 3) THEN ['parcels#ship: Native can''t be said in the classic dialect'] ELSE [] END AS natives, k IN (0, 1, 4) AND p_size % 3 = 0 AS hole, NOT (k IN (0, 3) OR k IN (1, 4) AND p_size % 3 = 0) AS done

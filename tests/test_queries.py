@@ -36,3 +36,9 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["nodes_below", "sql_functions", "cannot_downgrade", "encode_documents", "migrate_grown", "migrate_documents", "migrate_refuses"])
+def test_no_side_made_in_tasks_is_sent_whole(spark, name):
+    """What a task makes of a text is far larger than the row that Spark estimates it by, so such sides are sorted, never broadcast."""
+    assert "Broadcast" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

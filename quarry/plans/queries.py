@@ -747,7 +747,7 @@ def token_positions(spark, sf_dir):
     return source_text.token_table(grown.texts(spark, sf_dir, _TEXT))
 
 
-_LETS_IN_SQL = """SELECT d.doc_id, n.module, ir_title(n.name) AS let_name, ir_local(f.fqn) AS called, count(*) AS n
+_LETS_IN_SQL = """SELECT /*+ MERGE(f) */ d.doc_id, n.module, ir_title(n.name) AS let_name, ir_local(f.fqn) AS called, count(*) AS n
 FROM grown_documents d, LATERAL ir_nodes(d.raw) n JOIN (SELECT doc_id, m.module, m.fqn, m.path FROM grown_documents, LATERAL ir_nodes(raw) m WHERE m.kind = 'Reference') f
   ON d.doc_id = f.doc_id AND n.module = f.module AND startswith(f.path, concat(n.path, '.LetDefinition.body')) WHERE n.kind = 'LetDefinition' GROUP BY ALL"""
 

@@ -97,7 +97,8 @@ def migrated(docs: DataFrame, defs: DataFrame, to_v4: bool) -> DataFrame:
 
 def put_together(docs: DataFrame, rows: DataFrame, to_v4: bool) -> DataFrame:
     """``(doc_id, content, diagnostics)`` of ``docs`` from definitions with ``converted`` and ``diagnostic``: modules, then documents, are
-    put together by two groupings, whose groups are as large as one document."""
+    put together by two groupings, whose groups are as large as one document, and met with ``docs`` in a sorted join: texts
+    made in tasks are larger than Spark foresees, so neither side may be sent whole."""
     colon, comma = F.lit(":" if to_v4 else ","), F.lit(",")
     begin, end = (F.lit(c) for c in ("{}" if to_v4 else "[]"))
     pair = lambda key, value: F.concat(key, colon, value) if to_v4 else F.concat(F.lit("["), key, comma, value, F.lit("]"))
@@ -117,5 +118,5 @@ def put_together(docs: DataFrame, rows: DataFrame, to_v4: bool) -> DataFrame:
         text = F.concat(F.lit('{"formatVersion":"4.0.0","distribution":{"Library":{"packageName":'), package, F.lit(',"dependencies":{},"def":{"modules":'), listed, F.lit("}}}}"))
     else:
         text = F.concat(F.lit('{"formatVersion":3,"distribution":["Library",'), package, F.lit(',[],{"modules":'), listed, F.lit("}]}"))
-    out = docs.select("doc_id", "package").join(whole, "doc_id", "left").withColumn("diagnostics", F.coalesce("diagnostics", F.array().cast("array<string>")))
+    out = docs.select("doc_id", "package").join(whole.hint("merge"), "doc_id", "left").withColumn("diagnostics", F.coalesce("diagnostics", F.array().cast("array<string>")))
     return out.select("doc_id", F.when(F.size("diagnostics") == 0, text).alias("content"), "diagnostics")

@@ -340,12 +340,25 @@ def document_dependencies(spark, sf_dir):
   '"argument":{"Literal":{"literal":{"IntegerLiteral":{"value":' || c_custkey || '}},"attrs":{}}},"attrs":{}}},"attrs":{"extensions":{"at":"' || c_custkey || '"}}}}}}}}}}}}}}}}' AS content, true AS same FROM customer""")
 def migrate_documents(spark, sf_dir):
     """Whole classic documents to version 4, and from there back and up again: the same document."""
-    docs = classic_corpus(spark, sf_dir)
-    new = migrate.migrated(docs, documents.definitions(docs), True)
+    return _there_and_back(spark, classic_corpus(spark, sf_dir))
+
+
+def _there_and_back(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``(doc_id, content, same)`` of classic documents: in version 4, and whether that down and up again is the same. What a migration
+    wrote is read by the next as documents and as definitions, so it is written once; texts meet in a sorted join."""
+    step = lambda df, to_v4, what: _written(spark, migrate.migrated(df, documents.definitions(df), to_v4), what)
     again = lambda df: documents.documents(df.select(F.col("doc_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
-    old = again(migrate.migrated(again(new), documents.definitions(again(new)), False))
+    new = step(docs, True, "new")
+    old = again(step(again(new), False, "old"))
     back = migrate.migrated(old, documents.definitions(old), True).select("doc_id", F.col("content").alias("back"))
-    return new.join(back, "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
+    return new.join(back.hint("merge"), "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
+
+
+def _written(spark: SparkSession, rows: DataFrame, what: str) -> DataFrame:
+    """``rows`` as Parquet in the shared folder, read from there."""
+    at = shared_folder(spark, what)
+    rows.write.parquet(at)
+    return spark.read.schema(rows.schema).parquet(at)
 
 
 _MODULES = f"(SELECT k, unnest(CASE WHEN {grown.MODULES} = 2 THEN ['m', 'n'] ELSE ['m'] END) AS module FROM {grown.ROWS})"

@@ -369,12 +369,7 @@ _PLACE = f"'$.body' || repeat('[4]', ({grown.LETS})::INT) || repeat('[3]', ({gro
 @query(f"SELECT k AS doc_id, {grown.document(False, grown.body(False))} AS content, true AS same FROM {grown.ROWS}".replace("AS STRING", "AS VARCHAR"))
 def migrate_grown(spark, sf_dir):
     """Classic documents of nested lets, recursion, calls and records, in one or two modules, to version 4; and down and up again: the same."""
-    docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True)))
-    again = lambda df: documents.documents(df.select(F.col("doc_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
-    new = migrate.migrated(docs, documents.definitions(docs), True)
-    old = again(migrate.migrated(again(new), documents.definitions(again(new)), False))
-    back = migrate.migrated(old, documents.definitions(old), True).select("doc_id", F.col("content").alias("back"))
-    return new.join(back, "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
+    return _there_and_back(spark, grown.corpus(spark, sf_dir, grown.document(True, grown.body(True))))
 
 
 @query(f"SELECT k AS doc_id, module, 'value' AS family, 'go' AS name, {_PLACE} || path AS path, code FROM {_MODULES} JOIN (VALUES {_PLANTED}) t(f, code, path) ON {grown.FAULT} = f")

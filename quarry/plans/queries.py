@@ -324,7 +324,7 @@ def classic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM customer, (VALUES ('type', 'amount', 'TypeAliasDefinition', 'money'), ('type', 'kind', 'CustomTypeDefinition', ''), ('value', 'balance-of', 'ValueDefinition', '')) t(family, name, kind, doc)""")
 def classic_definitions(spark, sf_dir):
     docs = classic_corpus(spark, sf_dir)
-    return documents.definitions(docs).join(docs.select("doc_id", "dialect", "package"), "doc_id").select("doc_id", "dialect", "package", "module", "family", "name", "access", "def_kind", "doc")
+    return documents.definitions(docs).hint("merge").join(docs.select("doc_id", "dialect", "package"), "doc_id").select("doc_id", "dialect", "package", "module", "family", "name", "access", "def_kind", "doc")
 
 
 @query("SELECT c_custkey AS doc_id, ord, dependency FROM customer, (VALUES (0, 'lang/sdk'), (1, 'other')) t(ord, dependency)")
@@ -547,7 +547,7 @@ def module_lines(spark, sf_dir):
     """A JSON line for each module."""
     docs = classic_corpus(spark, sf_dir)
     counts = documents.definitions(docs).groupBy("doc_id", "module").agg(F.count_if(F.col("family") == "type").alias("n_types"), F.count_if(F.col("family") == "value").alias("n_values"))
-    rows = counts.join(docs.select("doc_id", "package"), "doc_id").select("doc_id", "package", "module", "n_types", "n_values")
+    rows = counts.hint("merge").join(docs.select("doc_id", "package"), "doc_id").select("doc_id", "package", "module", "n_types", "n_values")
     return documents.json_lines(rows, "doc_id")
 
 

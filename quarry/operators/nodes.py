@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.tree import definition_of, faults_of, rewrite, rows_of
-from quarry.sources.documents import UNREADABLE, definitions_of
-
-#: Documents whose nodes a task holds at a time.
-DOCUMENTS = 64
+from quarry.functions.remembered import Remembered
+from quarry.functions.tree import FAMILY, definition_of, faults_of, rewrite, rows_of
+from quarry.sources.documents import UNREADABLE, arrow_schema, by_text, definitions_of, record_batch
 
 NODE = (
     "doc_id long, module string, def_name string, def_ord int, node_id int, parent_id int, role string, ord int, depth int, family string, kind string, "
@@ -24,16 +23,6 @@ NODE = (
 )
 
 
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
-
-
-def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def trees_of(body, family: str) -> Iterator[tuple]:
     """The node rows of a definition: those of its trees one after another."""
     at = 0
@@ -44,44 +33,31 @@ def trees_of(body, family: str) -> Iterator[tuple]:
         at += len(rows)
 
 
-def shredded(docs: DataFrame, schema: str, rows: Callable[[int, list[tuple]], Iterable[tuple]]) -> DataFrame:
-    """``rows`` of each document's definitions, (module, family, ord, name, nodes): the text is parsed once and leaves as rows alone.
-
-    Unreadable documents have none. A document is a row's work; batches of a few documents keep what a task holds small.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = _arrow(schema)
-        for whole in batches:
-            for at in range(0, whole.num_rows, DOCUMENTS):
-                out: list[tuple] = []
-                for doc, raw in zip(*(whole.slice(at, DOCUMENTS).column(i).to_pylist() for i in (0, 1)), strict=True):
-                    try:
-                        out += rows(doc, [(module, family, k, name, list(trees_of(body, family))) for module, _, _, family, k, name, _, _, _, body in definitions_of(raw)])
-                    except UNREADABLE:
-                        continue
-                yield _batches(out, arrow)
-
-    return docs.select("doc_id", "raw").mapInArrow(run, schema)
+def shredded(docs: DataFrame, schema: str, rows: Callable[[list[tuple]], Iterable[tuple]]) -> DataFrame:
+    """``rows`` of each document's definitions, (module, access, family, ord, name, nodes), after its doc_id; unreadable documents have none."""
 
+    def of_text(raw: str) -> list[tuple]:
+        try:
+            return list(rows([(module, access, family, k, name, list(trees_of(body, family))) for module, _, _, family, k, name, access, _, _, body in definitions_of(raw)]))
+        except UNREADABLE:
+            return []
 
-def _all(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    return ((doc, module, name, k, *row, family) for module, family, k, name, nodes in defs for row in nodes)
+    return by_text(docs, schema, of_text)
 
 
-def _kinds(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    return ((doc, *key, n) for key, n in Counter((row[5], row[6]) for *_, nodes in defs for row in nodes).items())
+def _kinds(defs: list[tuple]) -> Iterator[tuple]:
+    return ((*key, n) for key, n in Counter((row[5], row[6]) for *_, nodes in defs for row in nodes).items())
 
 
-def _depths(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    return ((doc, module, name, len(nodes), max(row[4] for row in nodes), sum(row[6] == "Variable" for row in nodes)) for module, _, _, name, nodes in defs if nodes)
+def _depths(defs: list[tuple]) -> Iterator[tuple]:
+    return ((module, name, len(nodes), max(row[4] for row in nodes), sum(row[6] == "Variable" for row in nodes)) for module, _, _, _, name, nodes in defs if nodes)
 
 
-def _shapes(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    for module, family, _, name, nodes in defs:
+def _shapes(defs: list[tuple]) -> Iterator[tuple]:
+    for module, access, family, _, name, nodes in defs:
         # Of a value its expression counts, not the types it is annotated with; attributes never count.
         told = [row[2:11] for row in nodes if family == "type" or row[5] != "type"]
-        yield doc, module, family, name, hashlib.sha256(json.dumps(told).encode()).hexdigest()
+        yield module, family, name, access, hashlib.sha256(json.dumps(told).encode()).hexdigest()
 
 
 def shapes(docs: DataFrame) -> DataFrame:
@@ -149,6 +125,8 @@ def closure(edges: DataFrame, rounds: int = 16) -> DataFrame:
     raise ValueError(f"paths of more than {1 << rounds} steps")
 
 
+#: A name as it should be: in Spark, and names that surely are.
+KEBAB, SAFE = "^[a-z0-9-]+$", re.compile("[a-z0-9-]+")
 FAULT = "doc_id long, module string, family string, name string, path string, code string, detail string"
 
 
@@ -158,7 +136,7 @@ def faults(defs: DataFrame) -> DataFrame:
     Codes: unknown_kind, missing_field, arity and wrong_shape of nodes and definitions of either dialect; unreadable for a
     document without any. Definitions are checked one by one where they lie, all their faults are told.
     """
-    schema = _arrow(FAULT)
+    schema = arrow_schema(FAULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +149,7 @@ def faults(defs: DataFrame) -> DataFrame:
                     out += [(doc, module, family, name, *fault) for fault in faults_of(json.loads(body), family)]
                 except UNREADABLE as e:
                     out.append((doc, module, family, name, "$", "unreadable", f"{type(e).__name__}: {e}"))
-            yield _batches(out, schema)
+            yield record_batch(out, schema)
 
     return defs.select("doc_id", "module", "family", "name", "body", "error").mapInArrow(run, FAULT)
 

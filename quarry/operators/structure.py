@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nodes import shredded
@@ -41,16 +41,20 @@ def steps(path: Column) -> Column:
     return F.array_join(inside, "/")
 
 
-def _digests(doc: int, defs: list[tuple]) -> Iterator[tuple]:
-    for module, family, k, name, nodes in defs:
+def _digests(defs: list[tuple]) -> Iterator[tuple]:
+    owns: dict[tuple, str] = {}  # kinds, names and literals occur again
+    for module, _, family, k, name, nodes in defs:
         paths = {row[0]: row[13] for row in nodes}
         inside: dict[int | None, list[str]] = {}
         out = []
         for row in reversed(nodes):  # children before parents
-            own = hashlib.sha256(json.dumps([*row[5:11], row[12]]).encode()).hexdigest()[:32]
+            told = (*row[5:11], row[12])
+            own = owns.get(told)
+            if own is None:
+                own = owns[told] = hashlib.sha256(json.dumps(told).encode()).hexdigest()[:32]
             digest = hashlib.sha256("|".join([own, *reversed(inside.pop(row[0], []))]).encode()).hexdigest()[:32]
             inside.setdefault(row[1], []).append(f"{row[2]}={digest}")
-            out.append((doc, module, family, k, name, row[0], row[13], paths.get(row[1]), row[6], own, digest))
+            out.append((module, family, k, name, row[0], row[13], paths.get(row[1]), row[6], own, digest))
         yield from reversed(out)
 
 
@@ -69,21 +73,25 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     diff: changed (a node on both sides whose own kind, name or literal differs), missing or extra (the top of a subtree
     that one side alone has there), moved (such an extra subtree that equals a missing one of its definition; old_path is
     that one's, the smallest of several). was and now are kinds. What lies below a node that changed its kind is not told.
-    Definitions whose roots have equal digests leave by a semi-join before any of their nodes are compared.
+    Both tables are read once: rows of both are dealt by definition, and all else goes on inside a definition. Rows without a
+    full key belong to no definition.
     """
     key = ["doc_id", "module", "family", "name"]
     at, row = [*key, "path"], F.struct("parent_path", "kind", "own", "digest")
-    roots = lambda t, n: t.where("parent_path IS NULL").select(*at, F.col("digest").alias(n))
-    unequal = roots(left, "l").join(roots(right, "r"), at, "full").where(~F.col("l").eqNullSafe(F.col("r"))).select(*key).distinct()
-    unequal = unequal.join(left.select(*key).distinct(), key, "left_semi").join(right.select(*key).distinct(), key, "left_semi")
-    side = lambda t, n: t.join(unequal, key, "left_semi").select(*at, row.alias(n))
-    rows = side(left, "l").join(side(right, "r"), at, "full").where(~F.col("l.digest").eqNullSafe(F.col("r.digest")))
+    side = lambda t, n: t.where(" AND ".join(f"{c} IS NOT NULL" for c in key)).select(*at, F.lit(n).alias("side"), row.alias("row"))
+    dealt = side(left, "l").unionByName(side(right, "r")).repartition(*key)
+    has = lambda n: F.max(F.col("side") == n).over(Window.partitionBy(*key))
+    dealt = dealt.withColumn("both", has("l") & has("r")).where("both")
+    of = lambda n: F.collect_list(F.when(F.col("side") == n, F.col("row")))
+    met = dealt.groupBy(*at).agg(of("l").alias("ls"), of("r").alias("rs")).select(*at, F.explode_outer("ls").alias("l"), "rs").select(*at, "l", F.explode_outer("rs").alias("r"))
+    rows = met.where(~F.col("l.digest").eqNullSafe(F.col("r.digest")))
     rows = rows.select(*at, F.coalesce("l.parent_path", "r.parent_path").alias("up"), F.col("l.kind").alias("was"), F.col("r.kind").alias("now"), F.coalesce("l.digest", "r.digest").alias("digest"), F.coalesce(F.col("l.own") != F.col("r.own"), F.lit(False)).alias("changed"))
-    hides = rows.where(~F.col("was").eqNullSafe(F.col("now"))).select(*key, F.col("path").alias("up"))  # lone nodes, and nodes of a new kind
-    lone = rows.where("was IS NULL OR now IS NULL").join(hides, [*key, "up"], "left_anti")
-    missing, extra = lone.where("now IS NULL"), lone.where("was IS NULL")
-    origin = missing.groupBy(*key, "digest").agg(F.min("path").alias("old_path"))
-    found = extra.join(origin, [*key, "digest"], "left")
-    extra = found.select(*key, F.when(F.col("old_path").isNull(), "extra").otherwise("moved").alias("diff"), "path", "old_path", "was", "now")
-    none = F.lit(None).cast("string").alias("old_path")
-    return extra.unionByName(missing.select(*key, F.lit("missing").alias("diff"), "path", none, "was", "now")).unionByName(rows.where("changed").select(*key, F.lit("changed").alias("diff"), "path", none, "was", "now"))
+    # Lone nodes, and nodes of a new kind, hide what is below: they leave a mark at their own path, which their children meet at up.
+    mark = F.when(~F.col("was").eqNullSafe(F.col("now")), F.struct(F.col("path").alias("at"), F.lit(True).alias("hides")))
+    rows = rows.withColumn("place", F.explode(F.array_compact(F.array(F.struct(F.col("up").alias("at"), F.lit(False).alias("hides")), mark))))
+    rows = rows.withColumn("hidden", F.col("place.at").isNotNull() & F.max("place.hides").over(Window.partitionBy(*key, "place.at"))).where("NOT place.hides")
+    rows = rows.where("changed OR (was IS NULL OR now IS NULL) AND NOT hidden")
+    origin = F.min(F.when(F.col("now").isNull(), F.col("path"))).over(Window.partitionBy(*key, "digest"))
+    rows = rows.withColumn("old_path", F.when(F.col("was").isNull(), origin))
+    diff = F.when(F.col("changed"), "changed").when(F.col("now").isNull(), "missing").when(F.col("old_path").isNull(), "extra").otherwise("moved")
+    return rows.select(*key, diff.alias("diff"), "path", "old_path", "was", "now")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.remembered import Remembered
 from quarry.functions.tree import text_of
 
 #: Which files hold source text of a language.
@@ -117,22 +118,57 @@ def controlled(entry: Any) -> tuple[str, Any]:
 DEFINITION = "doc_id long, module string, module_ord int, module_access string, family string, ord int, name string, access string, def_kind string, doc string, body string, error string"
 
 
-def definitions(docs: DataFrame) -> DataFrame:
-    """A row for each type and value definition of ``documents``; a document that can't be read gives one row with ``error``."""
+#: Documents whose rows a task holds at a time.
+DOCUMENTS = 64
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+
+
+def record_batch(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def by_text(docs: DataFrame, schema: str, rows: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """``schema``'s doc_id and ``rows`` of each document's text: a text is read once and leaves its task as rows alone.
+
+    ``rows`` depend on the text alone, so the rows of texts that a task saw lately are taken again (see ``remembered``).
+    Batches of a few documents keep what a task holds small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in DEFINITION.split(", ")])
-        for b in batches:
-            out = []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    out += [(doc, *row, json.dumps(body), None) for *row, body in definitions_of(raw)]
-                except UNREADABLE as e:
-                    out.append((doc, *[None] * 10, f"{type(e).__name__}: {e}"))
-            columns = list(zip(*out, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return docs.select("doc_id", "raw").mapInArrow(run, DEFINITION)
+        arrow = arrow_schema(schema)
+        own = pa.schema(list(arrow)[1:])
+
+        def made(raw: str) -> tuple[pa.RecordBatch, int]:
+            batch = record_batch(rows(raw), own)
+            return batch, batch.nbytes + 2 * len(raw or "")
+
+        known = Remembered(made)
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                ids, texts = (whole.column(i).slice(at, DOCUMENTS) for i in (0, 1))
+                parts = [known[raw] for raw in texts.to_pylist()]
+                of = pa.array([i for i, part in enumerate(parts) for _ in range(part.num_rows)], pa.int64())
+                columns = [c.combine_chunks() for c in pa.Table.from_batches(parts, own).columns]
+                yield pa.RecordBatch.from_arrays([ids.take(of), *columns], schema=arrow)
+
+    return docs.select("doc_id", "raw").mapInArrow(run, schema)
+
+
+def _definitions(raw: str) -> list[tuple]:
+    try:
+        return [(*row, json.dumps(body), None) for *row, body in definitions_of(raw)]
+    except UNREADABLE as e:
+        return [(*[None] * 10, f"{type(e).__name__}: {e}")]
+
+
+def definitions(docs: DataFrame) -> DataFrame:
+    """A row for each type and value definition of ``documents``; a document that can't be read gives one row with ``error``."""
+    return by_text(docs, DEFINITION, _definitions)
 
 
 def dependencies(docs: DataFrame) -> DataFrame:

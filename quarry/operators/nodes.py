@@ -184,16 +184,18 @@ def converted(trees: DataFrame, family: str, to_v4: bool) -> DataFrame:
     """``trees`` with ``converted`` (JSON of the other dialect) and ``diagnostic`` (why there is none) for its column ``body``."""
     schema = T.StructType([*trees.schema.fields, T.StructField("converted", T.StringType()), T.StructField("diagnostic", T.StringType())])
 
+    def made(body: str) -> tuple[tuple[str | None, str | None], int]:
+        try:
+            done = json.dumps(rewrite(json.loads(body), family, to_v4)), None
+        except UNREADABLE as e:
+            done = None, str(e) or type(e).__name__
+        return done, 2 * (len(body or "") + len(done[0] or done[1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(made)
         for b in batches:
-            done, why = [], []
-            for body in b.column("body").to_pylist():
-                try:
-                    done.append(json.dumps(rewrite(json.loads(body), family, to_v4)))
-                    why.append(None)
-                except UNREADABLE as e:
-                    done.append(None)
-                    why.append(str(e) or type(e).__name__)
+            told = [known[body] for body in b.column("body").to_pylist()]
+            done, why = [x for x, _ in told], [x for _, x in told]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string()), pa.array(why, pa.string())], names=schema.names)
 
     return trees.mapInArrow(run, schema)

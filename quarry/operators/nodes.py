@@ -102,7 +102,7 @@ def unresolved(nodes: DataFrame, defs: DataFrame, package: str) -> DataFrame:
     """References into ``package`` that no definition of the document answers: an anti-join on document and name."""
     known = defs.where("error IS NULL").select("doc_id", F.concat(F.lit(f"{package}:"), "module", F.lit("#"), "name").alias("fqn")).distinct()
     used = nodes.where(F.startswith("fqn", F.lit(f"{package}:"))).select("doc_id", "fqn").distinct()
-    return used.join(known, ["doc_id", "fqn"], "left_anti")
+    return used.join(known.hint("merge"), ["doc_id", "fqn"], "left_anti")
 
 
 def closure(edges: DataFrame, rounds: int = 16) -> DataFrame:

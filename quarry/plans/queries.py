@@ -276,7 +276,7 @@ _ANSWERED = " OR ".join(f"(doc_id % {len(_SETS)} = {k} AND fqn IN ({', '.join(re
 @query(f"SELECT DISTINCT doc_id, fqn FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\"fqname\": \"(depot:[^\"]*)\"', 1)) AS fqn FROM ({_CORPUS})) WHERE NOT ({_ANSWERED})")
 def unresolved_refs(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    return nodes.unresolved(nodes.shred(docs), documents.definitions(docs), "depot")
+    return nodes.unresolved(nodes.shred(docs, nodes.NAMING), documents.definitions(docs), "depot")
 
 
 #: The number that holes replace stands in the fee alone.

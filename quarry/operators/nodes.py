@@ -169,11 +169,53 @@ def incomplete_definitions(defs: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(hole.isNotNull(), F.concat(F.lit("Hole."), tag(hole))).otherwise(tag(F.col("detail")))).select("doc_id", "module", "def_name", "node_id", "kind", "reason", "detail")
 
 
+def faults_in(docs: DataFrame) -> DataFrame:
+    """``faults`` of all definitions of ``documents``, found where a text is read, without a table of definitions between."""
+    return by_text(docs, FAULT, _faults)
+
+
+def _faults(raw: str) -> list[tuple]:
+    try:
+        found = [(module, family, name, body, json.dumps(body)) for module, _, _, family, _, name, _, _, _, body in definitions_of(raw)]
+    except UNREADABLE as e:
+        return [(None, None, None, "$", "unreadable", f"{type(e).__name__}: {e}")]
+    out: list[tuple] = []
+    for module, family, name, body, _ in found:
+        try:
+            out += [(module, family, name, *fault) for fault in faults_of(body, family)]
+        except UNREADABLE as e:
+            out.append((module, family, name, "$", "unreadable", f"{type(e).__name__}: {e}"))
+    return out
+
+
+def findings_in(docs: DataFrame) -> DataFrame:
+    """``findings`` of ``documents``, each read once and judged alone where it lies: nothing is shuffled, and two rows with one doc_id
+    are two documents."""
+
+    def of_text(raw: str) -> list[tuple]:
+        subject = lambda *parts: "#".join(p for p in parts if p is not None)
+        try:
+            defs = [(module, family, name, body, json.dumps(body)) for module, _, _, family, _, name, _, _, _, body in definitions_of(raw)]
+        except UNREADABLE as e:
+            return [("unreadable", f"{type(e).__name__}: {e}", None)]
+        out = [("duplicate", subject(module, name), None) for (module, _, name), n in Counter(d[:3] for d in defs).items() if n > 1]
+        out += [("name", subject(module, name), name) for module, _, name, _, _ in defs if name is not None]
+        try:
+            out += [("hole", x, None) for x in {subject(module, name) for module, family, name, body, _ in defs if any(row[6] == "Hole" for row in trees_of(body, family))}]
+        except UNREADABLE:
+            pass
+        told = [(code, " ".join([subject(module, name), path]), None) for module, _, name, path, code, _ in _faults(raw)]
+        return [x for x in out if x[0] != "name" or not SAFE.fullmatch(x[2])] + told
+
+    rows = by_text(docs, "doc_id long, code string, subject string, name string", of_text)
+    return rows.where((F.col("code") != "name") | (F.col("name").isNotNull() & ~F.rlike("name", F.lit(KEBAB)))).select("doc_id", "code", "subject")
+
+
 def findings(nodes: DataFrame, defs: DataFrame) -> DataFrame:
     """Our validation rules, as ``(doc_id, code, subject)``: names defined twice, names that aren't kebab, holes, malformed definitions."""
     good = defs.where("error IS NULL")
     twice = good.groupBy("doc_id", "module", "family", "name").count().where("count > 1").select("doc_id", F.lit("duplicate").alias("code"), F.concat_ws("#", "module", "name").alias("subject"))
-    names = good.where(~F.rlike("name", F.lit("^[a-z0-9-]+$"))).select("doc_id", F.lit("name").alias("code"), F.concat_ws("#", "module", "name").alias("subject"))
+    names = good.where(~F.rlike("name", F.lit(KEBAB))).select("doc_id", F.lit("name").alias("code"), F.concat_ws("#", "module", "name").alias("subject"))
     holes = nodes.where("kind = 'Hole'").select("doc_id", F.lit("hole").alias("code"), F.concat_ws("#", "module", "def_name").alias("subject")).distinct()
     broken = defs.where("error IS NOT NULL").select("doc_id", F.lit("unreadable").alias("code"), F.col("error").alias("subject"))
     malformed = faults(good).select("doc_id", "code", F.concat_ws(" ", F.concat_ws("#", "module", "name"), "path").alias("subject"))

@@ -282,8 +282,7 @@ def unresolved_refs(spark, sf_dir):
 #: The number that holes replace stands in the fee alone.
 @query(f"SELECT p_partkey AS doc_id, 'hole' AS code, 'parcels#fee' AS subject FROM part WHERE p_size % 3 = 0 AND p_partkey % {len(_SETS)} IN {tuple(k for k, names in enumerate(_SETS) if 'fee' in names)}")
 def validation_findings(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    return nodes.findings(nodes.shred(docs), documents.definitions(docs))
+    return nodes.findings_in(corpus(spark, sf_dir))
 
 
 @query(f"""SELECT p_partkey AS doc_id, 'parcels' AS module, d AS def_name, kind, reason, n::BIGINT AS n FROM part JOIN (VALUES (0, 'fee', 'Hole', 'Draft', 1), (1, 'fee', 'Hole', 'Draft', 1), (4, 'fee', 'Hole', 'Draft', 1),

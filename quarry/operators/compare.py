@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,15 +22,25 @@ def definition_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(doc_id, module, name, diff_kind)`` between two tables ``(doc_id, module, family, name, access, shape)``.
 
     Kinds: missing_module and extra_module (once a module), missing_ and extra_ with type or value, access, type_body and
-    value_body. A module that one side lacks gives no rows for its definitions.
+    value_body. A module that one side lacks gives no rows for its definitions. Both tables are read once: their rows are dealt
+    by module, and all else goes on inside a module.
     """
-    modules = lambda df, flag: df.select("doc_id", "module").distinct().withColumn(flag, F.lit(True))
-    both = modules(left, "l").join(modules(right, "r"), ["doc_id", "module"], "full")
-    lone = both.where("l IS NULL OR r IS NULL").select("doc_id", "module", F.lit(None).cast("string").alias("name"), F.when(F.col("r").isNull(), "missing_module").otherwise("extra_module").alias("diff_kind"))
-    known = both.where("l AND r").select("doc_id", "module")
-    diff = module_diff(left, right, ["doc_id", "module", "family", "name"], ["access", "shape"]).join(known, ["doc_id", "module"], "left_semi")
-    kinds = F.when(F.col("diff_kind") != "changed", F.array(F.concat_ws("_", "diff_kind", "family"))).otherwise(F.transform(F.split("fields", ","), lambda f: F.when(f == "access", "access").otherwise(F.concat("family", F.lit("_body")))))
-    return lone.unionByName(diff.select("doc_id", "module", "name", F.explode(kinds).alias("diff_kind")))
+    key = ["doc_id", "module", "family", "name"]
+    compared = F.struct("access", "shape")
+    side = lambda t, n: t.select(*key, F.lit(n).alias("side"), compared.alias("row"))
+    dealt = side(left, "l").unionByName(side(right, "r")).repartition("doc_id", "module")
+    of = lambda n: F.collect_list(F.when(F.col("side") == n, F.col("row")))
+    met = dealt.groupBy(*key).agg(of("l").alias("ls"), of("r").alias("rs"))
+    has = lambda c: F.max(F.size(c) > 0).over(Window.partitionBy("doc_id", "module"))
+    met = met.withColumn("has_l", has("ls")).withColumn("has_r", has("rs"))
+    lone = F.when(~F.col("has_r"), "missing_module").when(~F.col("has_l"), "extra_module")
+    first = F.row_number().over(Window.partitionBy("doc_id", "module").orderBy("family", "name")) == 1  # a module that one side lacks comes once
+    met = met.withColumn("lone", lone).withColumn("first", first).where("lone IS NULL OR first")
+    pairs = met.select(*key, "lone", F.explode_outer(F.when(F.col("lone").isNull(), F.col("ls"))).alias("l"), "rs").select(*key, "lone", "l", F.explode_outer(F.when(F.col("lone").isNull(), F.col("rs"))).alias("r"))
+    own = lambda word: F.array(F.concat(F.lit(word), "family"))
+    changed = F.array_compact(F.array(F.when(~F.col("l.access").eqNullSafe(F.col("r.access")), "access"), F.when(~F.col("l.shape").eqNullSafe(F.col("r.shape")), F.concat("family", F.lit("_body")))))
+    kinds = F.when(F.col("lone").isNotNull(), F.array("lone")).when(F.col("r").isNull(), own("missing_")).when(F.col("l").isNull(), own("extra_")).otherwise(changed)
+    return pairs.select("doc_id", "module", F.when(F.col("lone").isNull(), F.col("name")).alias("name"), F.explode(kinds).alias("diff_kind"))
 
 
 def members(found: DataFrame, patterns: list[str], config: str) -> DataFrame:

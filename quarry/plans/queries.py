@@ -528,8 +528,7 @@ def definition_diff(spark, sf_dir):
         .when(k == 5, F.replace(raw, F.lit('"access":"private"'), F.lit('"access":"public"')))
         .otherwise(F.replace(raw, F.lit('{"at"'), F.lit('{"seen":1,"at"')))
     )
-    table = lambda d: documents.definitions(d).select("doc_id", "module", "family", "name", "access").join(nodes.shapes(d), ["doc_id", "module", "family", "name"])
-    return compare.definition_diff(table(docs), table(docs.withColumn("raw", changed)))
+    return compare.definition_diff(nodes.shapes(docs), nodes.shapes(docs.withColumn("raw", changed)))
 
 
 @query("""SELECT p_partkey % 50 || '-' || p_size AS project, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL""")

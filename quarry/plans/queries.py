@@ -375,7 +375,7 @@ def migrate_grown(spark, sf_dir):
 def malformed_nodes(spark, sf_dir):
     """Where documents are malformed, by JSON path: faults of six sorts, planted at the bottom of trees that vary."""
     docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True, grown.faulty())))
-    return nodes.faults(documents.definitions(docs)).select("doc_id", "module", "family", "name", "path", "code")
+    return nodes.faults_in(docs).select("doc_id", "module", "family", "name", "path", "code")
 
 
 @query(f"SELECT k AS doc_id, CASE WHEN {grown.FAULT} BETWEEN 1 AND 6 THEN ({grown.MODULES})::INT ELSE 0 END AS n_diagnostics, NOT {grown.FAULT} BETWEEN 1 AND 6 AS done FROM {grown.ROWS}")

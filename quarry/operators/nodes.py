@@ -61,17 +61,27 @@ def _shapes(defs: list[tuple]) -> Iterator[tuple]:
 
 
 def shapes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, module, family, name, shape)``: a digest of each definition's tree in order; equal trees, equal digests."""
-    return shredded(docs, "doc_id long, module string, family string, name string, shape string", _shapes)
+    """``(doc_id, module, family, name, access, shape)``: a digest of each definition's tree in order; equal trees, equal digests."""
+    return shredded(docs, "doc_id long, module string, family string, name string, access string, shape string", _shapes)
 
 
-def shred(docs: DataFrame) -> DataFrame:
+#: Kinds of nodes whose fqn may say something.
+NAMING = tuple(sorted({kind for kinds in FAMILY.values() for kind, fields in kinds.items() if {"fqname", "externalName"} & set(fields)}))
+
+
+def shred(docs: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
     """``ir_nodes`` of ``documents``: parents before children, order kept in ``ord``; unreadable documents have no nodes.
 
     node_id numbers a definition's nodes in the order of a walk and ``last`` is the last number below a node, so a node lies
-    below another exactly if its number is between that one's and its last. path is the JSON path in the definition.
+    below another exactly if its number is between that one's and its last. path is the JSON path in the definition. Where
+    ``kinds`` are given, nodes of other kinds stay in their task.
     """
-    return shredded(docs, NODE, _all)
+    told = None if kinds is None else frozenset(kinds)
+
+    def rows(defs: list[tuple]) -> Iterator[tuple]:
+        return ((module, name, k, *row, family) for module, _, family, k, name, nodes in defs for row in nodes if told is None or row[6] in told)
+
+    return shredded(docs, NODE, rows)
 
 
 def kind_counts(docs: DataFrame) -> DataFrame:

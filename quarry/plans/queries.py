@@ -441,7 +441,7 @@ def subtree_differences(spark, sf_dir):
   CASE WHEN {grown.LETS} > 0 THEN '$.ExpressionBody.body' || repeat('.LetDefinition.body', ({grown.LETS} - 1)::INT) END AS innermost FROM {_MODULES} WHERE {grown.LETS} > 0""")
 def nodes_below(spark, sf_dir):
     """Structural joins: variables named p-q below lets, counted once for each let around; references and the innermost let around them."""
-    tree = nodes.shred(grown.corpus(spark, sf_dir, _V4))
+    tree = nodes.shred(grown.corpus(spark, sf_dir, _V4), ("LetDefinition", "Variable", "Reference"))
     lets = tree.where("kind = 'LetDefinition'")
     pairs = structure.below(lets, tree.where("kind = 'Variable' AND name = 'p-q'"), {"kind": "let"}, {"kind": "variable"}).groupBy("doc_id", "module").agg(F.count("*").alias("under_lets"))
     near = structure.innermost(lets, tree.where("kind = 'Reference'"), {"path": "let"}, {"path": "reference"})

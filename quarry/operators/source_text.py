@@ -64,6 +64,8 @@ _MARKS = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", m) for m in (*OPERATORS, *
 #: Blanks between tokens are blank, tab and line ends; any other character that begins no token is an error of its own.
 LEXEME = "|".join([*FORMS.values(), _MARKS, r"[^ \t\r\n]"])
 INT_MOST = "9223372036854775807"
+#: Files whose tokens a task holds.
+FILES = 2000
 
 
 def kind_of(token: Column) -> Column:
@@ -89,9 +91,11 @@ def token_table(files: DataFrame, key: str = "path", text: str = "content") -> D
     start and end (exclusive) are code points from 0, line and column count from 1, by line feeds. The tokens of a file
     and the gaps before them alternate, so running sums of their lengths are the places, and running counts of line feeds
     the lines; a column is the way from the last line feed before. ``key`` must name each file once. Files are dealt out
-    before they are cut, so their tokens are not shuffled; null texts and texts of blanks have no tokens.
+    before they are cut, so their tokens are not shuffled, and by their number: a task has some ``FILES``, however many there are;
+    null texts and texts of blanks have no tokens.
     """
-    dealt = files.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text")).repartition("__key")
+    many = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.count() // FILES)
+    dealt = files.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text")).repartition(many, "__key")
     found, gaps = F.regexp_extract_all("__text", F.lit(LEXEME), F.lit(0)), F.split("__text", LEXEME, -1)
     rows = dealt.select("__key", F.posexplode(F.arrays_zip(found.alias("t"), F.slice(gaps, 1, F.size(found)).alias("g"))).alias("ord", "x")).select("__key", "ord", F.col("x.t").alias("t"), F.col("x.g").alias("g"))
     by = Window.partitionBy("__key").orderBy("ord")

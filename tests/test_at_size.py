@@ -1,14 +1,18 @@
 """What keeps queries in proportion to their input: texts are read once, and little of them leaves a task."""
 
 import json
+from types import SimpleNamespace
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quarry import plans
 from quarry.functions.remembered import Remembered
-from quarry.operators import compare, nodes, structure
+from quarry.operators import compare, nodes, source_text, structure
 from quarry.plans import logic
-from quarry.sources import documents
+from quarry.sources import documents, tree_sink
+from quarry.streaming import machine
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +82,41 @@ def test_differences_of_modules_and_of_subtrees(spark):
     right = spark.createDataFrame([row("$", None, "A", "a", "9"), row("$.z", "$", "B", "b", "2"), row("$.z.y", "$.z", "C", "c", "3"), row("$.n", "$", "D", "d", "4"), row("$.n.i", "$.n", "D", "d", "5")], schema)
     got = sorted(tuple(r)[4:] for r in structure.differences(left, right).collect())
     assert got == [("extra", "$.n", None, None, "D"), ("missing", "$.x", None, "B", None), ("moved", "$.z", "$.x", None, "B")]
+
+
+def test_tokens_of_many_files_are_dealt_by_their_number(spark):
+    files = spark.range(20_000).selectExpr("CAST(id AS STRING) AS path", "'a b' AS content")
+    assert ", 10), REPARTITION_BY_NUM" in plan(source_text.token_table(files))
+
+
+def test_pending_messages_are_held_in_blocks():
+    class Handle:
+        timers, lists = [], []
+
+        def getValueState(self, *_):
+            return None
+
+        def getListState(self, *_):
+            return SimpleNamespace(appendList=self.lists.extend)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    fold, handle = machine.Fold(machine.PROJECT, 1), Handle()
+    fold.init(handle)
+    n = machine.BLOCK + 5
+    fold.handleInputRows((1,), iter([pd.DataFrame({"at": range(7, n + 7), "seq": range(n), "message": ["open", None] * (n // 2) + ["open"]})]), None)
+    assert handle.timers == [8] and len(handle.lists) == 2
+    held = [tuple(r) for (block,) in handle.lists for r in json.loads(block)]
+    assert len(held) == n and held[:2] == [(7, 0, "open"), (8, 1, None)]
+
+
+def test_commit_reads_a_list_a_task(tmp_path):
+    writer = tree_sink.TreeWriter(str(tmp_path), tree_sink.PACKAGES, True)
+    rows = [{"package": f"p{i}", "module": "m", "family": "value", "ord": 0, "name": "go", "access": "Public", "doc": None, "body": "{}"} for i in (0, 1, 0)]
+    rows[2] |= {"name": "again"}
+    done = writer.write(iter([pa.RecordBatch.from_pylist(rows)]))
+    assert len([f for f in tmp_path.rglob("*") if f.is_file() and "tree" not in f.parts]) == 1
+    writer.commit([done, None])
+    held = {p: json.loads((tmp_path / tree_sink.PACKAGES / p / "m/module.json").read_text())["values"] for p in ("p0", "p1")}
+    assert held == {"p0": ["go", "again"], "p1": ["go"]} and not (tmp_path / "_temporary").exists()

@@ -87,10 +87,20 @@ def final_states(messages: DataFrame, machine: Machine) -> DataFrame:
     return listed.select("key", F.get(names, state).alias("state"), "n")
 
 
+#: Messages that one element of a key's pending list holds.
+BLOCK = 4096
+
+
+def blocks(rows: list[tuple]) -> list[tuple[str]]:
+    """Messages (at, seq, message) as elements of a pending list, as JSON."""
+    return [(json.dumps(rows[at : at + BLOCK]),) for at in range(0, len(rows), BLOCK)]
+
+
 class Fold(StatefulProcessor):
     """Keeps a key's state, and its messages until the watermark passed them, so that they are taken in the order of time.
 
-    State: ``model`` (the state and the last time taken), ``pending`` (messages not yet taken). A timer stands at the time
+    State: ``model`` (the state and the last time taken), ``pending`` (messages not yet taken, in blocks of ``BLOCK``, as each
+    element of a list costs a way to the state store). A timer stands at the time
     of the first pending message; when the watermark passes it, all that it passed are taken by time, then seq. A key
     whose last message lies ``idle_ms`` behind the watermark is forgotten, which gives a last row with message ``expired``.
     """
@@ -101,29 +111,31 @@ class Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.model = handle.getValueState("model", "state string, last long")
-        self.pending = handle.getListState("pending", "at long, seq long, message string")
+        self.pending = handle.getListState("pending", "block string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [r for part in rows for r in zip(part["at"].tolist(), part["seq"].tolist(), part["message"].tolist(), strict=True)]
-        self.pending.appendList([(int(at), int(seq), None if pd.isna(m) else m) for at, seq, m in found])
+        found = [r for part in rows for r in zip(part["at"].tolist(), part["seq"].tolist(), part["message"].astype(object).where(part["message"].notna(), None).tolist(), strict=True)]
         if found:  # what was pending before has its own timer
-            self.handle.registerTimer(min(int(r[0]) for r in found) + 1)
+            self.pending.appendList(blocks(found))
+            self.handle.registerTimer(int(min(r[0] for r in found)) + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         state, last = self.model.get() if self.model.exists() else (self.machine.start, 0)
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        waiting = [tuple(r) for held in self.pending.get() for r in json.loads(held[0])] if self.pending.exists() else []
         due = sorted((r for r in waiting if r[0] < passed), key=lambda r: (r[0], r[1], r[2] or ""))
-        out = []
+        out, said = [], {}
         for at, seq, message in due:
             before, (state, commands) = state, self.machine.update(message, state)
-            out.append((key[0], at, seq, message, before, state, json.dumps(commands)))
+            if commands not in said:
+                said[commands] = json.dumps(commands)
+            out.append((key[0], at, seq, message, before, state, said[commands]))
             last = at
         if due:
             later = [r for r in waiting if r[0] >= passed]
             if later:
-                self.pending.put(later)
+                self.pending.put(blocks(later))
                 self.handle.registerTimer(min(r[0] for r in later) + 1)
             else:
                 self.pending.clear()

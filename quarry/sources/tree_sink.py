@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 #: Layout: one folder a module below that of all packages (an option), a file a definition, a manifest a module, and what the tree is
 #: at its root.
 ROOT, MANIFEST, PACKAGES = "format.json", "module.json", ".dist/pkg"
+#: The file that lists a task's modules in the order of their folders, and how many modules are moved at a time.
+LIST, MOVERS = "list.jsonl", 16
 COLUMNS = "package string, module string, family string, ord int, name string, access string, doc string, body string"
 
 
@@ -48,10 +51,12 @@ class TreeWriter(DataSourceArrowWriter):
         fs, root = opened(self.path)
         folder = f"_temporary/{self.job}/{uuid.uuid4().hex}"
         now, names, n = None, {"type": [], "value": []}, 0
+        fs.create_dir(f"{root}/{folder}", recursive=True)
+        listed = fs.open_output_stream(f"{root}/{folder}/{LIST}")
 
         def finish() -> None:
             write_text(fs, f"{root}/{folder}/tree/{n}/{MANIFEST}", json.dumps({"module": now[1], "types": names["type"], "values": names["value"]}, indent=2))
-            write_text(fs, f"{root}/{folder}/list/{n}.json", json.dumps(now))
+            listed.write((json.dumps(now) + "\n").encode())
 
         for batch in iterator:
             for row in batch.to_pylist():
@@ -68,6 +73,7 @@ class TreeWriter(DataSourceArrowWriter):
         if now is not None:
             finish()
             n += 1
+        listed.close()
         return Written(folder, n)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -75,11 +81,14 @@ class TreeWriter(DataSourceArrowWriter):
         top, first = f"{root}/{self.packages}", None
         if self.overwrite and fs.get_file_info(top).type != pafs.FileType.NotFound:
             fs.delete_dir(top)
-        for m in messages:
-            for i in range(m.modules if m else 0):
-                package, module = json.loads(text_at(fs, f"{root}/{m.folder}/list/{i}.json"))
-                first = package if first is None else min(first, package)
-                self._place(fs, f"{root}/{m.folder}/tree/{i}", f"{top}/{package}/{module}")
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for m in messages:  # a module's folders one after another, different modules beside each other
+                made: dict[str, list[str]] = {}
+                for i, line in enumerate(text_at(fs, f"{root}/{m.folder}/{LIST}").splitlines() if m and m.modules else []):
+                    package, module = json.loads(line)
+                    first = package if first is None else min(first, package)
+                    made.setdefault(f"{top}/{package}/{module}", []).append(f"{root}/{m.folder}/tree/{i}")
+                list(pool.map(lambda place: [self._place(fs, folder, place[0]) for folder in place[1]], made.items()))
         write_text(fs, f"{root}/{ROOT}", json.dumps({"formatVersion": "4.0.0", "distribution": "Library", "packageName": first or "", "layout": "VfsMode"}, indent=2))
         self._clean(fs, root)
 
@@ -137,7 +146,7 @@ def write_documents(docs: DataFrame, defs: DataFrame, path: str, mode: str = "ov
     out. Documents of one package go to one folder; of several definitions of one name the last written stays.
     """
     defs.sparkSession.dataSource.register(TreeSource)
-    rows = defs.where("error IS NULL").join(docs.select("doc_id", "package"), "doc_id")
+    rows = defs.where("error IS NULL").hint("merge").join(docs.select("doc_id", "package"), "doc_id")
     rows = rows.selectExpr(*[c.split()[0] for c in COLUMNS.split(", ")]).repartition("package", "module").sortWithinPartitions("package", "module", "family", "ord")
     rows.write.format("ir_tree").option("packages", packages).mode(mode).save(path)
 
@@ -149,12 +158,10 @@ def read_documents(spark: SparkSession, path: str, packages: str = PACKAGES) ->
     found = files.select(below.alias("at"), F.col("value").alias("content"))
     manifests = found.where(F.endswith("at", F.lit(f"/{MANIFEST}")))
     module = F.get_json_object("content", "$.module")
-    listed = None
-    for family in ("type", "value"):
-        names = F.from_json(F.get_json_object("content", f"$.{family}s"), "array<string>")
-        part = manifests.select(F.regexp_replace("at", f"/{MANIFEST}$", "").alias("folder"), module.alias("module"), F.lit(family).alias("family"), F.posexplode(names).alias("ord", "name"))
-        listed = part if listed is None else listed.unionByName(part)
+    names = F.array(*[F.struct(F.lit(family).alias("family"), F.from_json(F.get_json_object("content", f"$.{family}s"), "array<string>").alias("names")) for family in ("type", "value")])
+    listed = manifests.select(F.regexp_replace("at", f"/{MANIFEST}$", "").alias("folder"), module.alias("module"), F.explode(names).alias("of"))  # both families of one scan
+    listed = listed.select("folder", "module", "of.family", F.posexplode("of.names").alias("ord", "name"))
     listed = listed.withColumn("at", F.concat_ws("/", "folder", F.concat("family", F.lit("s")), F.concat_ws(".", "name", "family", F.lit("json"))))
     bodies = found.select("at", F.get_json_object("content", "$.access").alias("access"), F.get_json_object("content", "$.doc").alias("doc"), F.get_json_object("content", "$.value").alias("body"))
     package = F.expr("substring(folder, 1, length(folder) - length(module) - 1)")
-    return listed.join(bodies, "at").select(package.alias("package"), "module", "family", "ord", "name", "access", "doc", "body")
+    return listed.join(bodies.hint("merge"), "at").select(package.alias("package"), "module", "family", "ord", "name", "access", "doc", "body")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -52,6 +52,10 @@ def _downward(body: dict) -> Any:
     return {"inputTypes": given, "outputType": rewrite(inner["outputType"], "type", False), "body": rewrite(inner["body"], "value", False)}
 
 
+#: JSON as documents are written: no blanks, characters as they are.
+COMPACT = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 def definitions_in(defs: DataFrame, to_v4: bool) -> DataFrame:
     """``defs`` with ``converted`` (JSON in the other dialect) and ``diagnostic``: why there is none, also for unreadable documents."""
     schema = T.StructType([*defs.schema.fields, T.StructField("converted", T.StringType()), T.StructField("diagnostic", T.StringType())])
@@ -63,7 +67,7 @@ def definitions_in(defs: DataFrame, to_v4: bool) -> DataFrame:
                 try:
                     parsed = None if body is None else json.loads(body)
                     faults = [] if body is None else faults_of(parsed, family)
-                    done.append(None if body is None or faults else json.dumps(definition_in(parsed, to_v4), separators=(",", ":"), ensure_ascii=False))
+                    done.append(None if body is None or faults else COMPACT(definition_in(parsed, to_v4)))
                     why.append("; ".join(map(" ".join, faults)) or error)
                 except UNREADABLE as e:
                     done.append(None)
@@ -120,3 +124,35 @@ def put_together(docs: DataFrame, rows: DataFrame, to_v4: bool) -> DataFrame:
         text = F.concat(F.lit('{"formatVersion":3,"distribution":["Library",'), package, F.lit(',[],{"modules":'), listed, F.lit("}]}"))
     out = docs.select("doc_id", "package").join(whole.hint("merge"), "doc_id", "left").withColumn("diagnostics", F.coalesce("diagnostics", F.array().cast("array<string>")))
     return out.select("doc_id", F.when(F.size("diagnostics") == 0, text).alias("content"), "diagnostics")
+
+
+def utf8(text: str | None) -> str | None:
+    """Text that Arrow can hold: half a surrogate pair is written as JSON escapes it."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
+def document_text(package: str | None, defs: Iterable[tuple], to_v4: bool) -> tuple[str | None, list[str]]:
+    """Content and diagnostics of one document, as ``put_together`` gives them, from its definitions in order:
+    (module, module_ord, module_access, family, name, access, doc, converted, diagnostic)."""
+    begin, end = "{}" if to_v4 else "[]"
+    pair = lambda key, value: f"{key}:{value}" if to_v4 else f"[{key},{value}]"
+    path = lambda p: COMPACT(p if to_v4 else [n.split("-") for n in p.split("/")])
+    modules: dict[tuple, tuple[list[str], list[str]]] = {}
+    why: list[str] = []
+    for module, at, module_access, family, name, access, doc, converted, diagnostic in defs:
+        if diagnostic is not None:
+            why.append(f"{'#'.join(p for p in (module, name) if p is not None)}: {diagnostic}")
+        held = modules.setdefault((at, module, module_access), ([], []))
+        if converted is None or name is None:
+            continue
+        inner = converted if to_v4 and doc is None else f'{{"doc":{COMPACT(doc or "")},"value":{converted}}}'
+        held[family == "value"].append(pair(COMPACT(name if to_v4 else name.split("-")), f'{{"access":"{access}","value":{inner}}}'))
+    if why:
+        return None, sorted(map(utf8, why))
+    listed = ",".join(
+        pair(path(module), f'{{"access":"{access}","value":{{"types":{begin}{",".join(types)}{end},"values":{begin}{",".join(values)}{end}}}}}') for (_, module, access), (types, values) in modules.items() if module is not None
+    )
+    named = path(package or "")
+    if to_v4:
+        return utf8(f'{{"formatVersion":"4.0.0","distribution":{{"Library":{{"packageName":{named},"dependencies":{{}},"def":{{"modules":{{{listed}}}}}}}}}}}'), []
+    return utf8(f'{{"formatVersion":3,"distribution":["Library",{named},[],{{"modules":[{listed}]}}]}}'), []

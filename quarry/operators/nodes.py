@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions import plain
 from quarry.functions.remembered import Remembered
 from quarry.functions.tree import FAMILY, definition_of, faults_of, rewrite, rows_of
-from quarry.sources.documents import UNREADABLE, arrow_schema, by_text, definitions_of, record_batch
+from quarry.sources.documents import DOCUMENTS, UNREADABLE, arrow_schema, by_text, definitions_of, record_batch
 
 NODE = (
     "doc_id long, module string, def_name string, def_ord int, node_id int, parent_id int, role string, ord int, depth int, family string, kind string, "
@@ -33,6 +34,20 @@ def trees_of(body, family: str) -> Iterator[tuple]:
         at += len(rows)
 
 
+def _held(body, family: str) -> list[tuple]:
+    """What ``trees_of`` tells of nodes, without places in the text: by the short way where trees are plain."""
+    try:
+        at = 0
+        out: list[tuple] = []
+        for role, _, part, kind in definition_of(body, family).children:
+            rows = plain.rows_of(part, kind, role)
+            out += rows if at == 0 else [(row[0] + at, None if row[1] is None else row[1] + at, *row[2:]) for row in rows]
+            at += len(rows)
+        return out
+    except plain.ODD:
+        return [(*row[:3], *row[5:9], *row[10:13]) for row in trees_of(body, family)]
+
+
 def shredded(docs: DataFrame, schema: str, rows: Callable[[list[tuple]], Iterable[tuple]]) -> DataFrame:
     """``rows`` of each document's definitions, (module, access, family, ord, name, nodes), after its doc_id; unreadable documents have none."""
 
@@ -84,6 +99,39 @@ def shred(docs: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
     return shredded(docs, NODE, rows)
 
 
+#: What a node held beside its document tells: the number of its definition in the text, and what its JSON is made of.
+HELD = "def int, node_id int, parent_id int, role string, family string, kind string, name string, fqn string, lit_text string, attrs string, info string"
+
+
+def held(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``nodes``, an array of the nodes of each document in the order of ``shred``; unreadable documents have none.
+
+    Nodes stay in the row of their document, so what changes them is a projection, and putting them together again
+    (``encode.documents_in``) needs no shuffle. An array is as large as its document.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("nodes", T.ArrayType(T.StructType.fromDDL(HELD)))])
+    own = arrow_schema(HELD)
+
+    def of_text(raw: str) -> list[tuple]:
+        try:
+            found = [(family, body) for _, _, _, family, _, _, _, _, _, body in definitions_of(raw)]
+            return [(k, *row) for k, (family, body) in enumerate(found) for row in _held(body, family)]
+        except UNREADABLE:
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                b, rows, ends = whole.slice(at, DOCUMENTS), [], [0]
+                for raw in b.column("raw").to_pylist():
+                    rows += of_text(raw)
+                    ends.append(len(rows))
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), record_batch(rows, own).to_struct_array())
+                yield pa.RecordBatch.from_arrays([*b.columns, nodes], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def kind_counts(docs: DataFrame) -> DataFrame:
     """``(doc_id, family, kind, n)``, counted per document before anything leaves its task, then per doc_id."""
     return shredded(docs, "doc_id long, family string, kind string, n long", _kinds).groupBy("doc_id", "family", "kind").agg(F.sum("n").alias("n"))
@@ -96,10 +144,19 @@ def depth_profile(docs: DataFrame) -> DataFrame:
 
 def map_attributes(nodes: DataFrame, by_kind: dict[str, Callable[[Column], Column]], otherwise: Callable[[Column], Column] = lambda a: a) -> DataFrame:
     """Nodes with new ``attrs``, structure unchanged: a projection, by the node's kind where one is given."""
-    out = F.lit(None).cast("string")
-    for n, (kind, f) in enumerate(by_kind.items()):
-        out = F.when(F.col("kind") == kind, f(F.col("attrs"))) if n == 0 else out.when(F.col("kind") == kind, f(F.col("attrs")))
-    return nodes.withColumn("attrs", out.otherwise(otherwise(F.col("attrs"))) if by_kind else otherwise(F.col("attrs")))
+    return nodes.withColumn("attrs", _mapped(F.col("kind"), F.col("attrs"), by_kind, otherwise))
+
+
+def _mapped(kind: Column, attrs: Column, by_kind: dict[str, Callable[[Column], Column]], otherwise: Callable[[Column], Column]) -> Column:
+    out = F
+    for k, f in by_kind.items():
+        out = out.when(kind == k, f(attrs))
+    return out.otherwise(otherwise(attrs)) if by_kind else otherwise(attrs)
+
+
+def map_held(nodes: Column, by_kind: dict[str, Callable[[Column], Column]], otherwise: Callable[[Column], Column] = lambda a: a) -> Column:
+    """``map_attributes`` of nodes that their document holds."""
+    return F.transform(nodes, lambda n: n.withField("attrs", _mapped(n["kind"], n["attrs"], by_kind, otherwise)))
 
 
 def incomplete(nodes: DataFrame) -> DataFrame:

@@ -393,11 +393,10 @@ _SEEN = f"""replace({_V4}, '"attrs":{{"extensions":{{"n":1}}}}', '"attrs":{{"ext
 @query(f"SELECT k AS doc_id, true AS same, {_SEEN} AS content FROM {grown.ROWS}".replace("AS STRING", "AS VARCHAR"))
 def encode_documents(spark, sf_dir):
     """Documents to nodes and back: the same text; and once more with the attributes of calls changed between."""
-    docs = grown.corpus(spark, sf_dir, _V4)
-    tree, defs = nodes.shred(docs), documents.definitions(docs)
-    same = encode.documents_of(docs, tree, defs).join(docs.select("doc_id", "raw").hint("merge"), "doc_id").select("doc_id", F.col("content").eqNullSafe(F.col("raw")).alias("same"))
-    seen = nodes.map_attributes(tree, {"Apply": lambda a: F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(', "seen": true}'))})
-    return encode.documents_of(docs, seen, defs).join(same.hint("merge"), "doc_id").select("doc_id", "same", "content")
+    tree = nodes.held(grown.corpus(spark, sf_dir, _V4).select("doc_id", "package", "raw"))
+    seen = nodes.map_held(F.col("nodes"), {"Apply": lambda a: F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(', "seen": true}'))})
+    made = encode.documents_in(tree.withColumn("seen", seen), "nodes", "seen")
+    return made.select("doc_id", F.col("nodes.content").eqNullSafe(F.col("raw")).alias("same"), F.col("seen.content").alias("content"))
 
 
 #: Definitions of version 4 without an expression, by k: a native hint, a hole's reason, a platform, an incomplete type, a wrapped body.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -11,19 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.tree import faults_of, rewrite, text_of
-from quarry.sources.documents import UNREADABLE, controlled, named
+from quarry.functions import plain
+from quarry.functions.remembered import Remembered
+from quarry.functions.tree import definition_of, faults_of, rewrite, text_of
+from quarry.sources.documents import DOCUMENTS, UNREADABLE, controlled, definitions_of, named
 
 
-def definition_in(body: Any, to_v4: bool) -> Any:
+Rewrite = Callable[[Any, str, bool], Any]
+
+
+def definition_in(body: Any, to_v4: bool, rewrite: Rewrite = rewrite) -> Any:
     """A type or value definition in the other dialect. Raises ValueError for what it can't say, and for malformed definitions.
 
     Names of inputs keep their order; a classic input's own attributes are not kept.
     """
-    return _upward(body) if to_v4 else _downward(body)
+    return _upward(body, rewrite) if to_v4 else _downward(body, rewrite)
 
 
-def _upward(body: Any) -> dict:
+def _upward(body: Any, rewrite: Rewrite) -> dict:
     if isinstance(body, list):
         kind, parameters, inner = body[0], [text_of(p) for p in body[1]], body[2]
         if kind == "TypeAliasDefinition":
@@ -37,7 +42,7 @@ def _upward(body: Any) -> dict:
     return {"ExpressionBody": {"inputTypes": given, "outputType": rewrite(body["outputType"], "type", True), "body": rewrite(body["body"], "value", True)}}
 
 
-def _downward(body: dict) -> Any:
+def _downward(body: dict, rewrite: Rewrite) -> Any:
     kind, inner = next(iter(body.items()))
     if kind == "TypeAliasDefinition":
         return [kind, [p.split("-") for p in inner["typeParams"]], rewrite(inner["typeExp"], "type", False)]
@@ -56,6 +61,21 @@ def _downward(body: dict) -> Any:
 COMPACT = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 
 
+def converted_in(body: Any, family: str, to_v4: bool) -> tuple[str | None, str | None]:
+    """JSON of a definition in the other dialect, or why there is none: all its faults, or what the dialect can't say. Plain definitions go the short way."""
+    try:
+        if not definition_of(body, family).faults:
+            return COMPACT(definition_in(body, to_v4, plain.rewrite)), None
+    except plain.ODD:
+        pass
+    try:
+        if faults := faults_of(body, family):
+            return None, "; ".join(map(" ".join, faults))
+        return COMPACT(definition_in(body, to_v4)), None
+    except UNREADABLE as e:
+        return None, str(e) or type(e).__name__
+
+
 def definitions_in(defs: DataFrame, to_v4: bool) -> DataFrame:
     """``defs`` with ``converted`` (JSON in the other dialect) and ``diagnostic``: why there is none, also for unreadable documents."""
     schema = T.StructType([*defs.schema.fields, T.StructField("converted", T.StringType()), T.StructField("diagnostic", T.StringType())])
@@ -65,13 +85,11 @@ def definitions_in(defs: DataFrame, to_v4: bool) -> DataFrame:
             done, why = [], []
             for body, family, error in zip(*(b.column(c).to_pylist() for c in ("body", "family", "error")), strict=True):
                 try:
-                    parsed = None if body is None else json.loads(body)
-                    faults = [] if body is None else faults_of(parsed, family)
-                    done.append(None if body is None or faults else COMPACT(definition_in(parsed, to_v4)))
-                    why.append("; ".join(map(" ".join, faults)) or error)
+                    converted, diagnostic = (None, None) if body is None else converted_in(json.loads(body), family, to_v4)
                 except UNREADABLE as e:
-                    done.append(None)
-                    why.append(str(e) or type(e).__name__)
+                    converted, diagnostic = None, str(e) or type(e).__name__
+                done.append(converted)
+                why.append(diagnostic or error)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.string()), pa.array(why, pa.string())], names=schema.names)
 
     return defs.mapInArrow(run, schema)
@@ -99,6 +117,34 @@ def migrated(docs: DataFrame, defs: DataFrame, to_v4: bool) -> DataFrame:
     return put_together(docs, definitions_in(defs, to_v4), to_v4)
 
 
+def migrated_in(docs: DataFrame, to_v4: bool) -> DataFrame:
+    """``docs``, with ``package`` and ``raw``, and ``content`` and ``diagnostics`` of each, as ``migrated`` gives them.
+
+    A text is read, rewritten and written where it lies, without a shuffle, and two rows with one doc_id are two documents.
+    What was made of texts that occur again is taken again (see ``remembered``).
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField("content", T.StringType()), T.StructField("diagnostics", T.ArrayType(T.StringType()))])
+
+    def made(key: tuple[str | None, str | None]) -> tuple[tuple[str | None, list[str]], int]:
+        package, raw = key
+        try:
+            defs = [(module, at, module_access, family, name, access, doc, *converted_in(body, family, to_v4)) for module, at, module_access, family, _, name, access, _, doc, body in definitions_of(raw)]
+            out = document_text(package, defs, to_v4)
+        except UNREADABLE as e:
+            out = None, [utf8(f": {type(e).__name__}: {e}")]
+        return out, 2 * (len(raw or "") + len(out[0] or "") + sum(map(len, out[1])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(made)
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                b = whole.slice(at, DOCUMENTS)
+                told = [known[key] for key in zip(b.column("package").to_pylist(), b.column("raw").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in told], pa.string()), pa.array([why for _, why in told], pa.list_(pa.string()))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def put_together(docs: DataFrame, rows: DataFrame, to_v4: bool) -> DataFrame:
     """``(doc_id, content, diagnostics)`` of ``docs`` from definitions with ``converted`` and ``diagnostic``: modules, then documents, are
     put together by two groupings, whose groups are as large as one document, and met with ``docs`` in a sorted join: texts

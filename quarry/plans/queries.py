@@ -339,25 +339,18 @@ def document_dependencies(spark, sf_dir):
   '"argument":{"Literal":{"literal":{"IntegerLiteral":{"value":' || c_custkey || '}},"attrs":{}}},"attrs":{}}},"attrs":{"extensions":{"at":"' || c_custkey || '"}}}}}}}}}}}}}}}}' AS content, true AS same FROM customer""")
 def migrate_documents(spark, sf_dir):
     """Whole classic documents to version 4, and from there back and up again: the same document."""
-    return _there_and_back(spark, classic_corpus(spark, sf_dir))
+    return _there_and_back(classic_corpus(spark, sf_dir))
 
 
-def _there_and_back(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _there_and_back(docs: DataFrame) -> DataFrame:
     """``(doc_id, content, same)`` of classic documents: in version 4, and whether that down and up again is the same. What a migration
-    wrote is read by the next as documents and as definitions, so it is written once; texts meet in a sorted join."""
-    step = lambda df, to_v4, what: _written(spark, migrate.migrated(df, documents.definitions(df), to_v4), what)
-    again = lambda df: documents.documents(df.select(F.col("doc_id").cast("string").alias("path"), "content")).withColumn("doc_id", F.col("path").cast("long"))
-    new = step(docs, True, "new")
-    old = again(step(again(new), False, "old"))
-    back = migrate.migrated(old, documents.definitions(old), True).select("doc_id", F.col("content").alias("back"))
-    return new.join(back.hint("merge"), "doc_id").select("doc_id", "content", F.coalesce(F.col("content") == F.col("back"), F.lit(False)).alias("same"))
-
-
-def _written(spark: SparkSession, rows: DataFrame, what: str) -> DataFrame:
-    """``rows`` as Parquet in the shared folder, read from there."""
-    at = shared_folder(spark, what)
-    rows.write.parquet(at)
-    return spark.read.schema(rows.schema).parquet(at)
+    wrote is read by the next as a document beside it, so nothing is written between, and no texts are joined."""
+    needed = lambda df, *keep: df.select("doc_id", "package", "raw", *keep)
+    again = lambda df, *keep: needed(documents.documents(df.withColumn("path", F.col("doc_id").cast("string")), *keep).withColumn("doc_id", F.col("path").cast("long")), *keep)
+    new = migrate.migrated_in(needed(docs), True).select("doc_id", "content")
+    old = migrate.migrated_in(again(new), False).select("doc_id", F.col("raw").alias("new"), "content")
+    back = migrate.migrated_in(again(old, "new"), True)
+    return back.select("doc_id", F.col("new").alias("content"), F.coalesce(F.col("content") == F.col("new"), F.lit(False)).alias("same"))
 
 
 _MODULES = f"(SELECT k, unnest(CASE WHEN {grown.MODULES} = 2 THEN ['m', 'n'] ELSE ['m'] END) AS module FROM {grown.ROWS})"
@@ -368,7 +361,7 @@ _PLACE = f"'$.body' || repeat('[4]', ({grown.LETS})::INT) || repeat('[3]', ({gro
 @query(f"SELECT k AS doc_id, {grown.document(False, grown.body(False))} AS content, true AS same FROM {grown.ROWS}".replace("AS STRING", "AS VARCHAR"))
 def migrate_grown(spark, sf_dir):
     """Classic documents of nested lets, recursion, calls and records, in one or two modules, to version 4; and down and up again: the same."""
-    return _there_and_back(spark, grown.corpus(spark, sf_dir, grown.document(True, grown.body(True))))
+    return _there_and_back(grown.corpus(spark, sf_dir, grown.document(True, grown.body(True))))
 
 
 @query(f"SELECT k AS doc_id, module, 'value' AS family, 'go' AS name, {_PLACE} || path AS path, code FROM {_MODULES} JOIN (VALUES {_PLANTED}) t(f, code, path) ON {grown.FAULT} = f")
@@ -382,7 +375,7 @@ def malformed_nodes(spark, sf_dir):
 def migrate_refuses(spark, sf_dir):
     """Migration writes no document with a malformed definition, and says why for each."""
     docs = grown.corpus(spark, sf_dir, grown.document(True, grown.body(True, grown.faulty())))
-    out = migrate.migrated(docs, documents.definitions(docs), True)
+    out = migrate.migrated_in(docs.select("doc_id", "package", "raw"), True)
     return out.select("doc_id", F.size("diagnostics").alias("n_diagnostics"), F.col("content").isNotNull().alias("done"))
 
 
@@ -452,8 +445,7 @@ def nodes_below(spark, sf_dir):
 FROM (SELECT *, p_partkey % {len(_SETS)} AS k FROM part)""")
 def cannot_downgrade(spark, sf_dir):
     """Documents that hold what the classic dialect can't say are reported, not written."""
-    docs = corpus(spark, sf_dir)
-    out = migrate.migrated(docs, documents.definitions(docs), False)
+    out = migrate.migrated_in(corpus(spark, sf_dir).select("doc_id", "package", "raw"), False)
     hole = F.exists("diagnostics", lambda d: F.startswith(d, F.lit("parcels#fee: Hole")))
     return out.select("doc_id", F.filter("diagnostics", lambda d: F.contains(d, F.lit("Native"))).alias("natives"), hole.alias("hole"), F.col("content").isNotNull().alias("done"))
 

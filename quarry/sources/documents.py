@@ -44,8 +44,8 @@ def target_version(alias: Column) -> Column:
     return F.when(a.isin("latest", "v4", "4"), "v4").when(a.isin("classic", "v3", "3", "v2", "2", "v1", "1"), "classic")
 
 
-def documents(found: DataFrame) -> DataFrame:
-    """``(doc_id, path, dialect, version_raw, version_major, kind, package, raw)`` of ``files``; no shuffle, JVM functions alone.
+def documents(found: DataFrame, *keep: str) -> DataFrame:
+    """``(doc_id, path, dialect, version_raw, version_major, kind, package, raw)`` of ``files``, and their columns ``keep``; no shuffle, JVM functions alone.
 
     A document is of version 4 if its version says so and its distribution is a tagged object, else classic if that is a
     tagged list, whatever the version. Dialect null marks a file that is neither: not JSON, without version, of another shape.
@@ -59,7 +59,7 @@ def documents(found: DataFrame) -> DataFrame:
         F.array_join(F.transform(classic_package, lambda w: F.array_join(w, "-")), "/"))
     return found.select(
         F.xxhash64("path").alias("doc_id"), "path", dialect.alias("dialect"), raw.alias("version_raw"),
-        F.regexp_extract(raw, r"^(\d+)", 1).try_cast("int").alias("version_major"), F.coalesce(wrapper, listed).alias("kind"), package.alias("package"), F.col("content").alias("raw"),
+        F.regexp_extract(raw, r"^(\d+)", 1).try_cast("int").alias("version_major"), F.coalesce(wrapper, listed).alias("kind"), package.alias("package"), F.col("content").alias("raw"), *keep,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import plans
 from quarry.functions import plain, tree
-from quarry.operators import encode, nodes
+from quarry.operators import encode, migrate, nodes
 from quarry.plans import logic
 from quarry.sources import documents
 
@@ -67,6 +67,40 @@ def texts():
     return [whole, broken, {"formatVersion": "4.0.0", "distribution": {"Library": {"packageName": "a/b", "def": {"modules": {}}}}}, "{", '{"formatVersion":4}']
 
 
+def migrations():
+    whole = texts()
+    classic = ["Tuple", {}, [tree.rewrite(x, "value", False) for x in PLAIN]]
+    value = lambda name, body, doc="": [name, {"access": "private", "value": {"doc": doc, "value": {"inputTypes": [[["x"], {"lost": 1}, UNIT]], "outputType": UNIT, "body": body}}}]
+    sums = [[["s"], {"access": "Public", "value": {"doc": "", "value": ["CustomTypeDefinition", [["a"]], {"access": "Private", "value": [[["c"], [[["x"], ["Variable", {}, ["a"]]]]]]}]}}]]
+    old = lambda *values: {"formatVersion": 3, "distribution": ["Library", [["a", "b"], ["c"]], [], {"modules": [[[["m"], ["n"]], {"access": "public", "value": {"types": sums, "values": list(values)}}], [[["none"]], {"access": "public", "value": {"types": [], "values": []}}]]}]}
+    good, bad = old(value(["f", "g"], classic, 'a "b"'), value(["f", "g"], CLASSIC), value([], UNIT)), old(value(["f"], ["Bogus", {}]), value(["g"], ["Tuple", {}, [["Unit"], None]]))
+    del whole[0]["distribution"]["Library"]["def"]["modules"]["parcels"]["value"]["values"]["every"]
+    return [*whole, good, bad, {"formatVersion": "4.0.0", "distribution": {"Library": {"def": {"modules": {"a/b-c": {"value": {"types": {}, "values": {"x": {"value": {"inputTypes": {"p": {"Unit": {}}}, "outputType": "t", "body": CLASSIC}}}}}}}}}}]
+
+
+@pytest.mark.parametrize("to_v4", [True, False])
+def test_documents_are_migrated_where_they_lie(spark, to_v4):
+    docs, defs = documents_of(spark, *migrations())
+    whole = {r["doc_id"]: (r["content"], r["diagnostics"]) for r in migrate.migrated(docs, defs, to_v4).collect()}
+    got = {r["doc_id"]: (r["content"], r["diagnostics"]) for r in migrate.migrated_in(docs.select("doc_id", "package", "raw"), to_v4).collect()}
+    assert got == whole and len(got[6][1]) == 3 - to_v4 and (got[5][0] is not None) == to_v4
+    if to_v4:
+        assert json.loads(got[5][0])["distribution"]["Library"]["packageName"] == "a-b/c"
+
+
+def test_definitions_are_converted_alike():
+    for x in [*PLAIN, *logic.DEFINITIONS.values(), WRAPPED, CLASSIC, *ODD]:
+        for to_v4 in (True, False):
+            body = {"inputTypes": [], "outputType": UNIT, "body": x} if to_v4 else {"ExpressionBody": {"inputTypes": {}, "outputType": {"Unit": {}}, "body": x}}
+            faults = "; ".join(map(" ".join, tree.faults_of(body, "value")))
+            try:
+                want = (None, faults) if faults else (migrate.definition_in(body, to_v4), None)
+            except documents.UNREADABLE as e:
+                want = None, str(e) or type(e).__name__
+            text, why = migrate.converted_in(body, "value", to_v4)
+            assert (text and json.loads(text), why) == want
+
+
 def test_documents_are_made_where_they_lie(spark):
     """What nodes held beside their documents give is what tables of nodes give by shuffles."""
     docs, _ = documents_of(spark, *texts())
@@ -81,7 +115,7 @@ def test_documents_are_made_where_they_lie(spark):
         assert got[0][0] and got[1][0] is None and got[2][0] and [len(got[i][1]) for i in range(5)] == [0, 1, 0, 1, 1]
 
 
-@pytest.mark.parametrize("name", ["encode_documents"])
+@pytest.mark.parametrize("name", ["encode_documents", "migrate_grown", "migrate_documents", "migrate_refuses", "cannot_downgrade"])
 def test_texts_are_not_shuffled(spark, name):
     """Keys alone are spread before any text is made; documents then stay in their task."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quarry.functions import plain
 from quarry.functions.remembered import Remembered
 from quarry.functions.tree import definition_of, faults_of, rewrite, text_of
-from quarry.sources.documents import DOCUMENTS, UNREADABLE, controlled, definitions_of, named
+from quarry.sources.documents import UNREADABLE, controlled, definitions_of, named, portions
 
 
 Rewrite = Callable[[Any, str, bool], Any]
@@ -137,8 +137,7 @@ def migrated_in(docs: DataFrame, to_v4: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(made)
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCUMENTS):
-                b = whole.slice(at, DOCUMENTS)
+            for b in portions(whole):
                 told = [known[key] for key in zip(b.column("package").to_pylist(), b.column("raw").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in told], pa.string()), pa.array([why for _, why in told], pa.list_(pa.string()))], names=schema.names)
 

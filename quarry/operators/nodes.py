@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from quarry.functions import plain
 from quarry.functions.remembered import Remembered
 from quarry.functions.tree import FAMILY, definition_of, faults_of, rewrite, rows_of
-from quarry.sources.documents import DOCUMENTS, UNREADABLE, arrow_schema, by_text, definitions_of, record_batch
+from quarry.sources.documents import UNREADABLE, arrow_schema, by_text, definitions_of, portions, record_batch
 
 NODE = (
     "doc_id long, module string, def_name string, def_ord int, node_id int, parent_id int, role string, ord int, depth int, family string, kind string, "
@@ -121,8 +121,8 @@ def held(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, DOCUMENTS):
-                b, rows, ends = whole.slice(at, DOCUMENTS), [], [0]
+            for b in portions(whole):
+                rows, ends = [], [0]
                 for raw in b.column("raw").to_pylist():
                     rows += of_text(raw)
                     ends.append(len(rows))

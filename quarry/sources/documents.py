@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +119,20 @@ def controlled(entry: Any) -> tuple[str, Any]:
 DEFINITION = "doc_id long, module string, module_ord int, module_access string, family string, ord int, name string, access string, def_kind string, doc string, body string, error string"
 
 
-#: Documents whose rows a task holds at a time.
-DOCUMENTS = 64
+#: Documents whose rows a task holds at a time, and bytes of text where rows are made of all of it.
+DOCUMENTS, TEXT = 64, 4 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of documents in parts of at most ``DOCUMENTS``, and of at most ``TEXT`` bytes of ``raw`` unless one alone has more."""
+    begin = held = 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(batch.column("raw")), 0).to_pylist()):
+        if at > begin and (at - begin == DOCUMENTS or held + size > TEXT):
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 def arrow_schema(schema: str) -> pa.Schema:

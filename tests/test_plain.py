@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,14 @@ def migrations():
     return [*whole, good, bad, {"formatVersion": "4.0.0", "distribution": {"Library": {"def": {"modules": {"a/b-c": {"value": {"types": {}, "values": {"x": {"value": {"inputTypes": {"p": {"Unit": {}}}, "outputType": "t", "body": CLASSIC}}}}}}}}}}]
 
 
+def test_portions_hold_little_text():
+    sizes = [10] * 70 + [documents.TEXT - 5, 10, documents.TEXT * 2, 1]
+    batch = pa.RecordBatch.from_pydict({"raw": ["x" * n for n in sizes] + [None]})
+    parts = list(documents.portions(batch.slice(0)))
+    assert [p.num_rows for p in parts] == [64, 6, 1, 1, 1, 2] and pa.Table.from_batches(parts).to_batches()[0].schema == batch.schema
+    assert [x for p in parts for x in p.column("raw").to_pylist()] == batch.column("raw").to_pylist() and list(documents.portions(batch.slice(0, 0))) == []
+
+
 @pytest.mark.parametrize("to_v4", [True, False])
 def test_documents_are_migrated_where_they_lie(spark, to_v4):
     docs, defs = documents_of(spark, *migrations())
